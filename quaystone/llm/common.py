@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 ARROW_ROWS, ARROW_BYTES = "2000", "16m"
 
 
+#: Arrow types of the fields that mappers return.
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
+
 def bound_arrow(spark: SparkSession) -> None:
     """Bound each Arrow batch by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -27,6 +31,7 @@ def map_text(
     """
     bound_arrow(docs.sparkSession)
     names, out = [f"key_{k}" for k in keys], [*keys, *fields]
+    kinds = [ARROW[f.split(" ", 1)[1]] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -42,7 +47,7 @@ def map_text(
             else:
                 kept = [b.column(i) for i in range(len(names))]
             columns = list(zip(*made)) if made else [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(list(c)) if c else pa.array([], pa.null()) for c in columns)], names=out)
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=out)
 
     narrow = docs.select(*(c.alias(a) for c, a in zip(keys.values(), names)), F.coalesce(text, F.lit("")).alias("text_"))
     types = ", ".join(f"`{k}` {narrow.schema[a].dataType.simpleString()}" for k, a in zip(keys, names))
