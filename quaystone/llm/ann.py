@@ -83,12 +83,12 @@ class Forest:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 8, leaf: int = 64, share: float = 0.45, block_rows: int = 16_384, query_rows: int = 2_048
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 16, leaf: int = 64, share: float = 0.5, least: int = 2_048, block_rows: int = 16_384, query_rows: int = 2_048
 ) -> DataFrame:
     """(query_id, rank int, id, score double): the k nearest found by cosine, exact for what is found.
 
-    Every usable row is in the index. ``share`` is the part of a block's rows that a query examines
-    there. A row is no candidate for the query of its own id; ties go to the smaller id. Null and
+    Every usable row is in the index. A query examines ``share`` of each block's rows, and
+    ``least`` of them at the least: vectors without any structure need that much for a recall of 0.9. A row is no candidate for the query of its own id; ties go to the smaller id. Null and
     zero vectors and those with null or non-finite components take no part, nor do null ids. Equal
     vectors are one entry of the index that carries their k + 1 smallest ids, which is all that can
     be returned of them. Empty tables give no rows.
@@ -117,7 +117,7 @@ def nearest(
             for qid, v in zip(right["id_"].tolist(), right["v_"]):
                 v = np.asarray(v, np.float64)
                 size = np.sqrt((v * v).sum())
-                found = forest.candidates(v / size, max(int(share * len(values)), 4 * leaf))
+                found = forest.candidates(v / size, max(int(share * len(values)), least))
                 score = (values[found] @ v) / (norms[found] * size)
                 best = found[np.argpartition(-score, k + 1)[: k + 2]] if len(found) > k + 2 else found
                 best = np.union1d(best, found[score >= np.sort(score)[-min(len(score), k + 1)]])
