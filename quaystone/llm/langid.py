@@ -102,6 +102,8 @@ class Scorer:
 
     def predict(self, text: str) -> tuple[str, float]:
         """(language, its posterior probability), ``und`` and 0 without a letter or a model."""
+        if not self.langs:
+            return "und", 0.0
         chunks = text.lower().split()
         total = np.zeros(len(self.langs) + 1)
         for i in range(0, len(chunks), 200_000):
@@ -114,7 +116,7 @@ class Scorer:
             else:
                 at = np.fromiter(map(self.chunks.__getitem__, part), np.int64, len(part))
                 total += self.rows[at].sum(axis=0)
-        if not total[-1] or not self.langs:
+        if not total[-1]:
             return "und", 0.0
         s = total[:-1]
         p = np.exp(s - s.max())
