@@ -104,7 +104,7 @@ def x13(s: Source):
     return readers.json_leaves(s.events, "event_id", "props")
 
 
-@query("S2_S10_tsv_cells", "SELECT CAST(conv_id AS STRING) AS conv_id, CAST(turn AS STRING) AS turn, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text FROM conversations")
+@query("S10_tsv_cells", "SELECT CAST(conv_id AS STRING) AS conv_id, CAST(turn AS STRING) AS turn, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text FROM conversations")
 def s10(s: Source):
     return writers.tsv_cells(s.conversations.select("conv_id", "turn", "text"))
 
@@ -135,6 +135,83 @@ def s8(s: Source):
     return writers.published(s.spark, root, "brands")
 
 
+def _snapshots(s: Source):
+    """Each task's results as the JSON text of a provider's response."""
+    organic = F.struct(F.lit("organic").alias("type"), F.col("rank").alias("rank_group"), F.col("rank").alias("rank_absolute"), "domain", "title", F.concat("url", F.lit("?utm_source=x")).alias("url"))
+    items = s.edges.groupBy("task_id", "keyword").agg(F.to_json(F.array_sort(F.collect_list(organic))).alias("o"))
+    more = F.concat(F.lit(',{"type":"people_also_ask","items":[{"title":"What is '), F.col("keyword"), F.lit('?","seed_question":null},{"title":"Why?"}]},{"type":"related_searches","items":["'), F.col("keyword"), F.lit(' price"]},{"type":"video"}]'))
+    content = F.concat(F.lit('{"tasks":[{"id":"t'), F.col("task_id").cast("string"), F.lit('","status_code":20000,"cost":0.0006,"data":{"keyword":"'), F.col("keyword"), F.lit('","depth":10},"result":[{"datetime":"2024-01-01","items":'), F.expr("substring(o, 1, length(o) - 1)"), more, F.lit("}]}]}"))
+    texts = items.select(F.concat(F.lit("set/raw/"), F.col("task_id").cast("string"), F.lit(".json")).alias("path"), F.lit("set").alias("dataset"), content.alias("content"))
+    return readers.parse_snapshots(texts)
+
+
+@query("S1_X1_organic", "SELECT 't' || CAST(task_id AS STRING) AS task_id, rank AS rank_absolute, url AS canonical_url, title FROM {edges}")
+def s1(s: Source):
+    return readers.organic(_snapshots(s)).select("task_id", "rank_absolute", "canonical_url", "title")
+
+
+@query("X2_demand_occurrences", "SELECT 't' || CAST(task_id AS STRING) AS task_id, demand_type, occurrence_order::BIGINT AS occurrence_order, v AS value FROM (SELECT DISTINCT task_id, keyword FROM {edges}) e, LATERAL (VALUES ('people_also_ask', 0, 'What is ' || keyword || '?'), ('people_also_ask', 1, 'Why?'), ('related_searches', 0, keyword || ' price')) x(demand_type, occurrence_order, v)")
+def x2(s: Source):
+    return readers.demand_occurrences(_snapshots(s)).select("task_id", "demand_type", "occurrence_order", "value")
+
+
+@query("X3_feature_items", "SELECT 't' || CAST(task_id AS STRING) AS task_id, f AS feature_type, n::BIGINT AS n_items FROM (SELECT DISTINCT task_id FROM {edges}) e, (VALUES ('people_also_ask', 2), ('related_searches', 1), ('video', 0)) x(f, n)")
+def x3(s: Source):
+    return readers.feature_items(_snapshots(s)).select("task_id", "feature_type", "n_items")
+
+
+_AN = "SELECT l_orderkey AS question_id, l_linenumber > 2 AS requested, CASE WHEN l_linenumber = 7 THEN l_returnflag END AS answer, l_linenumber = 6 AS pending FROM {lineitem}"
+
+
+@query("X4_paa_answers", f"WITH r AS (SELECT question_id, max(CASE WHEN answer IS NOT NULL THEN 3 WHEN pending THEN 2 WHEN requested THEN 1 ELSE 0 END) AS l FROM ({_AN}) x GROUP BY 1) SELECT question_id, CASE l WHEN 3 THEN 'resolved' WHEN 2 THEN 'async_pending' WHEN 1 THEN 'empty' ELSE 'not_requested_or_missing' END AS response_state FROM r")
+def x4(s: Source):
+    return readers.paa_answers(s.sql(_AN)).select("question_id", "response_state")
+
+
+@query("X5_element_sources", "SELECT task_id, rank AS element_id, CASE WHEN rank % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS links, CASE WHEN rank % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS references, CASE WHEN rank % 3 = 1 THEN 'referenced' WHEN rank % 3 = 2 THEN 'link_only' ELSE 'unreferenced' END AS lineage FROM {edges}")
+def x5(s: Source):
+    e = s.edges
+    elements = e.select("task_id", F.col("rank").alias("element_id"), F.when(F.col("rank") % 3 > 0, F.array(F.concat("url", F.lit("/?utm_medium=y#z")))).alias("urls"))
+    return readers.element_sources(elements, e.where("rank % 3 = 1").select("task_id", "url"))
+
+
+@query("Q12_retention", "SELECT * FROM (VALUES ('k', 'exact_structured')) v(path, state) WHERE (SELECT count(*) FROM events) > 0")
+def q12(s: Source):
+    from quaystone.operators import review
+
+    leaves = readers.json_leaves(s.events, "event_id", "props").select("path", "n")
+    columns = s.events.select(F.get_json_object("props", "$.k").alias("v")).agg(F.count("v").alias("kept")).select(F.lit("k").alias("path"), F.lit("k").alias("column"), "kept")
+    return review.retention(leaves, columns)
+
+
+@query("S9_payload_archive", "SELECT event_id, octet_length(encode(props)) AS bytes, sha256(props) AS digest FROM events")
+def s9(s: Source):
+    path = new_path(s.spark, "archive")
+    writers.archive_payloads(s.events.withColumn("on_day", F.col("ts").cast("date")), path, "event_id", "props", "on_day")
+    return s.spark.read.parquet(path).select("event_id", "bytes", "digest")
+
+
+@query("S7_regions", "SELECT DISTINCT n_name AS prefecture, CASE WHEN c_custkey % 3 = 0 THEN 'K' || CAST(c_custkey % 5 AS STRING) || '郡' ELSE '' END AS county, c_mktsegment AS municipality FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def s7(s: Source):
+    c = s.customer.join(s.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    return readers.postal_regions(c.select(F.col("n_name").alias("prefecture"), F.when(k % 3 == 0, F.concat(F.lit("K"), (k % 5).cast("string"), F.lit("郡"), F.col("c_mktsegment"))).otherwise(F.col("c_mktsegment")).alias("municipality")))
+
+
+@query("S4_reference_tsv", "SELECT p_partkey, p_name, p_brand FROM part")
+def s4(s: Source):
+    path = new_path(s.spark, "reference")
+    s.part.select("p_partkey", "p_name", "p_brand").write.option("sep", "\t").option("compression", "gzip").csv(path)
+    return readers.reference_tsv(s.spark, path, "p_partkey long, p_name string, p_brand string")
+
+
+@query("S2_quoted_csv", "SELECT conv_id, turn, text FROM conversations")
+def s2(s: Source):
+    path = new_path(s.spark, "csv")
+    s.conversations.select("conv_id", "turn", "text").write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    return readers.quoted_csv(s.spark, path, "conv_id long, turn long, text string")
+
+
 def _event_stream(s: Source):
     """The events as a stream of files, a file for each stretch of days."""
     path = new_path(s.spark, "event-stream")

@@ -20,7 +20,12 @@ def raw_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Every ``raw/*.json`` under the root with its digest, size and dataset (the first folder); files without a task or a result are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root).where(F.col("path").rlike("/raw/[^/]+\\.json$"))
     rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
-    parsed = files.select("path", F.split(rel, "/")[0].alias("dataset"), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"), F.from_json(F.col("content").cast("string"), RESULT).alias("j"))
+    return parse_snapshots(files.select("path", F.split(rel, "/")[0].alias("dataset"), "content"))
+
+
+def parse_snapshots(texts: DataFrame) -> DataFrame:
+    """S1 for (path, dataset, content) of any source: digest and size of the bytes, the first task and its first result."""
+    parsed = texts.select("path", "dataset", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), F.octet_length(F.col("content").cast("binary")).alias("bytes"), F.from_json(F.col("content").cast("string"), RESULT).alias("j"))
     task = F.col("j.tasks")[0]
     return parsed.select("path", "dataset", "digest", "bytes", task["id"].alias("task_id"), task["status_code"].alias("status_code"), task["cost"].alias("cost"), task["data"].alias("data"), task["result"][0].alias("result")).where(F.col("task_id").isNotNull() & F.col("result").isNotNull())
 
@@ -50,6 +55,22 @@ def demand_occurrences(snapshots: DataFrame) -> DataFrame:
     return v.withColumn("value", value).where(F.col("value").isNotNull()).drop("raw")
 
 
+def paa_answers(rows: DataFrame) -> DataFrame:
+    """Questions (question_id, requested, answer, pending) with the best state of their rows: resolved, async_pending, empty, not_requested_or_missing."""
+    level = F.when(F.col("answer").isNotNull() & (F.col("answer") != ""), 3).when(F.col("pending"), 2).when(F.col("requested"), 1).otherwise(0)
+    g = rows.groupBy("question_id").agg(F.max(level).alias("level"), F.max_by("answer", level).alias("answer"))
+    names = F.array(*map(F.lit, ("not_requested_or_missing", "empty", "async_pending", "resolved")))
+    return g.select("question_id", F.element_at(names, F.col("level") + 1).alias("response_state"), F.when(F.col("level") == 3, F.col("answer")).alias("answer"))
+
+
+def element_sources(elements: DataFrame, references: DataFrame) -> DataFrame:
+    """Overview elements (task_id, element_id, urls) against the overview's own references (task_id, url): referenced, link_only, unreferenced."""
+    e = elements.select("task_id", "element_id", F.explode_outer("urls").alias("link")).withColumn("url", urls.canonical_serp_url(F.col("link")))
+    r = references.select("task_id", urls.canonical_serp_url(F.col("url")).alias("url")).distinct().withColumn("ref", F.lit(True))
+    g = e.join(r, ["task_id", "url"], "left").groupBy("task_id", "element_id").agg(F.count("link").alias("links"), F.count("ref").alias("references"))
+    return g.withColumn("lineage", F.when(F.col("references") > 0, "referenced").when(F.col("links") > 0, "link_only").otherwise("unreferenced"))
+
+
 def quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header, doubled quotes, line breaks in cells and a BOM; all-empty rows go, missing cells are empty texts."""
     df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True).csv(path)
