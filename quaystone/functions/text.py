@@ -8,10 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def nfkc(c: Column) -> Column:
     """Compatibility normalisation, in Arrow batches."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    def normalize(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(normalize, "string")(c)
 
 
 def normalize_keyword(c: Column, unicode: bool = True) -> Column:

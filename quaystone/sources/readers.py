@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quaystone.functions import urls
 
-RESULT = T._parse_datatype_string(
+RESULT = (
     "tasks array<struct<id:string,status_code:int,cost:double,data:struct<keyword:string,location_code:int,language_code:string,device:string,os:string,depth:int,tag:string>,"
     "result:array<struct<datetime:string,item_types:array<string>,items:array<struct<type:string,rank_group:int,rank_absolute:int,domain:string,title:string,url:string,description:string,timestamp:string,"
     "items:array<string>>>>>>>"
