@@ -81,6 +81,29 @@ SQL = {
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op2_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (min(a.n) + min(b.n) - count(*))),
+        r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a),
+        c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.doc_id""",
+    "op4_secret_scan": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT * FROM (VALUES
+            ('assign', 0, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+            ('access', 1, 'AKIA[A-Z0-9]{16,}'), ('hex', 2, '[0-9a-f]{24,}'), ('entropy_hex', 3, '[A-Za-z0-9+/_-]{24,}'), ('entropy_base64', 4, '[A-Za-z0-9+/_-]{24,}')) v(kind, k, re)),
+        m AS (SELECT doc_id, kind, k, re, regexp_extract_all(t, re) AS found, string_split_regex(t, re) AS gaps FROM d, p),
+        x AS (SELECT doc_id, kind, k, re, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM m),
+        y AS (SELECT doc_id, kind, k, re, found[i] AS word, CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS a FROM x),
+        h AS (SELECT *, list_filter(range(0, length(word) - 23), lambda j: list_aggregate(string_split(substring(word, CAST(j + 1 AS INTEGER), 24), ''), 'entropy') >= CASE kind WHEN 'entropy_hex' THEN 3.0 ELSE 3.9 END - 1e-10) AS hot FROM y
+              WHERE k > 2 AND (k = 4 OR regexp_full_match(word, '[0-9a-fA-F]+')) AND regexp_matches(word, '[0-9]') AND NOT regexp_matches(word, '^[0-9]+$') AND NOT regexp_matches(word, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(word, '(?i)example|dummy|placeholder')),
+        s AS (SELECT doc_id, kind, k, a, a + length(word) AS z FROM y WHERE k IN (1, 2) OR k = 0 AND length(regexp_extract(word, re, 2)) >= 6
+              UNION ALL SELECT doc_id, kind, k, a + hot[1], a + hot[-1] + 24 FROM h WHERE len(hot) > 0)
+        SELECT d.doc_id, count(CASE WHEN k = 0 THEN 1 END) AS n_assign, count(CASE WHEN k = 1 THEN 1 END) AS n_access, count(CASE WHEN k = 2 THEN 1 END) AS n_hex,
+               sha256(coalesce(string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, k) FILTER (k IS NOT NULL), '') AS spans
+        FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id""",
     "op8_warc_bundles": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         f AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first FROM p),
