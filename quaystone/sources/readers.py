@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ RESULT = (
 def raw_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Every ``raw/*.json`` under the root with its digest, size and dataset (the first folder); files without a task or a result are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root).where(F.col("path").rlike("/raw/[^/]+\\.json$"))
-    rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+    rel = F.substring_index("path", re.sub("^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/") + "/", -1)
     return parse_snapshots(files.select("path", F.split(rel, "/")[0].alias("dataset"), "content"))
 
 
