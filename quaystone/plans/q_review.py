@@ -159,11 +159,12 @@ def w11(s: Source):
     return review.recommended_title(s.sql(_RT))
 
 
-@query("W16_null_ordering", "SELECT source_keyword_id, row_number() OVER (ORDER BY volume ASC NULLS LAST, source_keyword_id) AS position FROM {keywords} WHERE size = 7")
+@query("W16_null_ordering", "SELECT source_keyword_id, row_number() OVER (PARTITION BY sheet, size ORDER BY volume ASC NULLS LAST, source_keyword_id) AS position FROM {keywords}")
 def w16(s: Source):
     from pyspark.sql import Window
 
-    return s.keywords.where("size = 7").select("source_keyword_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("volume"), "source_keyword_id")).alias("position"))
+    w = Window.partitionBy("sheet", "size").orderBy(F.asc_nulls_last("volume"), "source_keyword_id")
+    return s.keywords.select("source_keyword_id", F.row_number().over(w).alias("position"))
 
 
 @query("W17_stratum", "WITH p AS (SELECT a.task_id AS left_id, b.task_id AS right_id, count(*) AS shared FROM {edges} a JOIN {edges} b ON a.url = b.url AND a.task_id < b.task_id GROUP BY ALL) SELECT left_id, right_id FROM p WHERE shared >= 6")
