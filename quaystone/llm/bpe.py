@@ -4,9 +4,9 @@ A merge table is compiled into a finite-state transducer over bytes. The encodin
 ends in exactly one token, and that token is found from the one before it: a token may follow
 another if the merges, run over the two together, leave the border between them alone. A state
 holds the bytes whose tokens are not certain yet and the token before them; a transition reads one
-byte, and emits the tokens on which every continuation that the vocabulary allows agrees. States
-are made when first met (and forgotten when there are too many), so the lookahead is as short as
-the vocabulary permits and work is linear in the length of the text, however long a run without
+byte, and emits the tokens on which every continuation that the vocabulary allows agrees. States are
+made when met again (and forgotten when there are too many), so the lookahead is as short as the
+vocabulary permits and work is linear in the length of the text, however long a run without
 spaces is.
 """
 
@@ -32,7 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeTransducer:
     """Encodes one pre-token at a time. ``most_states`` bounds the states held."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.most_states = ranks, most_states
         self.text = {r: b for b, r in ranks.items()}
         self.size = {r: len(b) for b, r in ranks.items()}
@@ -56,11 +56,12 @@ class MergeTransducer:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple] = {}
+        self.met: set[int] = set()
         self.ends: dict[int, list[int]] = {}
-        self._state(None, b"", (None,), ((0, 0),))
+        self._state(None, b"", (None,), (0,))
 
     def _state(self, before, pending: bytes, last: tuple, live: tuple) -> int:
-        """last: for each position the last token of the bytes up to it. live: where a longer token may yet begin, and its node."""
+        """last: for each position the last token of the bytes up to it. live: where a longer token may yet begin, and its node below it in one number."""
         s = self.ids.setdefault((before, pending), len(self.states))
         if s == len(self.states):
             self.states.append((before, pending, last, live))
@@ -119,44 +120,79 @@ class MergeTransducer:
     def _step(self, s: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, pending, last, live = self.states[s]
         token, stay, child, size = -1, [], self.child, self.size
-        for j, node in live:
-            if (node := child.get(node << 8 | byte)) is None:
+        for both in live:
+            j = both >> 32
+            if (node := child.get((both & 0xFFFFFFFF) << 8 | byte)) is None:
                 continue
             if token < 0 and (rank := self.token[node]) >= 0:
                 left = last[j] if j else before
                 if left is None or self._may_follow(left, rank):
                     token = rank
             if self.grows[node]:
-                stay.append((j, node))
+                stay.append(j << 32 | node)
         if token < 0:
             raise ValueError("the vocabulary lacks a byte")
         cut = n = len(last)
         last += (token,)
-        for j, _ in stay:  # the last position that all paths from live positions share
+        for both in stay:  # the last position that all paths from live positions share
+            j = both >> 32
             while cut != j:
                 if cut > j:
                     cut -= size[last[cut]]
                 else:
                     j -= size[last[j]]
         pending += bytes((byte,))
-        stay.append((n, 0))
+        stay.append(n << 32)
         if cut:
             out = tuple(self._path(last, cut))
-            return self._state(out[-1], pending[cut:], (None, *last[cut + 1 :]), tuple([(j - cut, node) for j, node in stay])), out
+            return self._state(out[-1], pending[cut:], (None, *last[cut + 1 :]), tuple([both - (cut << 32) for both in stay])), out
         return self._state(before, pending, last, tuple(stay)), ()
 
+    def _finish(self, s: int, rest: bytes) -> list[int]:
+        """Tokens from a state on to the end of the piece, without making states: for paths that are met once."""
+        before, _, last, live = self.states[s]
+        last, child, apart = list(last), self.child, self.apart
+        for byte in rest:
+            token, stay = -1, []
+            for both in live:
+                if (node := child.get((both & 0xFFFFFFFF) << 8 | byte)) is None:
+                    continue
+                if token < 0 and (rank := self.token[node]) >= 0:
+                    left = last[both >> 32] if both >> 32 else before
+                    if left is None or ((known := apart.get(left << 32 | rank)) is None and self._may_follow(left, rank)) or known:
+                        token = rank
+                if self.grows[node]:
+                    stay.append((both >> 32) << 32 | node)
+            if token < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            stay.append(len(last) << 32)
+            last.append(token)
+            live = stay
+        return self._path(last, len(last) - 1)
+
     def encode(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
+        """Token ids of one pre-token.
+
+        A transition is determinised when it is met for the second time; before that the rest of
+        the piece is followed without making states.
+        """
         out: list[int] = []
-        s, moves = 0, self.moves
-        for byte in piece:
-            move = moves.get(s << 8 | byte)
+        s, moves, met = 0, self.moves, self.met
+        for i, byte in enumerate(piece):
+            key = s << 8 | byte
+            move = moves.get(key)
             if move is None:
-                if len(self.states) > self.most_states:
+                if key not in met and len(piece) - i <= 64:
+                    met.add(key)
+                    out += self._finish(s, piece[i:])
+                    return out
+                met.discard(key)
+                if len(self.states) > self.most_states or len(met) > 2 * self.most_states:
                     kept = self.states[s]
                     self._forget()
-                    s, moves = self._state(*kept), self.moves
-                move = moves[s << 8 | byte] = self._step(s, byte)
+                    s, moves, met = self._state(*kept), self.moves, self.met
+                    key = s << 8 | byte
+                move = moves[key] = self._step(s, byte)
             s, tokens = move
             if tokens:
                 out += tokens
@@ -204,7 +240,7 @@ class Codec:
         self.machine = MergeTransducer(read_ranks(path))
         self.pattern = regex.compile(plain_space(pattern))
         self.pieces = Memo(lambda p: tuple(self.machine.encode(p.encode())), 100_000)
-        self.chunks = Words(self._spaced, self._chunk)
+        self.chunks = Words(self._spaced, self._chunk, 800_000)
         self.decimal = {r: str(r) for r in self.machine.text}
 
     def _spaced(self, word: str) -> tuple[int, ...]:
