@@ -14,13 +14,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm.common import Irregular, Memo, Words, map_text, plain_space
+from quaystone.llm.common import Irregular, Memo, Words, held, map_text, plain_space
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -268,10 +267,9 @@ class Codec:
         yield stream.close()
 
 
-@lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec in each worker."""
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,6 +54,20 @@ def map_text(
     return narrow.mapInArrow(run, f"{types}, {schema}")
 
 
+_HELD: list = [None, None]
+
+
+def held(key: object, make: Callable):
+    """What this worker keeps from task to task: one operator's memos at a time.
+
+    Workers outlive their stages, so without this the memos of all operators of a pipeline would pile up.
+    """
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
 class Irregular(Exception):
     """A chunk that cannot be tokenised apart from its neighbours."""
 

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quaystone.llm.common import Memo, map_text
+from quaystone.llm.common import Memo, bound_arrow, held, map_text
 
 ORDERS = (4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,7 +40,7 @@ def fit(docs: DataFrame, sample: int = 1500, words: int = 20_000, grams: int = 8
     labelled = docs.where((fold(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(lang_col).alias("lang_"), F.col(text_col).alias("text_"))
     rows = {r["lang_"]: r["n"] for r in labelled.groupBy("lang_").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not rows:
-        return {"langs": [], "words": {}, "grams": {}, "floor": []}
+        return {"id": uuid.uuid4().hex, "langs": [], "words": {}, "grams": {}}
     rate = F.create_map(*(F.lit(x) for k, n in rows.items() for x in (k, min(1.0, sample / n))))
     taken = labelled.where(F.pmod(F.xxhash64("id_"), F.lit(1 << 30)) < rate[F.col("lang_")] * (1 << 30))
     seen = taken.select("lang_", F.explode(F.regexp_extract_all(F.lower("text_"), F.lit(r"\p{L}+"), F.lit(0))).alias("item")).groupBy("lang_", "item").agg(F.count(F.lit(1)).alias("n")).persist()
@@ -61,7 +64,7 @@ def fit(docs: DataFrame, sample: int = 1500, words: int = 20_000, grams: int = 8
         cut = seen.where(F.char_length("item") + 2 >= k).select("lang_", "n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length(padded) - (k - 1)), lambda i: F.substring(padded, i, F.lit(k)))).alias("item"))
         by_order[k], _ = top(cut.groupBy("lang_", "item").agg(F.sum("n").alias("n")), grams)
     seen.unpersist()
-    return {"langs": langs, "words": known, "grams": by_order}
+    return {"id": uuid.uuid4().hex, "langs": langs, "words": known, "grams": by_order}
 
 
 class Scorer:
@@ -71,7 +74,7 @@ class Scorer:
         self.langs, self.known, self.grams = model["langs"], model["words"], model["grams"]
         self.rows = np.zeros((1 << 16, len(self.langs) + 1))
         self.used = 0
-        self.chunks = Memo(self._chunk, min(900_000, (64 << 20) // (8 * (len(self.langs) + 1))))
+        self.chunks = Memo(self._chunk, min(300_000, (32 << 20) // (8 * (len(self.langs) + 1))))
 
     def word(self, w: str) -> list[float]:
         """Log likelihood of a word in each language; without any known n-gram it says nothing."""
@@ -124,14 +127,9 @@ class Scorer:
         return self.langs[best], float(p[best] / p.sum())
 
 
-_LAST: list = [None, None]
-
-
 def scorer(model: dict) -> Scorer:
     """The scorer of the model that this worker used last."""
-    if _LAST[0] is not model:
-        _LAST[:] = [model, Scorer(model)]
-    return _LAST[1]
+    return held(("scorer", model["id"]), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,12 +150,14 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is identified with at least ``least``; others go. Columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    bound_arrow(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
-    def work(texts):
-        s = scorer(sent.value)
-        return [(p, q >= least and p != "und") for p, q in map(s.predict, texts)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = scorer(sent.value)
+                judged = (s.predict(t or "") for t in b.column(at).to_pylist())
+                yield b.filter(pa.array([p != "und" and q >= least for p, q in judged]))
 
-    # The text passes through Python once, with the row's other columns beside it.
-    judged = map_text(docs, {c: F.col(f"`{c}`") for c in columns}, F.col(text_col), "lang_pred_ string, kept_ boolean", ["lang_pred_", "kept_"], work)
-    return judged.where("kept_").select(*columns)
+    return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm.common import Memo, map_text
+from quaystone.llm.common import Memo, held, map_text
 from quaystone.operators.components import connected_components
 from quaystone.plans.storage import drop_table, materialise
 
@@ -33,9 +33,8 @@ HASHES = ROWS * BANDS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(1)
 def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, 600_000, 48)
+    return held("word_hashes", lambda: Memo(xxhash.xxh64_intdigest, 300_000, 48))
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:

@@ -12,13 +12,12 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm.common import map_text
+from quaystone.llm.common import held, map_text
 from quaystone.plans.storage import drop_table, materialise
 
 #: The joint of known words in one call of the tokenizer; on its own it is always this one piece.
@@ -31,7 +30,7 @@ class WordIds:
     Between spaces and line feeds nothing merges, so each chunk is encoded once and remembered.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
@@ -99,10 +98,9 @@ class WordIds:
         return [b"".join(map(look, s)) for s in split]
 
 
-@lru_cache(2)
 def word_ids(path: str) -> WordIds:
     """One in each worker."""
-    return WordIds(path)
+    return held(("word_ids", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm.common import Irregular, Memo, Words, map_text, plain_space
+from quaystone.llm.common import Irregular, Memo, Words, held, map_text, plain_space
 
 #: How byte-level vocabularies split text before the merges (fixed value).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -93,10 +92,9 @@ class Counter:
         return total + self._plain(text[at:] if at else text)
 
 
-@lru_cache(2)
 def counter(path: str) -> Counter:
     """One counter in each worker."""
-    return Counter(path)
+    return held(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
