@@ -210,8 +210,10 @@ def near_duplicates(
     )
     links = dealt.select("cand", "x", "y", "rep", "text").groupBy("cand", "x", "y").applyInPandas(_verify_blocks(percent, width, miss), "a long, b long")
     copies = known.join(repeated, "set_key").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    # Copies hang on their first document, so only first documents need to be in the graph.
-    groups = connected_components(materialise(links, "links"), "a", "b")
+    # Copies hang on their first document, so only first documents need to be in the graph, and ids
+    # of several texts: these join the groups of all their texts.
+    several = known.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").select(F.col("id").alias("a"))
+    groups = connected_components(materialise(links.unionByName(copies.join(several, "a", "left_semi").distinct()), "links"), "a", "b")
     drop_table(texts)
     final = copies.groupBy("a").agg(F.min("b").alias("b")).join(groups.withColumnsRenamed({"node": "b"}), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
     placed = materialise(groups.unionByName(final).groupBy("node").agg(F.min("component").alias("component")), "groups")

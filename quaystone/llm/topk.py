@@ -139,6 +139,15 @@ class BitSlicedBlock:
         mask[:n] = 1
         self.valid = np.packbits(mask, bitorder="little").view(np.uint64)
 
+    def others(self, query_id: int) -> np.ndarray:
+        """The bitmap of the rows of other ids. Rows are in the order of ids, so those of one id are a stretch."""
+        first, end = np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, "right")
+        if first == end:
+            return self.valid
+        mask = np.unpackbits(self.valid.view(np.uint8), bitorder="little")
+        mask[first:end] = 0
+        return np.packbits(mask, bitorder="little").view(np.uint64)
+
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of rows that hold the k best others of the block, ties to the smaller id."""
         terms = [(shift, sign, value) for q, value in zip(query.tolist(), self.slices) for shift, sign in signed_digits(q)]
@@ -146,8 +155,7 @@ class BitSlicedBlock:
         sums = add_all(terms, max(2, largest.bit_length() + 1), self.words)
         # The low bits of attribute d add between 0 and 2**low - 1 times its weight.
         span = int(np.abs(query).sum()) * ((1 << self.low) - 1)
-        rows = best_rows(sums, self.valid, k + 1, -(-span >> self.low) + 1 if self.low else 0)
-        rows = rows[self.ids[rows] != query_id]
+        rows = best_rows(sums, self.others(query_id), k, -(-span >> self.low) + 1 if self.low else 0)
         score = self.values[rows] @ query
         order = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows][order], score[order]

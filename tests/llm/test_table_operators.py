@@ -39,6 +39,28 @@ def test_exact_top_k(spark):
     assert topk.top_k(one, one).count() == 2
 
 
+def test_exact_top_k_with_copies_of_a_queried_row(spark):
+    rows = vectors()
+    rows += [rows[50]] * 3 + [rows[100]] * 7 + [rows[150]] * 40
+    df = spark.createDataFrame(rows, VEC)
+    use = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v, *_ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    for block_rows in (100, 100_000):
+        got = {}
+        for r in topk.top_k(df, df.where("vec_id in (50, 100, 150)").distinct(), k=5, block_rows=block_rows).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in (50, 100, 150):
+            v = dict(use)[q]
+            best = sorted((-int(w @ v), i) for i, w in use if i != q)[:5]
+            assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_a_block_of_the_queried_id_alone_has_no_rows():
+    block = topk.BitSlicedBlock(np.full(70, 2**63 - 1), np.ones((70, 3), np.int64), 2)
+    ids, scores = block.search(2**63 - 1, np.ones(3, np.int64), 5)
+    assert len(ids) == len(scores) == 0
+    assert len(block.search(1, np.ones(3, np.int64), 5)[0]) == 5
+
+
 def test_bitmap_sums():
     rng = np.random.default_rng(3)
     values = rng.integers(-300, 300, (128, 5))
@@ -217,3 +239,13 @@ def test_components_of_copies(spark):
     rows = [(i, "a b c d e f g") for i in range(300)] + [(300 + i, "a b c d e f g h") for i in range(3)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where(F.col("component_id") == 0).count() == 303
+
+
+def test_an_id_of_several_texts_joins_the_groups_of_all(spark):
+    one, two, three, four = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, one), (2, two), (3, one), (3, two), (4, two + " more")]  # 3 copies 1 and 2
+    rows += [(10, three), (11, three), (11, four), (12, four), (13, four + " more")]  # 11 is the first of one text and copies another
+    rows += [(20, "x y z"), (20, "x y z"), (21, "p q r")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (10, 10), (11, 10), (12, 10), (13, 10), (20, 20), (21, 21)}
