@@ -49,6 +49,15 @@ ALLOW = (
     r"^(.)\1*$",
 )
 
+#: For redaction, where a secret that stays costs more than a mark too many. Hex runs end only at other than hex digits,
+#: so that those behind 'sk-', 'key_' or '/' count. A part between delimiters that is named an example ends a base64 run
+#: and hides nothing but itself; of the delimiters beside it one on each side goes with it.
+_NAMED = r"(?![A-Za-z0-9]*(?i:example|dummy|placeholder))"
+REDACTED = (
+    CharClass("entropy_hex", CLASSES[0].alphabet, r"[0-9a-fA-F]{24,}", 24, 3.0),
+    CharClass("entropy_base64", CLASSES[1].alphabet, rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9+/_-]{{24}})(?:[+/_-]{_NAMED}|(?<![A-Za-z0-9]){_NAMED}[A-Za-z0-9]++)++", 24, 3.9),
+)
+
 
 def _spans(text: Column, pattern: str, kind: str, order: int, keep=None) -> Column:
     """array<struct<start, order, end, kind>> of the matches; ``keep`` filters matched strings after matching."""
@@ -153,8 +162,8 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``docs`` with every span that :func:`scan` finds replaced by ``mark``; overlapping spans become one mark.
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", classes: tuple[CharClass, ...] = REDACTED, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """``docs`` with every span that :func:`scan` finds, and those of the wider classes, replaced by ``mark``; overlapping spans become one mark.
 
     Null texts stay null, texts without a span stay as they are; other columns are untouched.
     """

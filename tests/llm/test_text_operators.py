@@ -131,6 +131,32 @@ def test_redaction(spark):
     assert got == {1: "a [SECRET] b", 2: None, 3: "clean 🙂 text", 4: "🙂 [SECRET] z"}
 
 
+def test_redaction_inside_longer_runs(spark):
+    rnd = random.Random(5)
+    hexes = ["".join(rnd.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(30)] + ["".join(rnd.choice("0123456789abcdefABCDEF") for _ in range(32)) for _ in range(10)]
+    key = "q9X2mK7pLw4ZtR8vBn3YsD6fGh1JcA5e"
+    left = ["sk-", "key_", "files/v1/", "xyz"]
+    rows = [f"a {left[i % 4]}{h} z" for i, h in enumerate(hexes)] + [f"see com/example/{key} z", f"{key}/EXAMPLE/{key[::-1]}", f"dummy_files//{key}"]
+    quiet = ["id com/example/123e4567-e89b-12d3-a456-426614174000 ok", "123e4567-e89b-12d3-a456-426614174000/example", f"sk-example{key}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "path/of/long/words/and/more/words", "x" * 5000, "a/" * 5000]
+    d = spark.createDataFrame(list(enumerate(rows + quiet)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    for i, h in enumerate(hexes):
+        assert "[SECRET]" in got[i] and h not in got[i] and not re.search("[0-9a-fA-F]{8}", got[i]), rows[i]
+    assert got[40] == "see com/example/[SECRET] z" and got[41] == "[SECRET]/EXAMPLE/[SECRET]" and got[42].endswith("[SECRET]") and key not in got[42]
+    assert [got[len(rows) + i] for i in range(len(quiet))] == quiet
+
+
+def test_redaction_covers_what_the_scan_finds(spark):
+    rnd = random.Random(6)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF/_-", secrets.CLASSES[1].alphabet]
+    word = lambda: rnd.choice(["example", "DUMMY", "/", "-", "_", "sk-", " ", "🙂", "".join(rnd.choice(rnd.choice(alphabets)) for _ in range(rnd.randrange(1, 60)))])
+    d = spark.createDataFrame([(i, "".join(word() for _ in range(12))) for i in range(300)], "doc_id long, text string")
+    spans = [F.flatten(F.array(*(secrets._entropy_spans(F.col("text"), c, 3, secrets.ALLOW) for c in classes))) for classes in (secrets.CLASSES, secrets.REDACTED)]
+    got = d.select(spans[0].alias("old"), spans[1].alias("new")).collect()
+    assert sum(len(r.old) for r in got) > 50 and sum(len(r.new) for r in got) > sum(len(r.old) for r in got)
+    assert all(any(x.start <= o.start and o.end <= x.end for x in r.new) for r in got for o in r.old)
+
+
 def test_language_id(spark):
     rnd = random.Random(7)
     words = {"en": "the of and house tree water with from".split(), "de": "der und das haus baum wasser mit von".split()}
