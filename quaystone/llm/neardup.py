@@ -1,30 +1,33 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. One pass over whole texts: the set of word shingles as 64-bit hashes, a digest of the set, and
-   the banded MinHash keys. Equal sets collapse to their smallest id.
-2. Rows that share a band key are candidates. Star edges to the smallest id of each bucket (linear
-   in its members) give candidate components: every candidate pair lies inside one.
-3. Each candidate component is verified where its texts meet. Signatures are compared in batches;
-   a pair is dropped as soon as the posterior probability that its similarity reaches the
-   threshold is under ``miss``. Survivors are verified exactly on the full sets, best estimate
-   first, and pairs that are connected already are skipped: no link that could join two groups is
-   left out. A component that is too large for one task is cut into blocks, and every pair of
-   blocks is one task, so nothing is capped and no pair is missed.
-4. The components of the confirmed links are the duplicate groups.
+   its signature: 32 bands of four 16-bit MinHash values. Equal sets collapse to their smallest id.
+2. Rows with an equal band are candidates. Each row is first paired with the smallest id of its
+   bucket only (linear in the bucket). The pairs meet with their two signatures and nothing else,
+   which are compared in batches: a pair goes as soon as the posterior probability that its
+   similarity reaches the threshold is under ``miss``. Survivors are verified exactly on the full
+   sets of the two texts.
+3. The confirmed links make groups, and a bucket whose rows are all of one group is settled. In
+   every other bucket all candidate pairs of different groups are compared and pruned in the same
+   way (large buckets in pairs of blocks, so that no task holds one whole), and survivors are
+   verified. No pair that could join two groups is left out, nothing is capped, and the pairs
+   inside a group of copies, of which there may be its size squared, are never made.
+4. The components of all confirmed links are the duplicate groups.
 """
 
 from __future__ import annotations
 
 import math
-import struct
-from functools import lru_cache
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm.common import Memo, held, map_text
+from quaystone.llm.common import Memo, bound_arrow, held, map_text
 from quaystone.operators.components import connected_components
 from quaystone.plans.storage import drop_table, materialise
 
@@ -34,7 +37,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _word_hashes() -> Memo:
-    return held("word_hashes", lambda: Memo(xxhash.xxh64_intdigest, 300_000, 48))
+    return held("word_hashes", lambda: Memo(xxhash.xxh64_intdigest, 200_000, 48))
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -61,17 +64,19 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     return np.unique(_scramble(h))
 
 
-@lru_cache(1)
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """MinHash values of a non-empty set, a bounded block at a time."""
-    a, best = _multipliers(), np.full(HASHES, 0xFFFFFFFF, np.uint64)
+    """16-bit MinHash values of a non-empty set, a bounded block at a time.
+
+    Each is the lower half of a 32-bit minimum. Two unequal minima agree in it by chance once in
+    65,536, which can only let a pair through to the exact check.
+    """
+    best = np.full(HASHES, 0xFFFFFFFF, np.uint64)
     for i in range(0, len(s), 1024):
-        np.minimum(best, ((s[i : i + 1024, None] * a) >> np.uint64(32)).min(axis=0), out=best)
-    return best.astype(np.uint32)
+        np.minimum(best, ((s[i : i + 1024, None] * _FACTORS) >> np.uint64(32)).min(axis=0), out=best)
+    return best.astype(np.uint16)
 
 
 def _describe(width: int):
@@ -79,12 +84,7 @@ def _describe(width: int):
         out = []
         for t in texts:
             s = shingles(t, width)
-            if not len(s):
-                out.append((0, None, None))
-                continue
-            sig = signature(s)
-            keys = [struct.unpack("<q", xxhash.xxh64_digest(sig[b * ROWS : b * ROWS + ROWS].tobytes(), b))[0] for b in range(BANDS)]
-            out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), keys))
+            out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), signature(s).view(np.int64)) if len(s) else (0, None, None))
         return out
 
     return work
@@ -107,69 +107,128 @@ def least_matches(threshold: float, miss: float, batch: int) -> list[int]:
 
 
 class _Groups:
-    """Union-find over positions."""
+    """Union-find over labels."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
     def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
+        up = self.up
+        while (j := up.get(i, i)) != i:
+            up[i] = i = up.get(j, j)
         return i
 
     def join(self, i: int, j: int) -> None:
         i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
 
 
-def links_within(sets: list[np.ndarray], percent: int, miss: float, batch: int = 32) -> _Groups:
-    """Groups among sets: Bayesian pruning row by row of the pair matrix, then exact checks."""
-    n, groups = len(sets), _Groups(len(sets))
-    sigs = np.stack([signature(s) for s in sets])
-    sizes = np.array([len(s) for s in sets])
-    least = least_matches(percent / 100, miss, batch)
-    near: list[tuple[int, int, int]] = []
+def survivors(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, equal values) of the pairs of signatures that pass all batches; one row of each side a pair."""
+    at = np.flatnonzero(100 * np.minimum(n_left, n_right) >= percent * np.maximum(n_left, n_right))  # else even containment falls short
+    same, batch = np.zeros(len(at), np.int64), HASHES // len(least)
+    for k, need in enumerate(least):
+        part = slice(k * batch, k * batch + batch)
+        same = same + (left[at, part] == right[at, part]).sum(axis=1)
+        at, same = at[same >= need], same[same >= need]
+    return at, same
+
+
+def _signatures(column) -> np.ndarray:
+    """One row of 16-bit values for each signature of an Arrow list column."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, HASHES)
+
+
+def _prune(pairs: DataFrame, signed: DataFrame, percent: int, least: list[int]) -> DataFrame:
+    """(a, b, same) of the pairs (a, b) that survive the comparison of their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at, same = survivors(_signatures(b.column(2)), _signatures(b.column(3)), b.column(4).to_numpy(), b.column(5).to_numpy(), percent, least)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(same)], names=["a", "b", "same"])
+
+    one = signed.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
+    two = signed.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long, same long")
+
+
+def _across(percent: int, least: list[int]):
+    """Within each bucket (or pair of blocks of one): the surviving pairs of rows of different groups, but those with its first row, which were compared before."""
 
-    def verify(pairs: list[tuple[int, int, int]]) -> None:
-        for _, i, j in sorted(pairs):
-            if groups.find(i) == groups.find(j):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                groups.join(i, j)
-
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        j = j[100 * small >= percent * large]  # else even containment falls short
-        same = np.zeros(len(j), np.int64)
-        for k, need in enumerate(least):
-            if not len(j):
-                break
-            same += (sigs[j, k * batch : k * batch + batch] == sigs[i, k * batch : k * batch + batch]).sum(axis=1)
-            j, same = j[same >= need], same[same >= need]
-        near.extend((-int(m), i, int(x)) for m, x in zip(same, j))
-        if len(near) > 200_000:  # bounded memory: settle what there is
-            verify(near)
-            near = []
-    verify(near)
-    return groups
-
-
-def _verify_blocks(percent: int, width: int, miss: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        ids = pdf["rep"].to_numpy(np.int64)
-        groups = links_within([shingles(t, width) for t in pdf["text"]], percent, miss)
-        found = [(int(ids[i]), int(ids[r])) for i in range(len(ids)) if (r := groups.find(i)) != i]
-        return pd.DataFrame({"a": [x for x, _ in found], "b": [x for _, x in found]}, dtype="int64")
+        found = []
+        for (_, x, y), part in pdf.groupby(["band", "x", "y"], sort=False):
+            if len(part) < 2 or part["comp"].iat[0] == part["comp"].iat[-1] and part["comp"].nunique() == 1:
+                continue
+            part = part.sort_values("id")
+            ids, comp, n, own = (part[c].to_numpy(np.int64) for c in ("id", "comp", "n_shingles", "own"))
+            sig = np.stack(part["sig"].to_numpy()).astype(np.int64).view(np.uint16)
+            first = part["first"].iat[0]
+            for i in range(len(ids)):
+                if ids[i] == first:
+                    continue
+                right = (comp > comp[i]) & (ids != first)
+                if x != y:
+                    right &= own != own[i]
+                j = np.flatnonzero(right)
+                if not len(j):
+                    continue
+                at, same = survivors(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], np.broadcast_to(n[i], len(j)), n[j], percent, least)
+                j = j[at]
+                found.append(np.stack([np.full(len(j), ids[i]), ids[j], same, np.full(len(j), comp[i]), comp[j]], axis=1))
+        return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 5), np.int64), columns=["a", "b", "same", "ca", "cb"])
 
     return run
 
 
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int, pair_rows: int, block_bytes: int, broadcast_rows: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, same, ca, cb) whose full sets reach the threshold, but those whose groups ca and cb other links of the same task have joined already.
+
+    ``docs`` has id and text. Pairs are dealt by b, those of a very frequent b also by a; a task
+    gets each of its texts once. About ``pair_rows`` pairs or ``block_bytes`` bytes meet in a task.
+    """
+    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > pair_rows)
+    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+    few = needed.count() <= broadcast_rows
+    texts = materialise(docs.join(F.broadcast(needed) if few else needed, "id"), "texts")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, pairs.count() // pair_rows, 2 * size // block_bytes)
+    dealt = materialise(
+        pairs.join(often, "b", "left").withColumn("share", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / pair_rows))).otherwise(F.lit(0)))
+        .select("a", "b", "same", "ca", "cb", F.pmod(F.xxhash64("b", "share"), F.lit(parts)).cast("int").alias("deal")),
+        "dealt",
+    )
+    sent = dealt.select(F.col("deal").alias("sent"), F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("sent", "id", "text")
+
+    def check(todo: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        sets, groups, found = defaultdict(list), _Groups(), []
+        for i, t in zip(known["id"].tolist(), known["text"]):
+            sets[i].append(shingles(t, width))
+        todo = todo.sort_values(["same", "a", "b"], ascending=[False, True, True])
+        for a, b, ca, cb in zip(todo["a"].tolist(), todo["b"].tolist(), todo["ca"].tolist(), todo["cb"].tolist()):
+            if groups.find(ca) != groups.find(cb) and any(_alike(s, t, percent) for s in sets[a] for t in sets[b]):
+                groups.join(ca, cb)
+                found.append((a, b))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    found = materialise(dealt.groupBy("deal").cogroup(sent.groupBy("sent")).applyInPandas(check, "a long, b long"), "links")
+    for t in (needed, texts, dealt):
+        drop_table(t)
+    return found
+
+
+def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if not len(s) or not len(t):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text",
-    block_rows: int = 256, block_bytes: int = 8 << 20, broadcast_rows: int = 1_000_000,
+    block_rows: int = 1024, pair_rows: int = 512, block_bytes: int = 4 << 20, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(id, n_shingles long, component_id long, kept boolean), one row for each row of ``docs``.
 
@@ -177,44 +236,56 @@ def near_duplicates(
     no part: their component_id is null and they are kept. Repeated ids are one document with
     several texts. Extra columns are ignored.
 
-    ``broadcast_rows`` bounds the table of candidates that is sent to every executor (24 bytes a
-    row); a larger one is joined by a shuffle.
+    ``block_rows`` bounds what of a bucket meets in one task, ``pair_rows`` and ``block_bytes`` are
+    the pairs and the bytes of texts that a verifying task gets, about. ``broadcast_rows`` bounds
+    the table of ids that is sent to every executor (16 bytes a row); a larger one is joined by a
+    shuffle.
     """
+    bound_arrow(docs.sparkSession)
+    least = least_matches(percent / 100, miss, 32)
     described = materialise(
-        map_text(docs, {"id": F.col(id_col).cast("long")}, F.col(text_col), "n_shingles long, set_key string, bands array<long>", ["n_shingles", "set_key", "bands"], _describe(width)), "described"
+        map_text(docs, {"id": F.col(id_col).cast("long")}, F.col(text_col), "n_shingles long, set_key string, sig array<long>", ["n_shingles", "set_key", "sig"], _describe(width)), "described"
     )
     known = described.where(F.col("id").isNotNull() & F.col("set_key").isNotNull())
     reps = known.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     repeated = materialise(reps.where("copies > 1").select("set_key", "rep"), "repeated")
-    firsts = known.join(repeated, "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("id")))
-
-    member = firsts.select("id", F.explode("bands").alias("band")).distinct()
-    centre = member.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    stars = member.join(centre.select("band", "first"), "band").where("id != first").select("id", "first")
-    candidates = connected_components(stars, "id", "first").withColumnsRenamed({"node": "cid", "component": "cand"})
-
-    # Texts of candidates only; how large each component is decides its blocks.
-    few = candidates.count() <= broadcast_rows
-    texts = docs.select(F.col(id_col).cast("long").alias("cid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(candidates) if few else candidates, "cid")
-    texts = materialise(texts.withColumnRenamed("cid", "rep").withColumn("bytes", F.octet_length("text")), "candidates")
-    sizes = texts.groupBy("cand").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")).select(
-        "cand", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks")
-    )
-    small = sizes.count() <= broadcast_rows
-    dealt = (
-        texts.drop("bytes").join(F.broadcast(sizes) if small else sizes, "cand")
-        .withColumn("own", F.pmod(F.xxhash64("rep", "text"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("blocks") == 2, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))))
-        .withColumn("x", F.when(F.col("other") < 0, 0).otherwise(F.least("own", "other")))
-        .withColumn("y", F.when(F.col("other") < 0, 1).otherwise(F.greatest("own", "other")))
+    signed = known.join(repeated, "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).select("id", "n_shingles", "sig")
+
+    # Buckets: rows with an equal band. Those of one row are gone after the first aggregate.
+    member = signed.select("id", F.posexplode("sig").alias("at", "band")).select("id", F.xxhash64("at", "band").alias("band"))
+    buckets = materialise(member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "first"), "buckets")
+    crowd = materialise(member.join(buckets, "band"), "crowd")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = (percent, width, pair_rows, block_bytes, broadcast_rows)
+
+    stars = crowd.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    near = materialise(_prune(stars, signed, percent, least).groupBy("a", "b").agg(F.max("same").alias("same")), "near")
+    links = _verify(near.withColumns({"ca": F.col("a"), "cb": F.col("b")}), texts, *sizes)
+    groups = materialise(connected_components(links, "a", "b"), "groups")
+
+    labelled = crowd.join(groups, F.col("id") == F.col("node"), "left").select("band", "id", "first", F.coalesce("component", "id").alias("comp"))
+    labelled = materialise(labelled, "labelled")
+    unsettled = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high")
+    unsettled = materialise(unsettled.select("band", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")), "unsettled")
+    rest = labelled.join(unsettled, "band").join(signed, "id")
+    rest = (
+        rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "first", "comp", "n_shingles", "sig")
     )
-    links = dealt.select("cand", "x", "y", "rep", "text").groupBy("cand", "x", "y").applyInPandas(_verify_blocks(percent, width, miss), "a long, b long")
+    total = unsettled.agg(F.sum("blocks")).first()[0] or 0
+    deals = max(1, docs.sparkSession.sparkContext.defaultParallelism, total // 2_000)
+    across = rest.withColumn("deal", F.pmod(F.xxhash64("band", "x", "y"), F.lit(deals))).groupBy("deal").applyInPandas(_across(percent, least), "a long, b long, same long, ca long, cb long")
+    more = materialise(across.groupBy("a", "b").agg(F.max("same").alias("same"), F.min("ca").alias("ca"), F.min("cb").alias("cb")), "more")
+    links = _verify(more, texts, *sizes)
+
     copies = known.join(repeated, "set_key").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies hang on their first document, so only first documents need to be in the graph, and ids
     # of several texts: these join the groups of all their texts.
     several = known.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").select(F.col("id").alias("a"))
-    groups = connected_components(materialise(links.unionByName(copies.join(several, "a", "left_semi").distinct()), "links"), "a", "b")
-    drop_table(texts)
+    links = links.unionByName(copies.join(several, "a", "left_semi").distinct()).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    groups = connected_components(materialise(links, "links"), "a", "b")
+    for t in (buckets, crowd, labelled, near, more):
+        drop_table(t)
     final = copies.groupBy("a").agg(F.min("b").alias("b")).join(groups.withColumnsRenamed({"node": "b"}), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
     placed = materialise(groups.unionByName(final).groupBy("node").agg(F.min("component").alias("component")), "groups")
     return (

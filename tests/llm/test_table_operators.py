@@ -130,12 +130,12 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("block_rows", [256, 3])
+@pytest.mark.parametrize("block_rows", [1024, 3])
 def test_near_duplicates(spark, block_rows):
     rows = list(enumerate(near_texts()))
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, component string, id int").repartition(3)
     df = df.unionByName(spark.createDataFrame([(None, "one two three four five", None, None)], df.schema))
-    got = neardup.near_duplicates(df, block_rows=block_rows).collect()
+    got = neardup.near_duplicates(df, block_rows=block_rows, pair_rows=block_rows // 2, block_bytes=block_rows << 10).collect()
     assert len(got) == len(rows) + 1
     want = brute_groups(rows)
     for r in got:
