@@ -1,14 +1,18 @@
-"""What the text operators share: Arrow settings, word caches and one-pass mappers."""
+"""What the text operators share: Arrow settings, one-pass mappers, distinct chunks and bounded memos."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows and bytes that go to a Python worker at once, so that very long texts do not pile up.
-ARROW_ROWS, ARROW_BYTES = "2000", "16m"
+ARROW_ROWS, ARROW_BYTES = "2000", "8m"
 
 
 #: Arrow types of the fields that mappers return.
@@ -38,8 +42,9 @@ def map_text(
             n = b.num_rows
             if not n:
                 continue
-            texts = b.column(len(names)).to_pylist()
-            made = work(texts)
+            made = []
+            for texts in portions(b.column(len(names)).to_pylist()):
+                made.extend(work(texts))
             if many:
                 at = [i for i, rows in enumerate(made) for _ in rows]
                 made = [row for rows in made for row in rows]
@@ -54,16 +59,100 @@ def map_text(
     return narrow.mapInArrow(run, f"{types}, {schema}")
 
 
+def portions(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+    """Stretches of texts of about ``most`` characters, or of one longer text."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+class Chunks:
+    """Texts split at single spaces, each distinct chunk once, without a Python object for any.
+
+    ``distinct`` has the chunks, ``codes`` the place there of every chunk of every text, and
+    ``bounds`` where each text begins in ``codes``. No text is without a chunk.
+    """
+
+    def __init__(self, texts: list[str]):
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        self.distinct, self.codes, self.bounds = coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy()
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each text the sum of its chunks' values."""
+        return np.add.reduceat(values[self.codes], self.bounds[:-1])
+
+    def spread(self, first: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> list[np.ndarray]:
+        """For each text the numbers of all its chunks, one after another."""
+        n = sizes[self.codes]
+        end = np.cumsum(n)
+        at = np.repeat(first[self.codes] - (end - n), n)
+        at += np.arange(len(at))
+        out, cuts = flat[at], np.concatenate([[0], end])[self.bounds]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+class Lexicon:
+    """A bounded memo from chunks to numbers: Arrow strings beside flat arrays, a few dozen bytes an entry.
+
+    ``make`` takes an Arrow array of new chunks and returns (first, sizes, flat): the numbers of
+    chunk i are flat[first[i] : first[i] + sizes[i]]. When over ``most_bytes`` are held, only what
+    the last call asked for stays, and nothing if that is too large itself.
+    """
+
+    def __init__(self, make: Callable, kind: str, most_bytes: int = 40 << 20):
+        self.make, self.kind, self.most_bytes = make, kind, most_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = pa.array([], pa.large_string())
+        self.first, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.kind)
+
+    def look_up(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, sizes, flat) of distinct chunks."""
+        at = pc.index_in(distinct, self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        new = at < 0
+        if new.any():
+            fresh = distinct.filter(pa.array(new))
+            first, sizes, flat = self.make(fresh)
+            at[new] = len(self.keys) + np.arange(len(fresh))
+            self.keys = pa.concat_arrays([self.keys, fresh])
+            self.first = np.concatenate([self.first, first + len(self.flat)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+        first, sizes, flat = self.first[at], self.sizes[at], self.flat
+        if self.keys.nbytes + self.flat.nbytes + 16 * len(self.keys) > self.most_bytes:
+            self._forget()
+            end = np.cumsum(sizes)
+            n = int(end[-1]) if len(end) else 0
+            if distinct.nbytes + n * flat.itemsize + 16 * len(distinct) <= self.most_bytes:
+                take = np.repeat(first - (end - sizes), sizes) + np.arange(n)
+                self.keys, self.first, self.sizes, self.flat = distinct, end - sizes, sizes, flat[take]
+        return first, sizes, flat
+
+
 _HELD: list = [None, None]
 
 
 def held(key: object, make: Callable):
     """What this worker keeps from task to task: one operator's memos at a time.
 
-    Workers outlive their stages, so without this the memos of all operators of a pipeline would pile up.
+    Workers outlive their stages, so without this the memos of all operators of a pipeline would
+    pile up. What the last operator held goes back to the system before the next one begins.
     """
     if _HELD[0] != key:
         _HELD[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
         _HELD[:] = [key, make()]
     return _HELD[1]
 
