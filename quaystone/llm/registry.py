@@ -7,7 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from quaystone.llm import ann, bpe, langid, neardup, packing, secrets, shard, tokencount, topk, warc
 
 
@@ -62,7 +61,7 @@ QUERIES = (op1_exact_top_k, op2_near_dedup, op3_bpe_round_trip, op4_secret_scan,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

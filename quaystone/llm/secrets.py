@@ -176,7 +176,10 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", clas
             *(_entropy_spans(text, c, 3 + i, allow) for i, c in enumerate(classes)),
         )
     )
-    found = F.col("spans__")
+    name = "spans_"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    found = F.col(name)
     rebuilt = F.aggregate(
         found,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -187,4 +190,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", clas
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))),
     )
     clean = F.when(text.isNotNull() & (F.size(found) > 0), rebuilt).otherwise(text)
-    return docs.withColumn("spans__", F.when(text.isNotNull(), spans)).withColumn(text_col, clean).drop("spans__")
+    return docs.withColumn(name, F.when(text.isNotNull(), spans)).withColumn(text_col, clean).drop(name)

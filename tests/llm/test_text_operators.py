@@ -129,6 +129,9 @@ def test_redaction(spark):
     d = spark.createDataFrame([(1, "a password = hunter22 b", 7), (2, None, 7), (3, "clean 🙂 text", 7), (4, "🙂 0123456789abcdef0123456789abcdef z", 7)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in secrets.redact(d).collect()}
     assert got == {1: "a [SECRET] b", 2: None, 3: "clean 🙂 text", 4: "🙂 [SECRET] z"}
+    clash = secrets.redact(d.withColumn("spans_", F.lit("own")).withColumn("SPANS__", F.lit(1)))
+    assert clash.columns == ["doc_id", "text", "n_chars", "spans_", "SPANS__"] and {(r.text, r["spans_"], r["SPANS__"]) for r in clash.collect()} == {(t, "own", 1) for t in got.values()}
+    assert secrets.redact(d.limit(0)).count() == 0
 
 
 def test_redaction_inside_longer_runs(spark):
@@ -173,6 +176,62 @@ def test_language_id(spark):
     assert langid.predict(d.limit(3), none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_counts_letters_only():
+    model = {"id": "x", "langs": ["de", "en"], "orders": {}}
+    import pyarrow as pa
+
+    for k in (0, *langid.ORDERS):
+        item = ["haus"] if k == 0 else [" haus "[1 : 1 + k].encode("utf-32-le")]
+        model["orders"][k] = (pa.array(item, pa.string() if k == 0 else pa.binary(4 * k)), np.array([0, 1]), np.array([0], np.int32), np.array([2.0]), np.array([-3.0, -3.0]))
+    got = langid.Scorer(model).predict(["½", "² Ⅷ", "\u0301 \u0300", "", " \n", "漢字", "½haus", "x"])
+    assert [p for p, _ in got] == ["und"] * 5 + ["de", "de", "de"]  # equal scores: the first by name
+    assert got[0][1] == 0 and got[5][1] == 0.5 and got[6][1] > 0.5
+
+
+def test_language_id_backs_off_as_brute_force_does(spark):
+    """Words first, then the longest order with a known n-gram, computed again with dictionaries."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    import regex
+
+    rnd = random.Random(8)
+    stems = {k: ["".join(rnd.choice(a) for _ in range(rnd.randrange(1, 7))) for _ in range(60)] for k, a in (("aa", "abcdeé"), ("bb", "bcdefñ"), ("cc", "xyzab日"))}
+    rows = [(i, " ".join(rnd.choice(stems[k]) for _ in range(15)), k) for i in range(240) for k in [("aa", "bb", "cc")[i % 3]]]
+    rows += [(500 + i, " ".join("".join(rnd.choice("abcdxyzéñ日q1½ ") for _ in range(9)) for _ in range(8)), None) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    word = regex.compile(r"\p{L}+")
+    counts = {k: defaultdict(Counter) for k in range(5)}
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in word.findall(t.lower()):
+                counts[0][w][k] += 1
+                for n in (1, 2, 3, 4):
+                    for j in range(len(w) + 3 - n):
+                        counts[n][f" {w} "[j : j + n]][k] += 1
+    langs = ["aa", "bb", "cc"]
+    total = {(n, k): sum(c[k] for c in t.values()) + sum(c[k] > 0 for c in t.values()) + 1 for n, t in counts.items() for k in langs}
+
+    def score(w):
+        for n in (0, 4, 3, 2, 1):
+            items = [w] if n == 0 else [f" {w} "[j : j + n] for j in range(len(w) + 3 - n)]
+            found = [c for x in items if sum((c := counts[n].get(x, Counter())).values()) >= 4]
+            if found:
+                return [sum(math.log((c[k] + 1) / total[n, k]) for c in found) / len(found) for k in langs]
+        return [0.0] * 3
+
+    got = {r.doc_id: r for r in langid.predict(d, langid.fit(d)).collect()}
+    for i, t, _ in rows:
+        words = word.findall(t.lower())
+        s = [sum(x) for x in zip(*map(score, words))] if words else None
+        if s is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        p = np.exp(np.array(s) - max(s))
+        assert abs(got[i].score - float(p.max() / p.sum())) < 1e-9 and s[langs.index(got[i].lang_pred)] >= max(s) - 1e-9
+
+
 def test_pieces_are_those_of_the_library(docs):
     tool = Tokenizer.from_file(WORDS)
     text = {r.doc_id: r.text for r in docs.collect()}
