@@ -10,92 +10,106 @@ bins replace the old where they are fewer. Only ids and lengths are shuffled, ne
 
 from __future__ import annotations
 
-import unicodedata
+import json
 import zlib
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm.common import held, map_text
+from quaystone.llm.common import Chunks, Lexicon, held, map_text
+from quaystone.llm.tokencount import byte_symbols
 from quaystone.plans.storage import drop_table, materialise
 
-#: The joint of known words in one call of the tokenizer; on its own it is always this one piece.
-JOINT = "⁣"
+
+#: White space among the characters of Latin-1, inside a class of characters.
+LATIN_SPACE = r"\t-\r \x{85}\x{a0}"
 
 
 class WordIds:
-    """Ids of whole texts for a tokenizer that drops white space, as little-endian unsigned 32-bit.
+    """Ids of whole texts for a tokenizer that drops white space, as unsigned 32-bit numbers.
 
-    Between spaces and line feeds nothing merges, so each chunk is encoded once and remembered.
+    Between spaces and line feeds nothing merges, so each distinct chunk is encoded once a batch and
+    remembered for a while. Chunks of Latin-1 characters, where lower case and the normal form are
+    character-wise, are cut by the tokenizer's own pattern, and all their pieces are merged in a few
+    calls without its normaliser; tokens that end a word show where they part. Other chunks go
+    through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        suffix = spec["model"]["end_of_word_suffix"]
+        if [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or level["type"] != "ByteLevel" or not suffix:
+            raise ValueError("only lower-casing BPE with word ends that drops white space is encoded")
         self.tool = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.most = most
-        self.joint = self._ids([JOINT])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only: many in one call, which costs less than a call each."""
-        out: list[bytes] = []
-        joint = np.frombuffer(self.joint, "<u4")
-        for i in range(0, len(words), 400):
-            part = words[i : i + 400]
-            ids = np.array(self.tool.encode_batch_fast([f" {JOINT} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == joint[0])
-            if len(joint) != 1 or len(at) != len(part) - 1:
-                out += self._ids(part)
-                continue
-            bounds = [-1, *at.tolist(), len(ids)]
-            out += [ids[a + 1 : b].tobytes() for a, b in zip(bounds, bounds[1:])]
-        return out
-
-    @staticmethod
-    def prepare(text: str) -> str:
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer, self.merger.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.piece = f"({split['pattern']['Regex']})".replace(r"[^\s", "[^" + LATIN_SPACE)
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        # The symbol of each byte; a line feed ends a piece and stays a space.
+        self.symbols = np.array([ord(s) for s in byte_symbols()], "<u2")
+        self.symbols[[ord(" "), ord("\n")]] = ord(" ")
+        self.marks = tuple({t["content"][:2] for t in spec["added_tokens"]})
+        self.memo = Lexicon(self._encode, "<u4")
+
+    def _whole(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) by the whole tokenizer."""
+        made = [e.ids for e in self.tool.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
+        return np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(chain.from_iterable(made), "<u4")
+
+    def _merged(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of chunks of Latin-1 characters."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(chunks), f"[{LATIN_SPACE}]+", " ")
+        cut = pc.replace_substring_regex(spaced, self.piece, "\\1\n")
+        pieces = pc.count_substring(cut, "\n").to_numpy()
+        if not len(cut):
+            return np.empty(0, np.int64), np.empty(0, "<u4")
+        _, offsets, data = cut.buffers()  # all chunks one after another
+        begin, end = np.frombuffer(offsets, np.int64)[[cut.offset, cut.offset + len(cut)]]
+        said = self.symbols[np.frombuffer(data or b"", np.uint8)[begin:end]].tobytes().decode("utf-16-le")
+        parts, at = [], 0
+        while at < len(said):
+            end = said.find(" ", at + 50_000)
+            end = len(said) if end < 0 else end
+            parts.append(np.array(self.merger.encode_batch_fast([said[at:end]], add_special_tokens=False)[0].ids, "<u4"))
+            at = end
+        ids = np.concatenate([np.empty(0, "<u4"), *parts])
+        ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        if len(ends) != pieces.sum() + 1:
+            return self._whole(chunks.to_pylist())
+        return np.diff(ends[np.concatenate([[0], np.cumsum(pieces)])]), ids
+
+    def _encode(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(chunks, "^[\\x{00}-\\x{ff}]*$")
+        for m in self.marks:
+            plain = pc.and_not(plain, pc.match_substring(chunks, m))
+        mask = plain.to_numpy(zero_copy_only=False)
+        sizes = np.empty(len(chunks), np.int64)
+        first = np.empty(len(chunks), np.int64)
+        merged, ids = self._merged(chunks.filter(plain))
+        whole, more = self._whole(chunks.filter(pc.invert(plain)).to_pylist())
+        sizes[mask], sizes[~mask] = merged, whole
+        first[mask], first[~mask] = np.cumsum(merged) - merged, np.cumsum(whole) - whole + len(ids)
+        return first, sizes, np.concatenate([ids, more])
+
+    def prepare(self, text: str) -> str:
         """White space as spaces, and lower case where that is a character-wise step of the tokenizer itself."""
         text = text.replace("\n", " ")
-        if "<|" in text:
+        if any(m in text for m in self.marks):
             return text
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text
-        return text.lower()
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Remember the chunks of a batch; returns those too long to keep."""
-        memo = self.memo
-        new = [c for c in chunks if c not in memo]
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = list(chunks)
-        long = {c: v for c, v in zip(l, self._ids(l))} if (l := [c for c in new if len(c) > 64]) else {}
-        tails = {c: s for c in new if len(c) <= 64 and c[-1:] in (".", ",") and (s := c[:-1]).isalpha()}
-        words = {c for c in new if len(c) <= 64 and c.isalpha()} | {s for s in tails.values() if s not in memo}
-        words = [w for w in words if JOINT not in w and unicodedata.is_normalized("NFC", w)]
-        memo.update(zip(words, self._words(words)))
-        rest = [c for c in new if len(c) <= 64 and c not in memo and c not in tails]
-        rest += [x for x in (".", ",") if x not in memo]
-        rest += [s for s in set(tails.values()) if s not in memo]
-        memo.update(zip(rest, self._ids(rest)))
-        memo.update((c, memo[s] + memo[c[-1]]) for c, s in tails.items())
-        return long
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.prepare(t).split(" ") for t in texts]
-        chunks: set[str] = set()
-        for s in split:
-            chunks.update(s)
-        long = self.learn(chunks)
-        look = self.memo.__getitem__ if not long else (lambda c: long[c] if c in long else self.memo[c])
-        return [b"".join(map(look, s)) for s in split]
+        return text.lower() if text.isascii() or max(text, default="") < "\u0100" else text
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        chunks = Chunks([self.prepare(t) for t in texts])
+        return chunks.spread(*self.memo.look_up(chunks.distinct))
 
 
 def word_ids(path: str) -> WordIds:
@@ -110,13 +124,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id
     """
 
     def work(texts):
-        end, out = np.array([end_id], "<u4").tobytes(), []
-        tool = word_ids(path)
-        for i in range(0, len(texts), 500):
-            for ids in tool.encode(texts[i : i + 500]):
-                ids += end
-                cuts = range(0, len(ids), 4 * capacity)
-                out.append([(k, a // 4, len(part := ids[a : a + 4 * capacity]) // 4, zlib.crc32(part)) for k, a in enumerate(cuts)])
+        end, out = np.array([end_id], "<u4"), []
+        for ids in word_ids(path).encode(texts):
+            ids = np.concatenate([ids, end])
+            out.append([(k, a, len(part := ids[a : a + capacity]), zlib.crc32(part)) for k, a in enumerate(range(0, len(ids), capacity))])
         return out
 
     return map_text(docs, {id_col: F.col(id_col)}, F.col(text_col), "piece int, start long, length long, ids_crc32 long", ["piece", "start", "length", "ids_crc32"], work, many=True)
@@ -185,18 +196,19 @@ def _pack(items: DataFrame, parts: int, salt: int, capacity: int) -> DataFrame:
     return dealt.groupBy("deal").applyInPandas(pack, _PACKED.format(id=kind))
 
 
-def pack(items: DataFrame, capacity: int = 4096, id_col: str = "doc_id", per_part: int = 40_000, rounds: int = 3) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, id_col: str = "doc_id", per_part: int = 40_000) -> DataFrame:
     """Pack the rows of :func:`pieces`: adds sequence_id long and offset long.
 
     ``per_part`` bounds the pieces that meet in one task (a hash deals them, so no key can be hot).
-    Every piece comes back once; repeated rows are separate pieces. An empty table gives none.
+    Exchange goes on for as long as a round saves a bin. Every piece comes back once; repeated rows
+    are separate pieces. An empty table gives none.
     """
     now = materialise(items.withColumnRenamed(id_col, "id_"), "pieces")
     total = now.count()
     packed = materialise(_pack(now, max(1, -(-total // per_part)), 0, capacity), "packed")
     drop_table(now)
     done: list[DataFrame] = []
-    for salt in range(1, rounds + 1):
+    for salt in count(1):
         # A partition with a gap gives up its bins that are not full, if that can save one.
         gaps = packed.select("deal", "bins", "bound").distinct().agg(F.sum(F.col("bins") - F.col("bound")), F.count(F.when(F.col("bins") > F.col("bound"), 1))).first()
         if not gaps[0] or gaps[1] < (2 if salt > 1 else 1):
