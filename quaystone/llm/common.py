@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows and bytes that go to a Python worker at once, so that very long texts do not pile up.
-ARROW_ROWS, ARROW_BYTES = "2000", "8m"
+ARROW_ROWS, ARROW_BYTES = "2000", "4m"
 
 
 #: Arrow types of the fields that mappers return.
@@ -59,7 +59,7 @@ def map_text(
     return narrow.mapInArrow(run, f"{types}, {schema}")
 
 
-def portions(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def portions(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
     """Stretches of texts of about ``most`` characters, or of one longer text."""
     part, size = [], 0
     for t in texts:
@@ -106,7 +106,7 @@ class Lexicon:
     the last call asked for stays, and nothing if that is too large itself.
     """
 
-    def __init__(self, make: Callable, kind: str, most_bytes: int = 40 << 20):
+    def __init__(self, make: Callable, kind: str, most_bytes: int = 24 << 20):
         self.make, self.kind, self.most_bytes = make, kind, most_bytes
         self._forget()
 

@@ -9,9 +9,10 @@
    sets of the two texts.
 3. The confirmed links make groups, and a bucket whose rows are all of one group is settled. In
    every other bucket all candidate pairs of different groups are compared and pruned in the same
-   way (large buckets in pairs of blocks, so that no task holds one whole), and survivors are
-   verified. No pair that could join two groups is left out, nothing is capped, and the pairs
-   inside a group of copies, of which there may be its size squared, are never made.
+   way (large buckets in pairs of blocks, so that no task holds one whole). Rows that survivors
+   connect make a cluster, told by one edge a row. The texts of a cluster meet, again in pairs of
+   blocks if it is large, and its pairs of different groups that survive are verified there. No pair
+   that could join two groups is left out, nothing is capped, and no table has a row for each pair.
 4. The components of all confirmed links are the duplicate groups.
 """
 
@@ -154,37 +155,87 @@ def _prune(pairs: DataFrame, signed: DataFrame, percent: int, least: list[int])
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long, same long")
 
 
-def _across(percent: int, least: list[int]):
-    """Within each bucket (or pair of blocks of one): the surviving pairs of rows of different groups, but those with its first row, which were compared before."""
+def _rivals(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, own: np.ndarray, whole: bool, percent: int, least: list[int], skip: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, later rows, equal values) of the surviving pairs of different groups: of all rows, or unless ``whole`` of different blocks."""
+    for i in range(len(n) - 1):
+        right = comp[i + 1 :] != comp[i]
+        if not whole:
+            right &= own[i + 1 :] != own[i]
+        if skip is not None:
+            if skip[i]:
+                continue
+            right &= ~skip[i + 1 :]
+        j = i + 1 + np.flatnonzero(right)
+        if len(j):
+            at, same = survivors(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], np.broadcast_to(n[i], len(j)), n[j], percent, least)
+            if len(at):
+                yield i, j[at], same
+
+
+def _clusters(percent: int, least: list[int]):
+    """Within each bucket (or pair of blocks of one): edges that connect the rows that survivors connect, a row at most. Pairs with the bucket's first row were compared before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for (_, x, y), part in pdf.groupby(["band", "x", "y"], sort=False):
-            if len(part) < 2 or part["comp"].iat[0] == part["comp"].iat[-1] and part["comp"].nunique() == 1:
+            if len(part) < 2:
                 continue
-            part = part.sort_values("id")
             ids, comp, n, own = (part[c].to_numpy(np.int64) for c in ("id", "comp", "n_shingles", "own"))
             sig = np.stack(part["sig"].to_numpy()).astype(np.int64).view(np.uint16)
-            first = part["first"].iat[0]
-            for i in range(len(ids)):
-                if ids[i] == first:
-                    continue
-                right = (comp > comp[i]) & (ids != first)
-                if x != y:
-                    right &= own != own[i]
-                j = np.flatnonzero(right)
-                if not len(j):
-                    continue
-                at, same = survivors(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], np.broadcast_to(n[i], len(j)), n[j], percent, least)
-                j = j[at]
-                found.append(np.stack([np.full(len(j), ids[i]), ids[j], same, np.full(len(j), comp[i]), comp[j]], axis=1))
-        return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 5), np.int64), columns=["a", "b", "same", "ca", "cb"])
+            groups = _Groups()
+            for i, j, _ in _rivals(sig, n, comp, own, x == y, percent, least, ids == part["first"].iat[0]):
+                for k in j.tolist():
+                    groups.join(i, k)
+            found += [(ids[i], ids[r]) for i in range(len(ids)) if (r := groups.find(i)) != i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _links_within(percent: int, width: int, least: list[int]):
+    """The links between different groups of each cluster (or pair of blocks of one), best estimate first; groups that are joined already are not compared again."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (_, x, y), part in pdf.groupby(["cluster", "x", "y"], sort=False):
+            part = part.sort_values(["id"], kind="stable")
+            sets = [shingles(t, width) for t in part["text"]]
+            some = np.array([len(t) > 0 for t in sets])
+            part, sets = part[some], [t for t in sets if len(t)]
+            if len(sets) < 2:
+                continue
+            ids, comp, own = (part[c].to_numpy(np.int64) for c in ("id", "comp", "own"))
+            groups, near = _Groups(), []
+
+            def settle(near: list[np.ndarray]) -> None:
+                pairs = np.concatenate(near)
+                for _, i, j in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], -pairs[:, 0]))].tolist():
+                    if groups.find(int(comp[i])) != groups.find(int(comp[j])) and _alike(sets[i], sets[j], percent):
+                        groups.join(int(comp[i]), int(comp[j]))
+                        found.append((int(ids[i]), int(ids[j])))
+
+            waiting = 0
+            for i, j, same in _rivals(np.stack([signature(t) for t in sets]), np.array([len(t) for t in sets]), comp, own, x == y, percent, least):
+                near.append(np.stack([same, np.full(len(j), i), j], axis=1))
+                waiting += len(j)
+                if waiting > 200_000:  # bounded memory: settle what there is
+                    settle(near)
+                    near, waiting = [], 0
+            if near:
+                settle(near)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _in_blocks(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """Deals the rows of each key to its pairs of blocks: adds own, x and y, x = y being a block alone."""
+    dealt = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "blocks")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int, pair_rows: int, block_bytes: int, broadcast_rows: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, same, ca, cb) whose full sets reach the threshold, but those whose groups ca and cb other links of the same task have joined already.
+    """(a, b) of the pairs (a, b, same) whose full sets reach the threshold, but those that other links of the same task have connected already.
 
     ``docs`` has id and text. Pairs are dealt by b, those of a very frequent b also by a; a task
     gets each of its texts once. About ``pair_rows`` pairs or ``block_bytes`` bytes meet in a task.
@@ -197,7 +248,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int, pair_ro
     parts = max(1, pairs.count() // pair_rows, 2 * size // block_bytes)
     dealt = materialise(
         pairs.join(often, "b", "left").withColumn("share", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / pair_rows))).otherwise(F.lit(0)))
-        .select("a", "b", "same", "ca", "cb", F.pmod(F.xxhash64("b", "share"), F.lit(parts)).cast("int").alias("deal")),
+        .select("a", "b", "same", F.pmod(F.xxhash64("b", "share"), F.lit(parts)).cast("int").alias("deal")),
         "dealt",
     )
     sent = dealt.select(F.col("deal").alias("sent"), F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("sent", "id", "text")
@@ -207,9 +258,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int, pair_ro
         for i, t in zip(known["id"].tolist(), known["text"]):
             sets[i].append(shingles(t, width))
         todo = todo.sort_values(["same", "a", "b"], ascending=[False, True, True])
-        for a, b, ca, cb in zip(todo["a"].tolist(), todo["b"].tolist(), todo["ca"].tolist(), todo["cb"].tolist()):
-            if groups.find(ca) != groups.find(cb) and any(_alike(s, t, percent) for s in sets[a] for t in sets[b]):
-                groups.join(ca, cb)
+        for a, b in zip(todo["a"].tolist(), todo["b"].tolist()):
+            if groups.find(a) != groups.find(b) and any(_alike(s, t, percent) for s in sets[a] for t in sets[b]):
+                groups.join(a, b)
                 found.append((a, b))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -228,7 +279,7 @@ def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 def near_duplicates(
     docs: DataFrame, percent: int = 75, width: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text",
-    block_rows: int = 1024, pair_rows: int = 512, block_bytes: int = 4 << 20, broadcast_rows: int = 1_000_000,
+    block_rows: int = 512, pair_rows: int = 512, block_bytes: int = 4 << 20, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(id, n_shingles long, component_id long, kept boolean), one row for each row of ``docs``.
 
@@ -236,8 +287,8 @@ def near_duplicates(
     no part: their component_id is null and they are kept. Repeated ids are one document with
     several texts. Extra columns are ignored.
 
-    ``block_rows`` bounds what of a bucket meets in one task, ``pair_rows`` and ``block_bytes`` are
-    the pairs and the bytes of texts that a verifying task gets, about. ``broadcast_rows`` bounds
+    ``block_rows`` bounds what of a bucket or a cluster meets in one task, twice ``block_bytes`` the
+    bytes of its texts; ``pair_rows`` are the pairs that a verifying task gets, about. ``broadcast_rows`` bounds
     the table of ids that is sent to every executor (16 bytes a row); a larger one is joined by a
     shuffle.
     """
@@ -256,27 +307,30 @@ def near_duplicates(
     buckets = materialise(member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "first"), "buckets")
     crowd = materialise(member.join(buckets, "band"), "crowd")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = (percent, width, pair_rows, block_bytes, broadcast_rows)
 
     stars = crowd.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     near = materialise(_prune(stars, signed, percent, least).groupBy("a", "b").agg(F.max("same").alias("same")), "near")
-    links = _verify(near.withColumns({"ca": F.col("a"), "cb": F.col("b")}), texts, *sizes)
+    links = _verify(near, texts, percent, width, pair_rows, block_bytes, broadcast_rows)
     groups = materialise(connected_components(links, "a", "b"), "groups")
 
     labelled = crowd.join(groups, F.col("id") == F.col("node"), "left").select("band", "id", "first", F.coalesce("component", "id").alias("comp"))
     labelled = materialise(labelled, "labelled")
     unsettled = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high")
     unsettled = materialise(unsettled.select("band", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")), "unsettled")
-    rest = labelled.join(unsettled, "band").join(signed, "id")
-    rest = (
-        rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "first", "comp", "n_shingles", "sig")
-    )
-    total = unsettled.agg(F.sum("blocks")).first()[0] or 0
-    deals = max(1, docs.sparkSession.sparkContext.defaultParallelism, total // 2_000)
-    across = rest.withColumn("deal", F.pmod(F.xxhash64("band", "x", "y"), F.lit(deals))).groupBy("deal").applyInPandas(_across(percent, least), "a long, b long, same long, ca long, cb long")
-    more = materialise(across.groupBy("a", "b").agg(F.max("same").alias("same"), F.min("ca").alias("ca"), F.min("cb").alias("cb")), "more")
-    links = _verify(more, texts, *sizes)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    deals = max(cores, (unsettled.agg(F.sum("blocks")).first()[0] or 0) // 2_000)
+    rest = _in_blocks(labelled.join(signed, "id"), "band", unsettled).withColumn("deal", F.pmod(F.xxhash64("band", "x", "y"), F.lit(deals)))
+    edges = materialise(rest.groupBy("deal").applyInPandas(_clusters(percent, least), "a long, b long").distinct(), "suspects")
+
+    clusters = connected_components(edges, "a", "b").withColumnsRenamed({"node": "id", "component": "cluster"}).join(groups.withColumnRenamed("node", "id"), "id", "left")
+    clusters = materialise(clusters.select("id", "cluster", F.coalesce("component", "id").alias("comp")), "clusters")
+    few = clusters.count() <= broadcast_rows
+    full = materialise(texts.join(F.broadcast(clusters) if few else clusters, "id"), "texts")
+    blocks = full.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = materialise(blocks.select("cluster", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks")), "blocks")
+    deals = max(cores, (blocks.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 0) // 200)
+    met = _in_blocks(full, "cluster", blocks).withColumn("deal", F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(deals)))
+    links = met.groupBy("deal").applyInPandas(_links_within(percent, width, least), "a long, b long")
 
     copies = known.join(repeated, "set_key").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies hang on their first document, so only first documents need to be in the graph, and ids
@@ -284,7 +338,7 @@ def near_duplicates(
     several = known.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").select(F.col("id").alias("a"))
     links = links.unionByName(copies.join(several, "a", "left_semi").distinct()).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
     groups = connected_components(materialise(links, "links"), "a", "b")
-    for t in (buckets, crowd, labelled, near, more):
+    for t in (buckets, crowd, labelled, near, unsettled, edges, full):
         drop_table(t)
     final = copies.groupBy("a").agg(F.min("b").alias("b")).join(groups.withColumnsRenamed({"node": "b"}), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
     placed = materialise(groups.unionByName(final).groupBy("node").agg(F.min("component").alias("component")), "groups")
