@@ -155,20 +155,29 @@ def intent_pairs(tasks: DataFrame, domains: DataFrame, types: DataFrame, feature
     return j.select(*keys, "same_group", "score", decision.alias("decision"))
 
 
-def boundary_consensus(overlap: DataFrame, intent: DataFrame) -> DataFrame:
-    """URL overlap and intent of unordered pairs side by side; missing overlap stays null and is no disagreement."""
+def boundary_consensus(overlap: DataFrame, intent: DataFrame, edges: DataFrame) -> DataFrame:
+    """What URL overlap (left_id, right_id, overlap, same_group) and intent (.., score, same_group) of unordered pairs say together.
+
+    A pair without an overlap shares no URL: its overlap is 0 if ``edges`` has URLs of both tasks,
+    and unknown else. Without a score the intent is not confirmed, which is no disagreement.
+    """
     key = [F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")]
-    a = overlap.select(*key, F.col("overlap").alias("url_overlap"))
+    a = overlap.select(*key, F.col("overlap").alias("url_overlap"), F.col("same_group").alias("near"))
     b = intent.select(*key, "score", "same_group")
-    j = a.join(b, ["left_id", "right_id"], "full").withColumn("same_group", F.coalesce("same_group", F.lit(False)))
-    u, s, g = F.col("url_overlap"), F.col("score"), F.col("same_group")
+    seen = edges.select("task_id").distinct()
+    j = a.join(b, ["left_id", "right_id"], "full")
+    for side in ("left", "right"):
+        j = j.join(seen.select(F.col("task_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_seen")), f"{side}_id", "left")
+    u = F.coalesce("url_overlap", F.when(F.col("left_seen") & F.col("right_seen"), F.lit(0.0)))
+    s, g = F.col("score"), F.coalesce("same_group", "near", F.lit(False))
     decision = (
-        F.when(u.isNull() & s.isNull(), "no_evidence").when(u.isNull(), "intent_only").when(s.isNull(), "url_only")
-        .when((u >= 0.6) & (s >= 0.62), F.when(g, "retain_consensus").otherwise("merge_consensus"))
-        .when((u < 0.3) & (s < 0.38), F.when(g, "split_consensus").otherwise("separate_consensus"))
-        .when((u >= 0.6) != (s >= 0.62), "conflict").otherwise("related")
+        F.when(u.isNull(), "insufficient_url_evidence_review")
+        .when(g, F.when((u < 0.3) & (s < 0.38), "split_consensus_review").otherwise("current_group_boundary_review"))
+        .when(u >= 0.6, F.when(s >= 0.62, "merge_consensus_review").otherwise("url_only_merge_review"))
+        .when(s >= 0.62, F.when(u >= 0.3, "merge_signal_conflict_review").otherwise("semantic_adjacency_review"))
+        .otherwise("internal_link_boundary_review")
     )
-    return j.select("left_id", "right_id", "url_overlap", "score", decision.alias("decision"))
+    return j.select("left_id", "right_id", u.alias("url_overlap"), "score", decision.alias("decision"))
 
 
 def depth_stability(edges: DataFrame, depths: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
@@ -186,14 +195,23 @@ def depth_stability(edges: DataFrame, depths: tuple[int, ...] = (3, 5, 10)) -> D
 
 
 def topology(pairs: DataFrame) -> DataFrame:
-    """What task pairs (left_group, right_group, state) say about their groups."""
-    p = pairs.select(F.least("left_group", "right_group").alias("left_group"), F.greatest("left_group", "right_group").alias("right_group"), "state")
-    g = p.groupBy("left_group", "right_group").agg(F.count(F.lit(1)).alias("pairs"), F.bool_and(F.col("state") == "stable_merge").alias("all_merge"), F.bool_or(F.col("state") == "stable_merge").alias("any_merge"), F.bool_or(F.col("state") == "threshold_flip").alias("any_flip"), F.bool_and(F.col("state") == "stable_separate").alias("all_separate"))
+    """What task pairs (left_group, right_group, state, robust_merge) say about their groups.
+
+    One robust merge asks for consolidation; then one flip holds back; then all pairs must agree.
+    """
+    p = pairs.select(F.least("left_group", "right_group").alias("left_group"), F.greatest("left_group", "right_group").alias("right_group"), "state", F.coalesce("robust_merge", F.lit(False)).alias("robust_merge"))
+    every = lambda state: F.bool_and(F.col("state") == state)
+    g = p.groupBy("left_group", "right_group").agg(
+        F.count(F.lit(1)).alias("pairs"), F.bool_or("robust_merge").alias("robust"), F.bool_or(F.col("state") == "threshold_flip").alias("flips"), every("stable_related").alias("related"), every("stable_separate").alias("separate")
+    )
     same = F.col("left_group") == F.col("right_group")
-    return g.select(
-        "left_group", "right_group", "pairs",
-        F.when(same & F.col("all_separate"), "split_review").when(same, "retain").when(F.col("all_merge"), "consolidation").when(F.col("any_flip"), "depth_sensitive_hold").when(F.col("any_merge"), "mixed").otherwise("sibling_link").alias("topology"),
+    decision = (
+        F.when(F.col("robust"), "consolidation_review").when(F.col("flips"), "depth_sensitive_hold")
+        .when(F.col("related"), F.when(same, "retain_group_review").otherwise("sibling_article_link_review"))
+        .when(F.col("separate"), F.when(same, "split_group_review").otherwise("retain_separate"))
+        .otherwise("mixed_stability_review")
     )
+    return g.select("left_group", "right_group", "pairs", decision.alias("topology"))
 
 
 def site_similarity(edges: DataFrame, k: int = 20) -> DataFrame:

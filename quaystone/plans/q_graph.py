@@ -147,17 +147,19 @@ def g8(s: Source):
 @query(
     "G9_J7_boundary_consensus",
     f"""
-    WITH {_INTENT}, {_PAIRS}, j AS (SELECT coalesce(p.left_id, i.left_id) AS left_id, coalesce(p.right_id, i.right_id) AS right_id, p.shared / 10 AS u, i.score AS s, coalesce(i.same_group, false) AS g FROM p FULL JOIN i ON p.left_id = i.left_id AND p.right_id = i.right_id)
-    SELECT left_id, right_id, u AS url_overlap, s AS score, CASE WHEN u IS NULL THEN 'intent_only' WHEN s IS NULL THEN 'url_only' WHEN u >= 0.6 AND s >= 0.62 THEN CASE WHEN g THEN 'retain_consensus' ELSE 'merge_consensus' END
-        WHEN u < 0.3 AND s < 0.38 THEN CASE WHEN g THEN 'split_consensus' ELSE 'separate_consensus' END WHEN (u >= 0.6) <> (s >= 0.62) THEN 'conflict' ELSE 'related' END AS decision FROM j""",
+    WITH {_INTENT}, {_PAIRS}, seen AS (SELECT DISTINCT task_id FROM {{edges}}),
+    sides AS (SELECT coalesce(p.left_id, i.left_id) AS left_id, coalesce(p.right_id, i.right_id) AS right_id, p.shared / 10 AS u, i.score AS s, coalesce(i.same_group, p.same_group, false) AS g FROM p FULL JOIN i ON p.left_id = i.left_id AND p.right_id = i.right_id),
+    judged AS (SELECT k.left_id, k.right_id, coalesce(u, CASE WHEN a.task_id IS NOT NULL AND b.task_id IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS u, s, g FROM sides k LEFT JOIN seen a ON a.task_id = k.left_id LEFT JOIN seen b ON b.task_id = k.right_id)
+    SELECT left_id, right_id, u AS url_overlap, s AS score, CASE WHEN u IS NULL THEN 'insufficient_url_evidence_review' WHEN g AND u < 0.3 AND s < 0.38 THEN 'split_consensus_review' WHEN g THEN 'current_group_boundary_review'
+        WHEN u >= 0.6 AND s >= 0.62 THEN 'merge_consensus_review' WHEN u >= 0.6 THEN 'url_only_merge_review' WHEN u >= 0.3 AND s >= 0.62 THEN 'merge_signal_conflict_review' WHEN s >= 0.62 THEN 'semantic_adjacency_review' ELSE 'internal_link_boundary_review' END AS decision FROM judged""",
 )
 def g9(s: Source):
-    return graph.boundary_consensus(graph.co_ranked(s.edges), _intent(s))
+    return graph.boundary_consensus(graph.co_ranked(s.edges), _intent(s), s.edges)
 
 
-_DEPTH = """q AS (SELECT a.task_id AS left_id, b.task_id AS right_id, min(a.group_id) AS left_group, min(b.group_id) AS right_group, count(CASE WHEN greatest(a.rank, b.rank) <= 3 THEN 1 END) / 3 AS ratio_3, count(CASE WHEN greatest(a.rank, b.rank) <= 5 THEN 1 END) / 5 AS ratio_5, count(*) / 10 AS ratio_10 FROM {edges} a JOIN {edges} b ON a.url = b.url AND a.task_id < b.task_id GROUP BY 1, 2),
-    c AS (SELECT *, CASE WHEN ratio_3 >= 0.6 THEN 'merge' WHEN ratio_3 >= 0.3 THEN 'related' ELSE 'separate' END AS class_3, CASE WHEN ratio_5 >= 0.6 THEN 'merge' WHEN ratio_5 >= 0.3 THEN 'related' ELSE 'separate' END AS class_5, CASE WHEN ratio_10 >= 0.6 THEN 'merge' WHEN ratio_10 >= 0.3 THEN 'related' ELSE 'separate' END AS class_10 FROM q),
-    st AS (SELECT *, CASE WHEN class_3 = class_5 AND class_5 = class_10 THEN 'stable_' || class_3 ELSE 'threshold_flip' END AS state FROM c)"""
+_DEPTH = """depth_q AS (SELECT a.task_id AS left_id, b.task_id AS right_id, min(a.group_id) AS left_group, min(b.group_id) AS right_group, count(CASE WHEN greatest(a.rank, b.rank) <= 3 THEN 1 END) / 3 AS ratio_3, count(CASE WHEN greatest(a.rank, b.rank) <= 5 THEN 1 END) / 5 AS ratio_5, count(*) / 10 AS ratio_10 FROM {edges} a JOIN {edges} b ON a.url = b.url AND a.task_id < b.task_id GROUP BY 1, 2),
+    depth_c AS (SELECT *, CASE WHEN ratio_3 >= 0.6 THEN 'merge' WHEN ratio_3 >= 0.3 THEN 'related' ELSE 'separate' END AS class_3, CASE WHEN ratio_5 >= 0.6 THEN 'merge' WHEN ratio_5 >= 0.3 THEN 'related' ELSE 'separate' END AS class_5, CASE WHEN ratio_10 >= 0.6 THEN 'merge' WHEN ratio_10 >= 0.3 THEN 'related' ELSE 'separate' END AS class_10 FROM depth_q),
+    st AS (SELECT *, CASE WHEN class_3 = class_5 AND class_5 = class_10 THEN 'stable_' || class_3 ELSE 'threshold_flip' END AS state FROM depth_c)"""
 
 
 @query("G10_depth_stability", f"WITH {_DEPTH} SELECT left_id, right_id, ratio_3, ratio_5, ratio_10, class_3, class_5, class_10, state FROM st")
@@ -168,13 +170,16 @@ def g10(s: Source):
 @query(
     "G11_topology",
     f"""
-    WITH {_DEPTH}, t AS (SELECT least(left_group, right_group) AS left_group, greatest(left_group, right_group) AS right_group, state FROM st)
-    SELECT left_group, right_group, count(*) AS pairs, CASE WHEN left_group = right_group AND bool_and(state = 'stable_separate') THEN 'split_review' WHEN left_group = right_group THEN 'retain' WHEN bool_and(state = 'stable_merge') THEN 'consolidation'
-        WHEN bool_or(state = 'threshold_flip') THEN 'depth_sensitive_hold' WHEN bool_or(state = 'stable_merge') THEN 'mixed' ELSE 'sibling_link' END AS topology FROM t GROUP BY 1, 2""",
+    WITH {_DEPTH}, {_INTENT}, told AS (SELECT least(left_group, right_group) AS left_group, greatest(left_group, right_group) AS right_group, state, state = 'stable_merge' AND coalesce(i.score >= 0.62, false) AS robust FROM st LEFT JOIN i ON i.left_id = st.left_id AND i.right_id = st.right_id)
+    SELECT left_group, right_group, count(*) AS pairs, CASE WHEN bool_or(robust) THEN 'consolidation_review' WHEN bool_or(state = 'threshold_flip') THEN 'depth_sensitive_hold'
+        WHEN bool_and(state = 'stable_related') THEN CASE WHEN left_group = right_group THEN 'retain_group_review' ELSE 'sibling_article_link_review' END
+        WHEN bool_and(state = 'stable_separate') THEN CASE WHEN left_group = right_group THEN 'split_group_review' ELSE 'retain_separate' END ELSE 'mixed_stability_review' END AS topology FROM told GROUP BY 1, 2""",
 )
 def g11(s: Source):
     g = s.tasks.select("task_id", "group_id")
     pairs = graph.depth_stability(s.edges).join(g.withColumnsRenamed({"task_id": "left_id", "group_id": "left_group"}), "left_id").join(g.withColumnsRenamed({"task_id": "right_id", "group_id": "right_group"}), "right_id")
+    sure = _intent(s).where("score >= 0.62").select("left_id", "right_id", F.lit(True).alias("sure"))
+    pairs = pairs.join(sure, ["left_id", "right_id"], "left").withColumn("robust_merge", F.col("sure") & (F.col("state") == "stable_merge"))
     return graph.topology(pairs)
 
 
@@ -229,7 +234,7 @@ def g24(s: Source):
     return graph.internal_links(s.edges, s.sql(_LINKS))
 
 
-_TYPED = "SELECT DISTINCT p_name AS source, p_brand AS target, p_type AS type FROM {part} WHERE p_size <= 10"
+_TYPED = "SELECT DISTINCT p_name AS source, p_brand AS target, p_type AS type FROM {part}"
 
 
 @query(

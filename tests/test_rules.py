@@ -150,3 +150,24 @@ def test_late_and_future_stamps_stay(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, None), (3, "2031-01-01 00:00:00")], "i int, t string").withColumn("at", F.col("t").cast("timestamp"))
     good, bad = streams.split_stamps(rows, "at", "2024-06-01 00:00:00")
     assert [r.i for r in good.collect()] == [1] and sorted(r.i for r in bad.collect()) == [2, 3]
+
+
+def test_boundary_decisions(spark):
+    overlap = spark.createDataFrame([(1, 2, 0.7, False), (1, 3, 0.7, False), (1, 4, 0.4, False), (1, 5, 0.1, True), (1, 6, 0.9, True), (2, 3, 0.4, False)], "left_id long, right_id long, overlap double, same_group boolean")
+    intent = spark.createDataFrame([(2, 1, 0.7, False), (1, 4, 0.62, False), (1, 5, 0.37, True), (2, 4, 0.9, False), (2, 5, 0.4, False), (2, 9, 0.9, False), (3, 1, 0.5, False)], "left_id long, right_id long, score double, same_group boolean")
+    edges = spark.createDataFrame([(i,) for i in range(1, 7)], "task_id long")
+    got = {(r.left_id, r.right_id): (r.decision, r.url_overlap) for r in graph.boundary_consensus(overlap, intent, edges).collect()}
+    assert {k: d for k, (d, _) in got.items()} == {
+        (1, 2): "merge_consensus_review", (1, 3): "url_only_merge_review", (1, 4): "merge_signal_conflict_review", (1, 5): "split_consensus_review", (1, 6): "current_group_boundary_review",
+        (2, 3): "internal_link_boundary_review", (2, 4): "semantic_adjacency_review", (2, 5): "internal_link_boundary_review", (2, 9): "insufficient_url_evidence_review",
+    }
+    assert got[2, 4][1] == 0.0 and got[2, 9][1] is None
+
+
+def test_topology_decisions(spark):
+    rows = [(1, 2, "stable_merge", True), (2, 1, "threshold_flip", False), (1, 3, "threshold_flip", False), (3, 1, "stable_related", None), (2, 3, "stable_related", False), (4, 4, "stable_related", False)]
+    rows += [(5, 5, "stable_separate", False), (5, 6, "stable_separate", False), (6, 7, "stable_merge", False), (7, 6, "stable_related", False)]
+    got = {(r.left_group, r.right_group): r.topology for r in graph.topology(spark.createDataFrame(rows, "left_group long, right_group long, state string, robust_merge boolean")).collect()}
+    assert got == {
+        (1, 2): "consolidation_review", (1, 3): "depth_sensitive_hold", (2, 3): "sibling_article_link_review", (4, 4): "retain_group_review", (5, 5): "split_group_review", (5, 6): "retain_separate", (6, 7): "mixed_stability_review",
+    }
