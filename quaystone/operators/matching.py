@@ -95,10 +95,17 @@ def topic_coverage(topics: DataFrame, assigned: DataFrame, titles: DataFrame, he
 
 
 def gram_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_l: str, text_r: str) -> DataFrame:
-    """Dice of bigram sets for the pairs that share a bigram: others score 0, so the inverted join loses nothing."""
-    a = left.select(left_id, F.size(grams(F.lower(F.col(text_l)))).alias("na"), F.explode(grams(F.lower(F.col(text_l)))).alias("g"))
-    b = right.select(right_id, F.size(grams(F.lower(F.col(text_r)))).alias("nb"), F.explode(grams(F.lower(F.col(text_r)))).alias("g"))
-    return a.join(b, "g").groupBy(left_id, right_id).agg((2 * F.count(F.lit(1)) / (F.first("na") + F.first("nb"))).alias("dice"))
+    """Dice of bigram sets for the pairs that share a bigram: others score 0, so the inverted join loses nothing.
+
+    Each distinct text of the right side is compared once, however many rows have it.
+    """
+    said = F.lower(F.col(text_r))
+    a = left.select(left_id, F.explode(grams(F.lower(F.col(text_l)))).alias("g"))
+    b = right.select(said.alias("said_")).distinct().select("said_", F.explode(grams(F.col("said_"))).alias("g"))
+    shared = a.join(b, "g").groupBy(left_id, "said_").agg(F.count(F.lit(1)).alias("both_"))
+    sized = left.select(left_id, F.size(grams(F.lower(F.col(text_l)))).alias("na"))
+    rows = right.select(right_id, said.alias("said_"), F.size(grams(said)).alias("nb"))
+    return shared.join(sized, left_id).join(rows, "said_").select(left_id, right_id, (2 * F.col("both_") / (F.col("na") + F.col("nb"))).alias("dice"))
 
 
 def claim_citations(claims: DataFrame, citations: DataFrame, k: int = 3, least: float = 0.08) -> DataFrame:

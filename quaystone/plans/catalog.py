@@ -105,13 +105,13 @@ BINDINGS = {
     "demands": """
         SELECT o_orderkey AS occurrence_id, o_custkey AS task_id, o_custkey % 25 AS group_id, o_orderstatus AS demand_type, o_orderpriority AS value,
                o_orderkey % 10 + 1 AS occurrence_order, o_orderkey % 4 AS depth, CAST(o_orderdate AS DATE) AS observed_on FROM {orders}""",
-    # Snapshots: the users of an event type on a day, by their largest value.
+    # Snapshots: all users of an event type on a day, by their largest value.
     "snapshots": """
         SELECT day, keyword, url, domain, rank, title FROM (
             SELECT day, keyword, concat('https://u', CAST(user_id % 40 AS STRING), '.example/', CAST(user_id AS STRING)) AS url, concat('u', CAST(user_id % 40 AS STRING), '.example') AS domain,
                    CAST(row_number() OVER (PARTITION BY day, keyword ORDER BY v DESC, user_id) AS BIGINT) AS rank, concat('t', CAST(floor(v) AS BIGINT)) AS title
             FROM (SELECT CAST(ts AS DATE) AS day, event_type AS keyword, user_id, max(value) AS v FROM {events} GROUP BY CAST(ts AS DATE), event_type, user_id) x
-        ) y WHERE rank <= 40""",
+        ) y""",
     # Query rows of articles: a user is an article.
     "article_queries": """
         SELECT CAST(1 AS BIGINT) AS site_id, user_id AS article_id, event_type AS query, count(*) AS impressions, count(CASE WHEN value > 20 THEN 1 END) AS clicks, round(avg(value), 6) AS position,

@@ -10,9 +10,9 @@ from quaystone.plans.catalog import BINDINGS, Source, query
 
 BINDINGS |= {
     "articles": "SELECT page_id AS article_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading FROM {pages}",
-    "groups": "SELECT article_id AS group_id, concat(split_part(lower(title), ' ', 1), ' ', split_part(lower(title), ' ', 2)) AS main_keyword FROM {articles} WHERE article_id % 3 = 0",
-    "claims": "SELECT item_id AS claim_id, substring(text, 1, 60) AS heading FROM {benchmark}",
-    "citations": "SELECT article_id AS citation_id, title AS source, split_part(title, ' ', 1) AS keyword, article_id % 9 + 1 AS rank, concat('d', CAST(article_id % 11 AS STRING)) AS domain FROM {articles} WHERE article_id < 2000",
+    "groups": "SELECT article_id AS group_id, concat(split_part(lower(title), ' ', 1), ' ', split_part(lower(title), ' ', 2)) AS main_keyword FROM {articles}",
+    "claims": "SELECT item_id AS claim_id, text AS heading FROM {benchmark}",
+    "citations": "SELECT article_id AS citation_id, title AS source, split_part(title, ' ', 1) AS keyword, article_id % 9 + 1 AS rank, concat('d', CAST(article_id % 11 AS STRING)) AS domain FROM {articles}",
 }
 _TOK = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
 _KT = f"k AS (SELECT group_id, len(t) AS ks, unnest(t) AS token FROM (SELECT group_id, {_TOK.format('main_keyword')} AS t FROM {{groups}}) x), a AS (SELECT article_id, len(t) AS ts, unnest(t) AS token FROM (SELECT article_id, {_TOK.format('title')} AS t FROM {{articles}}) x), m AS (SELECT k.group_id, a.article_id, min(ks) AS ks, min(ts) AS ts FROM k JOIN a ON k.token = a.token GROUP BY ALL HAVING count(*) = min(ks) AND (min(ks) = min(ts) OR min(ks) >= 2))"
@@ -179,8 +179,8 @@ def q2(s: Source):
 
 @query("Q3_association_check")
 def q3(s: Source):
-    t = terms.document_terms(s.documents.where("lang = 'en' AND n_chars < 500"), "doc_id", "text").distinct()
-    return quality.association_check(terms.associations(t, "doc_id"), t.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    t = terms.document_terms(s.keywords, "source_keyword_id", "raw_keyword").distinct()
+    return quality.association_check(terms.associations(t, "source_keyword_id"), t.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
 @query("Q4_variant_check", "WITH v AS (SELECT lower(raw_keyword) AS representative, count(DISTINCT raw_keyword) + CASE WHEN raw_keyword LIKE 'red%' THEN 1 ELSE 0 END AS forms FROM {keywords} GROUP BY 1, raw_keyword) SELECT representative, forms, CAST(1 AS BIGINT) AS again, CASE WHEN forms <> 1 THEN 'differs' ELSE 'ok' END AS state FROM v")

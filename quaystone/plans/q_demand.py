@@ -152,13 +152,13 @@ def a28(s: Source):
     return demand.credit_estimate(s.sql(_REQ))
 
 
-_ASSOC = """t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE lang = 'en' AND n_chars < 500), f AS (SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 3), k AS (SELECT t.*, df FROM t JOIN f ON t.term = f.term),
+_ASSOC = """t AS (SELECT DISTINCT source_keyword_id AS doc_id, unnest(regexp_extract_all(lower(raw_keyword), '[\\p{L}\\p{N}]+')) AS term FROM {keywords}), f AS (SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 3), k AS (SELECT t.*, df FROM t JOIN f ON t.term = f.term),
     p AS (SELECT a.term, b.term AS other, count(*) AS support, round(count(*) / sqrt(min(a.df) * min(b.df)), 6) AS cosine FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.term <> b.term GROUP BY a.term, b.term HAVING count(*) >= 3)"""
 
 
 @query("G6_W3_associations", f"WITH {_ASSOC} SELECT term, other, support, cosine, row_number() OVER (PARTITION BY term ORDER BY cosine DESC, support DESC, other) AS rank FROM p QUALIFY rank <= 12")
 def g6(s: Source):
-    return terms.associations(terms.document_terms(s.documents.where("lang = 'en' AND n_chars < 500"), "doc_id", "text"), "doc_id")
+    return terms.associations(terms.document_terms(s.keywords, "source_keyword_id", "raw_keyword"), "source_keyword_id")
 
 
 @query("G7_variants", "SELECT replace(lower(raw_keyword), ' ', '') AS representative, sheet, count(DISTINCT raw_keyword) AS forms, count(*) AS rows, array_to_string(list_sort(list_distinct(list(raw_keyword))), '|') AS surface FROM (SELECT CASE WHEN size % 2 = 0 THEN upper(raw_keyword) ELSE raw_keyword END AS raw_keyword, sheet FROM {keywords}) k GROUP BY 1, 2 HAVING count(DISTINCT raw_keyword) > 1")

@@ -92,7 +92,7 @@ def m18(s: Source):
     )
 
 
-_AU = "SELECT url, CASE WHEN rank = 1 THEN 'pdf' WHEN rank <= 4 THEN 'news' WHEN rank <= 6 THEN 'article' ELSE 'qa_forum' END AS page_type FROM {edges} WHERE (task_id + rank) % 3 = 0"
+_AU = "SELECT url, CASE WHEN rank = 1 THEN 'pdf' WHEN rank <= 4 THEN 'news' WHEN rank <= 6 THEN 'article' ELSE 'qa_forum' END AS page_type FROM {edges}"
 _AUTH = f"au AS (SELECT url, count(*) AS citations, CASE max(CASE WHEN page_type = 'pdf' THEN 3 WHEN page_type = 'news' THEN 2 WHEN page_type = 'qa_forum' THEN 0 ELSE 1 END) WHEN 3 THEN 'primary' WHEN 2 THEN 'publisher' WHEN 1 THEN 'secondary' ELSE 'community' END AS authority FROM ({_AU}) x GROUP BY url)"
 
 
@@ -118,12 +118,12 @@ def m22(s: Source):
     return review.action_signals(s.sql(_SI), {"price": "show prices", "video": "add a video", "rating": "collect ratings"})
 
 
-_CC = "SELECT p_size AS group_id, split_part(p_name, ' ', 1) AS term FROM {part} WHERE p_partkey % 20 = 0 GROUP BY p_size, split_part(p_name, ' ', 1)"
+_CC = "SELECT p_size AS group_id, split_part(p_name, ' ', 1) AS term FROM {part} GROUP BY p_size, split_part(p_name, ' ', 1)"
 
 
-@query("M24_concept_coverage", f"WITH c AS ({_CC}), t AS (SELECT p_size AS group_id, p_name AS text FROM part WHERE p_partkey % 9 = 0), h AS (SELECT c.group_id, term, coalesce(bool_or(contains(' ' || text || ' ', ' ' || term || ' ')), false) AS hit FROM c LEFT JOIN t ON c.group_id = t.group_id GROUP BY ALL) SELECT CAST(group_id AS BIGINT) AS group_id, count(*) AS concepts, count(CASE WHEN hit THEN 1 END) AS covered, round(count(CASE WHEN hit THEN 1 END) / count(*), 6) AS coverage_ratio FROM h GROUP BY group_id")
+@query("M24_concept_coverage", f"WITH c AS ({_CC}), t AS (SELECT p_size AS group_id, p_name AS text FROM part), h AS (SELECT c.group_id, term, coalesce(bool_or(contains(' ' || text || ' ', ' ' || term || ' ')), false) AS hit FROM c LEFT JOIN t ON c.group_id = t.group_id GROUP BY ALL) SELECT CAST(group_id AS BIGINT) AS group_id, count(*) AS concepts, count(CASE WHEN hit THEN 1 END) AS covered, round(count(CASE WHEN hit THEN 1 END) / count(*), 6) AS coverage_ratio FROM h GROUP BY group_id")
 def m24(s: Source):
-    return review.concept_coverage(s.part.where("p_partkey % 9 = 0").select(F.col("p_size").alias("group_id"), F.col("p_name").alias("text")), s.sql(_CC))
+    return review.concept_coverage(s.part.select(F.col("p_size").alias("group_id"), F.col("p_name").alias("text")), s.sql(_CC))
 
 
 @query("M27_payload_gaps", "WITH t AS (SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'paa' ELSE 'aio' END AS kind FROM orders), p AS (SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'paa' ELSE 'aio' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'resolved' ELSE 'async_pending' END AS state FROM orders WHERE o_orderkey % 5 <> 0) SELECT t.kind, coalesce(state, 'missing') AS state, count(*) AS tasks, CAST(sum(CASE t.kind WHEN 'paa' THEN 0.00015 ELSE 0.0006 END) AS DOUBLE) AS cost FROM t LEFT JOIN p ON t.task_id = p.task_id AND t.kind = p.kind WHERE coalesce(state, 'missing') <> 'resolved' GROUP BY ALL")
@@ -135,7 +135,7 @@ def m27(s: Source):
 
 
 _BR = "SELECT size AS group_id, raw_keyword AS keyword, coalesce(volume, 0) * 1000000 + source_keyword_id AS priority, CASE WHEN state = 'acquired' THEN 'waiting' ELSE 'ready' END AS state FROM {keywords}"
-_BC = "SELECT size AS group_id, size % 3 = 0 AS has_source FROM {keywords} WHERE size % 2 = 0"
+_BC = "SELECT size AS group_id, size % 3 = 0 AS has_source FROM {keywords}"
 
 
 @query("M28_brief_queue", f"WITH r AS ({_BR}), g AS (SELECT group_id, count(*) AS rows, max(priority) AS priority, arg_max(keyword, priority) AS lead_keyword FROM r WHERE state = 'ready' GROUP BY 1), c AS (SELECT group_id, count(*) AS claims, count(CASE WHEN has_source THEN 1 END) AS sourced FROM ({_BC}) x GROUP BY 1) SELECT g.*, CASE WHEN claims IS NULL THEN 'claim_preparation' ELSE 'composition_review' END AS stage, CASE WHEN claims IS NULL THEN 'waiting' WHEN sourced > 0 THEN 'retained_candidates' ELSE 'discovery_required' END AS source_state FROM g LEFT JOIN c ON g.group_id = c.group_id")
@@ -230,9 +230,9 @@ def m34(s: Source):
     return review.content_lineage(g, g.where("group_id % 2 = 0").select("group_id", F.col("group_id").alias("article_id")), c)
 
 
-@query("M35_benchmark_readiness", "WITH t AS (SELECT task_id, url FROM {edges} WHERE rank = 1), h AS (SELECT url, count(*) AS headings FROM {edges} WHERE rank = 2 AND task_id % 4 = 0 GROUP BY 1), k AS (SELECT url, count(DISTINCT keyword) AS keywords FROM {edges} WHERE rank > 1 AND task_id % 9 = 0 GROUP BY 1) SELECT task_id, t.url, coalesce(headings, 0) AS headings, coalesce(keywords, 0) AS keywords, CASE WHEN headings IS NULL THEN 'headings_missing' WHEN keywords IS NULL THEN 'keywords_missing' ELSE 'ready' END AS state FROM t LEFT JOIN h ON t.url = h.url LEFT JOIN k ON t.url = k.url")
+@query("M35_benchmark_readiness", "WITH t AS (SELECT task_id, url FROM {edges} WHERE rank = 1), h AS (SELECT url, count(*) AS headings FROM {edges} WHERE rank = 2 GROUP BY 1), k AS (SELECT url, count(DISTINCT keyword) AS keywords FROM {edges} WHERE rank > 1 GROUP BY 1) SELECT task_id, t.url, coalesce(headings, 0) AS headings, coalesce(keywords, 0) AS keywords, CASE WHEN headings IS NULL THEN 'headings_missing' WHEN keywords IS NULL THEN 'keywords_missing' ELSE 'ready' END AS state FROM t LEFT JOIN h ON t.url = h.url LEFT JOIN k ON t.url = k.url")
 def m35(s: Source):
-    return review.benchmark_readiness(s.edges.where("rank = 1"), s.edges.where("rank = 2 AND task_id % 4 = 0"), s.edges.where("rank > 1 AND task_id % 9 = 0"))
+    return review.benchmark_readiness(s.edges.where("rank = 1"), s.edges.where("rank = 2"), s.edges.where("rank > 1"))
 
 
 @query("M36_citation_suitability", f"WITH {_AUTH}, r AS (SELECT DISTINCT task_id AS claim_id, url FROM {{edges}} WHERE rank <= 3) SELECT claim_id, r.url, CASE WHEN authority IS NULL THEN 'authority_unknown' WHEN CASE claim_id % 3 WHEN 0 THEN authority = 'primary' WHEN 1 THEN authority IN ('primary', 'publisher') ELSE authority <> 'community' END THEN 'suitable' ELSE 'unsuitable' END AS suitability FROM r LEFT JOIN au ON r.url = au.url")
@@ -242,10 +242,10 @@ def m36(s: Source):
     return review.citation_suitability(r, q, m19(s))
 
 
-@query("M37_discovery_manifest", "SELECT group_id, count(*) AS claims, count(CASE WHEN occurrence_id % 3 = 0 THEN 1 END) AS p0, count(DISTINCT value) AS queries FROM {demands} WHERE group_id % 2 = 0 GROUP BY group_id")
+@query("M37_discovery_manifest", "SELECT group_id, count(*) AS claims, count(CASE WHEN occurrence_id % 3 = 0 THEN 1 END) AS p0, count(DISTINCT value) AS queries FROM {demands} GROUP BY group_id")
 def m37(s: Source):
     c = s.demands.select("group_id", F.concat(F.lit("P"), (F.col("occurrence_id") % 3).cast("string")).alias("requirement"), F.col("value").alias("query"))
-    return review.discovery_manifest(c, s.demands.where("group_id % 2 = 0"))
+    return review.discovery_manifest(c, s.demands)
 
 
 @query("M38_reframes", "SELECT occurrence_id AS claim_id, CASE WHEN value IN ('1-URGENT', '2-HIGH') THEN 'evidence_absent' ELSE 'scope_mismatch' END AS failure, CASE WHEN value IN ('1-URGENT', '2-HIGH') THEN 'claim' ELSE 'source' END AS scope FROM {demands} WHERE demand_type = 'F'")
