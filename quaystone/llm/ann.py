@@ -59,15 +59,21 @@ class Forest:
         self.nodes[at] = (plane, offset, self._grow(rows[~right]), self._grow(rows[right]))
         return at
 
-    def candidates(self, query: np.ndarray, most: int) -> np.ndarray:
-        """Rows of the leaves opened, most promising first, until ``most`` distinct rows are in."""
+    def candidates(self, query: np.ndarray, k: int, most: int) -> np.ndarray:
+        """Rows of the leaves opened, most promising first.
+
+        It ends when ``most`` distinct rows are in, or earlier when every branch left in any tree
+        lies beyond a hyperplane that is farther away than the k-th nearest row found: then no row
+        that is left is nearer.
+        """
         sides = (self.normals @ query).tolist()
-        heap = [(-np.inf, root) for root in self.roots]
-        heapq.heapify(heap)
+        heap = [(0.0, root) for root in self.roots]
         seen, n, out = np.zeros(len(self.unit), bool), 0, []
-        nodes = self.nodes
+        nodes, best, reach = self.nodes, np.empty(0), np.inf
         while heap and n < most:
             cost, at = heapq.heappop(heap)
+            if cost > reach:
+                break
             node = nodes[at]
             while len(node) == 4:
                 plane, offset, left, right = node
@@ -76,20 +82,27 @@ class Forest:
                 heapq.heappush(heap, (max(cost, abs(margin)), far))
                 node = nodes[near]
             fresh = node[0][~seen[node[0]]]
+            if not len(fresh):
+                continue
             seen[fresh] = True
             n += len(fresh)
             out.append(fresh)
+            best = np.sort(np.concatenate([best, self.unit[fresh] @ query]))[-k:]
+            if len(best) == k:  # of unit vectors, squared distance is 2 - 2 cosine
+                reach = np.sqrt(max(0.0, 2 - 2 * best[0])) + 1e-9
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 16, leaf: int = 64, share: float = 0.5, least: int = 2_048, block_rows: int = 16_384, query_rows: int = 2_048
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 32, leaf: int = 16, share: float = 0.55, block_rows: int = 16_384, query_rows: int = 16_384
 ) -> DataFrame:
     """(query_id, rank int, id, score double): the k nearest found by cosine, exact for what is found.
 
-    Every usable row is in the index. A query examines ``share`` of each block's rows, and
-    ``least`` of them at the least: vectors without any structure need that much for a recall of 0.9. A row is no candidate for the query of its own id; ties go to the smaller id. Null and
-    zero vectors and those with null or non-finite components take no part, nor do null ids. Equal
+    Every usable row is in the index. A query examines at most ``share`` of each block's rows, which
+    is what vectors without any structure need for a recall of 0.9, and fewer where the trees show
+    that no nearer row is left. A row is no candidate for the query of its own id; ties go to the
+    smaller id. Null, empty and zero vectors and those with null or non-finite components take no
+    part, nor do null ids; a vector of another length than the query's is no candidate. Equal
     vectors are one entry of the index that carries their k + 1 smallest ids, which is all that can
     be returned of them. Empty tables give no rows.
     """
@@ -117,7 +130,7 @@ def nearest(
             for qid, v in zip(right["id_"].tolist(), right["v_"]):
                 v = np.asarray(v, np.float64)
                 size = np.sqrt((v * v).sum())
-                found = forest.candidates(v / size, max(int(share * len(values)), least))
+                found = forest.candidates(v / size, k + 1, max(int(share * len(values)), k + 1))
                 score = (values[found] @ v) / (norms[found] * size)
                 best = found[np.argpartition(-score, k + 1)[: k + 2]] if len(found) > k + 2 else found
                 best = np.union1d(best, found[score >= np.sort(score)[-min(len(score), k + 1)]])
@@ -126,5 +139,6 @@ def nearest(
                 out += [(qid, i, -s) for s, i in hits]
         return pd.DataFrame(out, columns=["query_id", "id_", "score"]).astype({"query_id": "int64", "id_": "int64", "score": "float64"})
 
-    found = rows.select("block_", "part_", "ids_", "v_").groupBy("block_", "part_").cogroup(sent.select("block_", "part_", "id_", "v_").groupBy("block_", "part_")).applyInPandas(search, "query_id long, id_ long, score double")
+    keys, length = ("block_", "part_", "size_"), F.size("v_").alias("size_")
+    found = rows.select("block_", "part_", length, "ids_", "v_").groupBy(*keys).cogroup(sent.select("block_", "part_", length, "id_", "v_").groupBy(*keys)).applyInPandas(search, "query_id long, id_ long, score double")
     return ranked(found, k, id_col)
