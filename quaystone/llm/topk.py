@@ -22,7 +22,7 @@ from quaystone.llm.common import bound_arrow
 
 def quantised(vec: str, scale: int):
     """array<long> of floor(scale * x), or null where the vector takes no part."""
-    ok = F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    ok = (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(ok, F.transform(vec, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
@@ -167,8 +167,9 @@ def top_k(
     """(query_id, rank int, id, score long): the k largest integer inner products of each query, exactly.
 
     A row is no candidate for the query of its own id. Ties go to the smaller id. Null vectors and
-    vectors with null or non-finite components take no part, nor do null ids; vectors of another
-    length than the most frequent raise an error. Repeated ids are separate candidates. Fewer rows
+    vectors with null or non-finite components take no part, nor do null ids; an empty
+    vector takes no part either, and a vector of another length than the query's is no candidate.
+    Components are taken to be under 2**40 in size, so that scores fit a long. Repeated ids are separate candidates. Fewer rows
     than k give fewer ranks, empty tables none.
 
     ``low`` bits of each attribute are left to the exact step. Rows are dealt by hash to blocks of
@@ -197,8 +198,9 @@ def top_k(
                 out.append(pd.DataFrame({"query_id": qid, "id_": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id_": [], "score": []}, dtype="int64")
 
-    names = [c.split()[0] for c in pair.split(", ")]
-    found = rows.select(*names).groupBy("block_", "part_").cogroup(sent.select(*names).groupBy("block_", "part_")).applyInPandas(search, "query_id long, id_ long, score long")
+    names = [*(c.split()[0] for c in pair.split(", ")), F.size("v_").alias("size_")]
+    keys = ("block_", "part_", "size_")
+    found = rows.select(*names).groupBy(*keys).cogroup(sent.select(*names).groupBy(*keys)).applyInPandas(search, "query_id long, id_ long, score long")
     return ranked(found, k, id_col)
 
 
