@@ -20,7 +20,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col
     its target by less than one row. slot is gapless from 0 within a shard. grown_shard is null, as
     only a law by key has it. Null ids come first; repeated ids and rows are separate rows, in the
     order in which they are read; a frequent id does not fill one partition, as the place in the
-    input breaks ties. An empty table gives no rows.
+    input breaks ties. An empty table gives no rows; if
+    no row has any size, all are in shard 0.
     """
     spark = docs.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -37,7 +38,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col
     placed = (
         dealt.join(F.broadcast(before.select("part_", "before_", "all_")), "part_")
         .withColumn("first_", F.col("before_") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("shard", F.floor(F.col("first_").cast("decimal(30,0)") * shards / F.col("all_").cast("decimal(30,0)")).cast("int"))
+        .withColumn("shard", F.when(F.col("all_") == 0, 0).otherwise(F.floor(F.col("first_").cast("decimal(30,0)") * shards / F.col("all_").cast("decimal(30,0)"))).cast("int"))
         .withColumn("in_part_", F.row_number().over(order))
     )
     # At most partitions + shards rows: where each shard's share of a partition begins.

@@ -79,7 +79,7 @@ def test_neighbours(spark):
     df = spark.createDataFrame(rows, VEC)
     use = [(i, np.array(v, np.float64)) for i, v, *_ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), block_rows=800, query_rows=20, least=200).collect():
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), block_rows=800, query_rows=20).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hit = total = 0
     for q, v in use:
@@ -92,6 +92,23 @@ def test_neighbours(spark):
             hit, total = hit + len(set(best) & {i for _, i, _ in mine}), total + 5
     assert hit / total >= 0.9
     assert ann.nearest(df.limit(0), df).count() == 0
+    ragged = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.1]), (50, [1.0, 0.0, 0.0]), (2, [0.5, 0.5, 0.0]), (3, []), (100, [])], "vec_id long, embedding array<float>")
+    for tool in (ann.nearest, topk.top_k):
+        assert {(r.query_id, r.vec_id) for r in tool(ragged, ragged.where("vec_id % 50 = 0")).collect()} == {(0, 1), (50, 2)}
+
+
+def test_search_ends_where_no_nearer_row_is_left():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    unit = np.repeat(centres, 50, axis=0) + 0.02 * rng.normal(size=(2000, 32))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    forest = ann.Forest(unit, 16, 64, 7)
+    share, hit = [], 0
+    for i in range(0, 2000, 50):
+        found = forest.candidates(unit[i], 6, 2000)
+        share.append(len(found) / 2000)
+        hit += len(set(np.argsort(-(unit @ unit[i]))[:6]) & set(found.tolist()))
+    assert hit == 6 * 40 and np.mean(share) < 0.25, np.mean(share)
 
 
 def brute_groups(rows):
@@ -167,6 +184,19 @@ def test_shards(spark):
         assert abs(sum(r["size"] for r in part) - total / 40) <= 320
     text = {r[0]: r[1] for r in rows if r[0] != 3}
     assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r["size"] == len((text[r.doc_id] or "").encode()) + 16 for r in got if r.doc_id != 3)
+    # The law again by brute force: prefix sums in id order, cut at equal targets.
+    at, slots, want, mixed = 0, {}, [], {r.shard for r in got if r.doc_id == 3}
+    for i, t, _ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        size = len((t or "").encode()) + 16
+        want.append((i, at, size))
+        at += size
+    for i, first, size in want:
+        shard_no = first * 40 // at
+        slots[shard_no] = slots.get(shard_no, -1) + 1
+        if i != 3:  # the 201 rows of 3 are of several sizes, in the order in which they are read
+            assert [(r.shard, None if r.shard in mixed else r.slot) for r in got if r.doc_id == i] == [(shard_no, None if shard_no in mixed else slots[shard_no])]
+    nothing = shard.shard_by_bytes(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"), overhead=0).collect()
+    assert sorted((r.shard, r.slot) for r in nothing) == [(0, 0), (0, 1)]
     order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None]
     assert order == sorted(order)
     assert shard.shard_by_bytes(df.limit(0)).count() == 0
