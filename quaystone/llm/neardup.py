@@ -300,15 +300,21 @@ def near_duplicates(
     known = described.where(F.col("id").isNotNull() & F.col("set_key").isNotNull())
     reps = known.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     repeated = materialise(reps.where("copies > 1").select("set_key", "rep"), "repeated")
-    signed = known.join(repeated, "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).select("id", "n_shingles", "sig")
+    few = repeated.count() <= broadcast_rows
+    signed = known.join(F.broadcast(repeated) if few else repeated, "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).select("id", "n_shingles", "sig")
 
     # Buckets: rows with an equal band. Those of one row are gone after the first aggregate.
     member = signed.select("id", F.posexplode("sig").alias("at", "band")).select("id", F.xxhash64("at", "band").alias("band"))
     buckets = materialise(member.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "first"), "buckets")
-    crowd = materialise(member.join(buckets, "band"), "crowd")
+    few = buckets.count() <= broadcast_rows
+    crowd = materialise(member.join(F.broadcast(buckets) if few else buckets, "band"), "crowd")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     stars = crowd.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    # Signatures of rows with company only; all that is compared from here on is among them.
+    met = materialise(crowd.select("id").distinct(), "met")
+    few = met.count() <= broadcast_rows
+    signed = materialise(signed.join(F.broadcast(met) if few else met, "id"), "signed")
     near = materialise(_prune(stars, signed, percent, least).groupBy("a", "b").agg(F.max("same").alias("same")), "near")
     links = _verify(near, texts, percent, width, pair_rows, block_bytes, broadcast_rows)
     groups = materialise(connected_components(links, "a", "b"), "groups")
@@ -319,7 +325,7 @@ def near_duplicates(
     unsettled = materialise(unsettled.select("band", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")), "unsettled")
     cores = docs.sparkSession.sparkContext.defaultParallelism
     deals = max(cores, (unsettled.agg(F.sum("blocks")).first()[0] or 0) // 2_000)
-    rest = _in_blocks(labelled.join(signed, "id"), "band", unsettled).withColumn("deal", F.pmod(F.xxhash64("band", "x", "y"), F.lit(deals)))
+    rest = _in_blocks(labelled, "band", unsettled).join(signed, "id").withColumn("deal", F.pmod(F.xxhash64("band", "x", "y"), F.lit(deals)))
     edges = materialise(rest.groupBy("deal").applyInPandas(_clusters(percent, least), "a long, b long").distinct(), "suspects")
 
     clusters = connected_components(edges, "a", "b").withColumnsRenamed({"node": "id", "component": "cluster"}).join(groups.withColumnRenamed("node", "id"), "id", "left")
@@ -329,8 +335,8 @@ def near_duplicates(
     blocks = full.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = materialise(blocks.select("cluster", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks")), "blocks")
     deals = max(cores, (blocks.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 0) // 200)
-    met = _in_blocks(full, "cluster", blocks).withColumn("deal", F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(deals)))
-    links = met.groupBy("deal").applyInPandas(_links_within(percent, width, least), "a long, b long")
+    close = _in_blocks(full, "cluster", blocks).withColumn("deal", F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(deals)))
+    links = close.groupBy("deal").applyInPandas(_links_within(percent, width, least), "a long, b long")
 
     copies = known.join(repeated, "set_key").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # Copies hang on their first document, so only first documents need to be in the graph, and ids
@@ -338,7 +344,7 @@ def near_duplicates(
     several = known.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").select(F.col("id").alias("a"))
     links = links.unionByName(copies.join(several, "a", "left_semi").distinct()).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
     groups = connected_components(materialise(links, "links"), "a", "b")
-    for t in (buckets, crowd, labelled, near, unsettled, edges, full):
+    for t in (buckets, crowd, labelled, met, signed, near, unsettled, edges, full):
         drop_table(t)
     final = copies.groupBy("a").agg(F.min("b").alias("b")).join(groups.withColumnsRenamed({"node": "b"}), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
     placed = materialise(groups.unionByName(final).groupBy("node").agg(F.min("component").alias("component")), "groups")
