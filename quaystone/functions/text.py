@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+# Tokens that say nothing of a topic.
+GENERIC = ("it", "就活", "新卒", "方法")
+
+
 def nfkc(c: Column) -> Column:
     """Compatibility normalisation, in Arrow batches."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quaystone.functions.text import grams, tokens
+from quaystone.functions.text import GENERIC, grams, tokens
 
 
 def token_sets(rows: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -142,14 +144,54 @@ def claim_queue(claims: DataFrame, claim_class, size: int = 100) -> DataFrame:
     return c.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("priority").orderBy("claim_id")) - 1) / size).cast("bigint"))
 
 
+def content_gap_actions(coverage: DataFrame) -> DataFrame:
+    """Groups with missing topics (group_id, article_id, coverage): P1 where there is an article, else P2."""
+    g = coverage.where("coverage = 'missing'").groupBy("group_id").agg(F.max("article_id").alias("a_"))
+    return g.select(F.concat(F.lit("content-gap:"), F.col("group_id").cast("string")).alias("action_id"), F.when(F.col("a_").isNull(), "P2").otherwise("P1").alias("band"), F.lit(0.0).alias("impact"))
+
+
+def draft_actions(drafts: DataFrame) -> DataFrame:
+    """Drafts (group_id, revision, publication_state) whose publication is blocked: P0."""
+    i = F.concat(F.lit("draft-source:"), F.col("group_id").cast("string"), F.lit(":r"), F.col("revision").cast("string"))
+    return drafts.where("publication_state = 'blocked'").select(i.alias("action_id"), F.lit("P0").alias("band"), F.lit(0.0).alias("impact"))
+
+
+def topology_actions(topology: DataFrame) -> DataFrame:
+    """Group pairs (left_group, right_group, decision, review_required): P1 to consolidate, else P2."""
+    i = F.concat(F.lit("topology:"), F.col("left_group").cast("string"), F.lit(":"), F.col("right_group").cast("string"))
+    return topology.where("review_required").select(i.alias("action_id"), F.when(F.col("decision") == "consolidation_review", "P1").otherwise("P2").alias("band"), F.lit(0.0).alias("impact"))
+
+
+def link_actions(links: DataFrame) -> DataFrame:
+    """Links that are missing between groups (source_group, target_group): P2."""
+    i = F.concat(F.lit("internal-link:"), F.col("source_group").cast("string"), F.lit(":"), F.col("target_group").cast("string"))
+    return links.select(i.alias("action_id"), F.lit("P2").alias("band"), F.lit(0.0).alias("impact"))
+
+
+def format_actions(features: DataFrame) -> DataFrame:
+    """Tasks with result features (task_id, rank): P1 with one in the first three places, else P2."""
+    g = features.groupBy("task_id").agg(F.coalesce(F.min("rank") <= 3, F.lit(False)).alias("top_"))
+    return g.select(F.concat(F.lit("serp-format:"), F.col("task_id").cast("string")).alias("action_id"), F.when(F.col("top_"), "P1").otherwise("P2").alias("band"), F.lit(0.0).alias("impact"))
+
+
+def sense_actions(senses: DataFrame) -> DataFrame:
+    """Open sense tasks (group_id, state, priority_band, priority_score, candidate_ids, readiness, samples) of a group: its highest band; impact = scores + 10 for each candidate affected + 25 for each sense without a unique path + samples."""
+    open_ = senses.where(F.col("state").isin("unreviewed", "unresolved_deferred", "reviewer_disagreement"))
+    n = open_.select("group_id", F.explode("candidate_ids").alias("c")).distinct().groupBy("group_id").agg(F.count(F.lit(1)).alias("n_"))
+    vague = F.coalesce(F.col("readiness") != "unique_path_supported_sense", F.lit(True))
+    g = open_.groupBy("group_id").agg(F.least(F.lit("P2"), F.min("priority_band")).alias("band"), (F.sum("priority_score") + 25 * F.count_if(vague) + F.sum("samples")).alias("s_")).join(n, "group_id", "left")
+    return g.select(F.concat(F.lit("semantic-sense:"), F.col("group_id").cast("string")).alias("action_id"), "band", (F.col("s_") + 10 * F.coalesce("n_", F.lit(0))).cast("double").alias("impact"))
+
+
+def monitor_actions(plan: DataFrame) -> DataFrame:
+    """Sites with candidates for rank monitoring (site_id): P3."""
+    return plan.select("site_id").distinct().select(F.concat(F.lit("rank-monitor:"), F.col("site_id").cast("string")).alias("action_id"), F.lit("P3").alias("band"), F.lit(0.0).alias("impact"))
+
+
 def action_queue(producers: dict[str, DataFrame]) -> DataFrame:
-    """Actions (target_id, impact) of several producers with their bands: P0 from 75, P1 from 50, P2 from 25, else P3."""
-    out = None
-    for kind, df in producers.items():
-        part = df.select(F.lit(kind).alias("kind"), F.col("target_id").cast("string").alias("target_id"), F.round(F.col("impact").cast("double"), 6).alias("impact"))
-        out = part if out is None else out.unionByName(part)
-    i = F.col("impact")
-    return out.withColumn("band", F.when(i >= 75, "P0").when(i >= 50, "P1").when(i >= 25, "P2").otherwise("P3"))
+    """The actions (action_id, band, impact) of several producers, by action type. The band belongs to the producer's rule. The queue's order: band, impact from the largest, type, id."""
+    parts = [df.select(F.lit(kind).alias("action_type"), "action_id", "band", "impact") for kind, df in producers.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).orderBy("band", F.desc("impact"), "action_type", "action_id")
 
 
 def cannibalisation(rows: DataFrame) -> DataFrame:
@@ -190,10 +232,24 @@ def related_search(keywords: DataFrame, query: str) -> DataFrame:
     return j.select("source_keyword_id", "raw_keyword", F.round(F.least(F.lit(60.0), 45 * F.col("shared") / len(words) + F.when(F.contains(F.lower("raw_keyword"), F.lit(query.lower())), 15).otherwise(0)), 6).alias("score"))
 
 
-def related_proposals(groups: DataFrame, keywords: DataFrame, k: int = 20) -> DataFrame:
-    """Unacquired keywords that share a token with a group's main keyword: 100 overlap + min(20, 5 log10(volume + 1)); the ``k`` best of each group."""
-    g, w = token_sets(groups, "group_id", "main_keyword"), token_sets(keywords.where("state = 'unacquired'"), "source_keyword_id", "raw_keyword")
-    j = g.alias("g").join(w.alias("w"), F.col("g.token") == F.col("w.token")).groupBy("g.group_id", "w.source_keyword_id").agg((F.count(F.lit(1)) / F.least(F.first("g.size"), F.first("w.size"))).alias("overlap"))
-    s = j.join(keywords.select("source_keyword_id", "volume"), "source_keyword_id").withColumn("score", F.round(100 * F.col("overlap") + F.least(F.lit(20.0), 5 * F.log10(F.coalesce("volume", F.lit(0)) + 1)), 6))
-    order = Window.partitionBy("group_id").orderBy(F.desc("score"), "source_keyword_id")
-    return s.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("group_id", "source_keyword_id", "score", "position")
+def related_proposals(groups: DataFrame, keywords: DataFrame, associations: DataFrame, k: int = 20, generic: tuple[str, ...] = GENERIC) -> DataFrame:
+    """For each group the ``k`` best unacquired keywords that share a term with its seeds, or have one associated with them from .15 on: 100 (shared / the candidate's terms) + 30 association + min(20, 5 log10(volume + 1)).
+
+    ``groups``: group_id, site_id, seed (one row a seed text), comparison (null, or a keyword that the group has already); ``keywords``: source_keyword_id, representative_id or null, site_id, raw_keyword, volume, state; ``associations``: term,
+    associated_term, cosine. Generic terms do not count; of keywords with one representative the best is proposed. Seeds are spread along associations before keywords are met, so each (group, term) is joined once.
+    """
+    seeds = groups.select("group_id", "site_id", F.explode(F.array_distinct(tokens(F.col("seed")))).alias("token")).where(~F.col("token").isin(*generic)).distinct()
+    near = seeds.join(associations.select(F.col("term").alias("token"), "associated_term", "cosine"), "token").select("group_id", "site_id", F.col("associated_term").alias("token"), F.lit(0).alias("own"), F.col("cosine").cast("double").alias("cosine"))
+    reach = seeds.select("group_id", "site_id", "token", F.lit(1).alias("own"), F.lit(0.0).alias("cosine")).unionByName(near).groupBy("group_id", "site_id", "token").agg(F.max("own").alias("own"), F.max("cosine").alias("cosine"))
+    terms = F.filter(F.array_distinct(tokens(F.col("raw_keyword"))), lambda t: ~t.isin(*generic))
+    open_ = keywords.where("state = 'unacquired'").withColumn("t_", terms)
+    w = open_.select("source_keyword_id", "site_id", F.size("t_").alias("size"), F.explode("t_").alias("token"))
+    j = w.join(reach, ["site_id", "token"]).groupBy("group_id", "source_keyword_id").agg((F.sum("own") / F.first("size")).alias("overlap"), F.max("cosine").alias("association"))
+    j = j.where((F.col("overlap") > 0) | (F.col("association") >= 0.15)).join(open_.select("source_keyword_id", "representative_id", "raw_keyword", "volume"), "source_keyword_id")
+    had = groups.where("comparison IS NOT NULL").select("group_id", F.lower("comparison").alias("k_")).distinct()
+    j = j.withColumn("k_", F.lower("raw_keyword")).join(had, ["group_id", "k_"], "left_anti")
+    score = F.round(100 * F.col("overlap") + 30 * F.col("association") + F.least(F.lit(20.0), 5 * F.log10(F.coalesce("volume", F.lit(0)) + 1)), 6)
+    order = [F.desc("score"), F.desc(F.coalesce("volume", F.lit(0))), "source_keyword_id"]
+    one = Window.partitionBy("group_id", F.coalesce("representative_id", "source_keyword_id")).orderBy(*order)
+    s = j.withColumn("score", score).withColumn("n_", F.row_number().over(one)).where("n_ = 1")
+    return s.withColumn("position", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).where(F.col("position") <= k).select("group_id", "source_keyword_id", "score", "position")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quaystone.functions.text import dice, evidence_key, grams, jaccard, mention
+from quaystone.functions.rules import page_type
+from quaystone.functions.text import GENERIC, evidence_key, grams, jaccard, mention, tokens
 
 
 def combine(left: DataFrame, right: list[str], column: str, separator: str = " ") -> DataFrame:
@@ -52,32 +53,131 @@ def generation_candidates(topics: DataFrame) -> DataFrame:
     return topics.select("topic_id", "group_id", F.inline(F.array(*(F.struct(F.lit(k).alias("content_type"), c.alias("text")) for k, c in made))))
 
 
-def review_candidates(candidates: DataFrame, rivals: DataFrame) -> DataFrame:
-    """100 less penalties: empty or very short (40), over 65 characters (15), without the main keyword (20), a duplicate in its group (25) or in another (10), trigram similarity to a rival of the same group from .75 (15) or .9 (40). Ready from 85, blocked under 50."""
-    g = candidates.withColumn("key_", evidence_key(F.col("text"), unicode=False))
-    own = F.count(F.lit(1)).over(Window.partitionBy("group_id", "key_"))
-    everywhere = F.count(F.lit(1)).over(Window.partitionBy("key_"))
-    c = g.withColumns({"own_": own, "all_": everywhere, "g_": grams(F.lower("text"), 3)})
-    r = rivals.select("group_id", grams(F.lower("text"), 3).alias("r_"))
-    sim = c.select("candidate_id", "group_id", "g_").join(r, "group_id").groupBy("candidate_id").agg(F.max(jaccard(F.col("g_"), F.col("r_"))).alias("sim"))
-    j = c.join(sim, "candidate_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    penalties = [
-        (F.char_length("text") < 5, 40), (F.char_length("text") > 65, 15), (~F.contains(F.lower("text"), F.lower("main_keyword")), 20), (F.col("own_") > 1, 25), ((F.col("own_") == 1) & (F.col("all_") > 1), 10),
-        (F.col("sim") >= 0.9, 40), ((F.col("sim") >= 0.75) & (F.col("sim") < 0.9), 15),
-    ]
-    score = 100 - reduce(lambda a, b: a + b, (F.when(c, p).otherwise(0) for c, p in penalties))
-    return j.select("candidate_id", F.round("sim", 6).alias("similarity"), score.alias("score")).withColumn("state", F.when(F.col("score") >= 85, "ready").when(F.col("score") < 50, "blocked").otherwise("needs_review"))
-
-
-def plan_coherence(parts: DataFrame) -> DataFrame:
-    """Plan items (group_id, kind, quality, evidence, text, title): each is .65 quality + 20 evidence overlap + 15 lexical; the plan .4 title + .35 heading + .15 question + 10, less 5 for each kind that lacks."""
-    lexical = dice(grams(F.lower("text")), grams(F.lower("title")))
-    p = parts.withColumn("item", 0.65 * F.col("quality") + 20 * F.col("evidence") + 15 * lexical)
-    g = p.groupBy("group_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("item"))).alias(k) for k in ("title", "heading", "question")))
-    lack = reduce(lambda a, b: a + b, (F.when(F.col(k).isNull(), 5).otherwise(0) for k in ("title", "heading", "question")))
-    z = lambda k: F.coalesce(F.col(k), F.lit(0.0))
-    g = g.withColumn("score", F.round(0.4 * z("title") + 0.35 * z("heading") + 0.15 * z("question") + 10 - lack, 6))
-    return g.select("group_id", "score", F.when(F.col("score") >= 75, "ready").when(F.col("score") >= 40, "needs_review").otherwise("blocked").alias("state"))
+# Penalties of issues, and the issues that block.
+PENALTIES = {
+    "evidence_missing": 40, "evidence_reference_unresolved": 35, "main_keyword_missing": 30, "existing_content_collision": 30, "competitor_copy_risk": 30, "title_axis_overload": 30, "orphan_h3": 25, "candidate_duplicate": 20,
+    "cross_group_candidate_duplicate": 20, "evidence_text_not_covered": 20, "title_segment_redundancy": 20, "competitor_similarity_review": 15, "serp_feature_observation_review": 20, "term_repetition_review": 10, "title_length_review": 15, "heading_length_review": 15,
+}
+BLOCKERS = ["evidence_missing", "evidence_reference_unresolved", "main_keyword_missing", "orphan_h3", "candidate_duplicate", "cross_group_candidate_duplicate", "existing_content_collision", "competitor_copy_risk", "title_axis_overload"]
+# Tokens of made titles that say nothing of a topic.
+BOILERPLATE = ["?", "わかる", "やすい", "解説", "検索", "ニーズ", "整理"]
+
+
+def trigrams(key) -> Column:
+    """Trigrams of a key; a shorter one is its only gram, an empty one has none."""
+    return F.when(F.char_length(key).between(1, 2), F.array(key)).otherwise(grams(key, 3))
+
+
+def close_rivals(candidates: DataFrame, rivals: DataFrame, least: float = 0.75) -> DataFrame:
+    """(candidate_id, similarity): for candidates (candidate_id, group_id, g) the largest jaccard with a rival (group_id, g) of their group, from ``least`` on.
+
+    Two sets that alike share one of the first n - ceil(least n) + 1 grams of each, in any one order. With the rarest of a group first, few sets meet, and none is lost.
+    """
+    c, r = candidates.select("candidate_id", "group_id", "g").where(F.size("g") > 0), rivals.select("group_id", "g").where(F.size("g") > 0).distinct()
+    r = r.withColumn("rival_", F.xxhash64("group_id", "g"))
+    often = c.select("group_id", F.explode("g").alias("t")).unionByName(r.select("group_id", F.explode("g").alias("t"))).groupBy("group_id", "t").agg(F.count(F.lit(1)).alias("n"))
+
+    def first(df: DataFrame, key: str) -> DataFrame:
+        parts = df.select(key, "group_id", F.size("g").alias("size"), F.explode("g").alias("t")).join(often, ["group_id", "t"])
+        w = Window.partitionBy(key, "group_id").orderBy("n", "t")
+        return parts.withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).select(key, "group_id", "t")
+
+    met = first(c, "candidate_id").join(first(r, "rival_"), ["group_id", "t"]).select("candidate_id", "group_id", "rival_").distinct()
+    j = met.join(c.withColumnRenamed("g", "c_"), ["candidate_id", "group_id"]).join(r.withColumnRenamed("g", "r_"), ["group_id", "rival_"])
+    return j.groupBy("candidate_id").agg(F.max(jaccard(F.col("c_"), F.col("r_"))).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def review_candidates(candidates: DataFrame, rivals: DataFrame, existing: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Issues of candidates, 100 less their penalties, and the state: blocked if an issue blocks, ready from 85, else for review.
+
+    ``candidates``: candidate_id (unique), group_id, main_keyword, content_type, heading_level, text, evidence_type, evidence_ids, axes (how many a title has). ``rivals``: group_id, text; ``existing``: text of titles and headings;
+    ``evidence``: evidence_type, evidence_id, topic (null where it is none). ``similarity`` is given from .75 on, where it decides. Null texts count as empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    key = lambda c: evidence_key(c, unicode=False)
+    c = candidates.withColumns({"text": text, "key_": key(text), "main_": F.coalesce(key(F.col("main_keyword")), F.lit("")), "ids_": F.coalesce("evidence_ids", F.array().cast("array<string>"))})
+    own, everywhere = Window.partitionBy("group_id", "content_type", "key_"), Window.partitionBy("content_type", "key_")
+    c = c.withColumns({"own_": F.count(F.lit(1)).over(own), "all_": F.count(F.lit(1)).over(everywhere), "g": trigrams(F.col("key_"))})
+    h2 = c.where("content_type = 'heading' AND heading_level = 2").select("group_id").distinct().withColumn("h2_", F.lit(True))
+    kept = existing.select(key(F.col("text")).alias("key_")).where("key_ IS NOT NULL").distinct().withColumn("kept_", F.lit(True))
+    seen = c.select("candidate_id", "evidence_type", "key_", F.explode("ids_").alias("evidence_id"))
+    known = evidence.select(F.col("evidence_type").alias("kind_"), "evidence_id", "topic").dropDuplicates(["kind_", "evidence_id"])
+    words = F.filter(F.array_distinct(tokens(F.col("topic"))), lambda t: ~t.isin(*GENERIC))
+    share = F.when(F.size(words) > 0, F.size(F.filter(words, lambda t: F.contains(F.col("key_"), t))) / F.size(words)).otherwise(F.lit(1.0))
+    e = seen.join(known, "evidence_id", "left").groupBy("candidate_id", "evidence_id").agg(F.coalesce(F.bool_or(F.col("kind_") == F.col("evidence_type")), F.lit(False)).alias("found"), F.max(F.when(F.col("topic").isNotNull(), share)).alias("share"))
+    e = e.groupBy("candidate_id").agg(F.bool_and("found").alias("resolved_"), F.avg("share").alias("covered_"))
+    sim = close_rivals(c, rivals.select("group_id", trigrams(key(F.col("text"))).alias("g")))
+    j = c.join(h2, "group_id", "left").join(kept, "key_", "left").join(e, "candidate_id", "left").join(sim, "candidate_id", "left")
+    title, heading, length = F.col("content_type") == "title", F.col("content_type") == "heading", F.char_length("text")
+    pieces = F.filter(F.transform(F.split("text", "[｜|]"), lambda p: F.regexp_replace(key(p), "(を)?解説$", "")), lambda p: F.char_length(p) >= 4)
+    redundant = F.exists(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: F.exists(F.transform(pieces, lambda q, k: F.struct(q.alias("q"), k.alias("k"))), lambda y: (y["k"] != x["i"]) & F.contains(y["q"], x["p"])))
+    said = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)), lambda w: F.lower(w))
+    repeated = F.exists(F.array_distinct(said), lambda w: F.size(F.filter(said, lambda v: v == w)) >= 3)
+    none = F.size("ids_") == 0
+    found = {
+        "evidence_missing": none,
+        "evidence_reference_unresolved": ~none & ~F.coalesce("resolved_", F.lit(False)),
+        "serp_feature_observation_review": F.col("evidence_type") == "serp_feature_item",
+        "main_keyword_missing": title & (F.col("main_") != "") & ~F.contains("key_", F.col("main_")),
+        "title_length_review": title & ~length.between(20, 50),
+        "title_segment_redundancy": title & redundant,
+        "heading_length_review": heading & ~length.between(4, 45),
+        "orphan_h3": (F.col("heading_level") == 3) & F.col("h2_").isNull(),
+        "candidate_duplicate": F.col("own_") > 1,
+        "cross_group_candidate_duplicate": F.col("all_") > 1,
+        "evidence_text_not_covered": F.col("covered_") < 0.6,
+        "existing_content_collision": F.col("kept_").isNotNull(),
+        "competitor_copy_risk": F.col("similarity") >= 0.9,
+        "competitor_similarity_review": (F.col("similarity") >= 0.75) & (F.col("similarity") < 0.9),
+        "title_axis_overload": title & (F.col("axes") > 3),
+        "term_repetition_review": repeated,
+    }
+    j = j.withColumn("issues", F.array_compact(F.array(*(F.when(c, k) for k, c in found.items()))))
+    penalty = F.create_map(*(F.lit(x) for kv in PENALTIES.items() for x in kv))
+    score = F.greatest(F.lit(0), 100 - F.aggregate("issues", F.lit(0), lambda a, k: a + penalty[k]))
+    r = j.select("candidate_id", F.round("similarity", 6).alias("similarity"), F.array_join("issues", ",").alias("issues"), score.alias("score"), F.arrays_overlap("issues", F.array(*map(F.lit, BLOCKERS))).alias("blocked_"))
+    return r.withColumn("state", F.when(F.col("blocked_"), "blocked").when(F.col("score") >= 85, "ready").otherwise("needs_review")).drop("blocked_")
+
+
+def plan_coherence(groups: DataFrame, titles: DataFrame, headings: DataFrame) -> DataFrame:
+    """The title of each plan, and how well title and headings go together.
+
+    ``groups``: group_id, outline_status; ``titles`` and selected ``headings``: group_id, candidate_id (unique), text, quality, state, evidence_ids. The baseline is the best title that is not blocked, by state, quality, evidence, nearness to
+    35 characters, id. Of titles of its state, of a quality from max(85, its own less 5) on and of coverages not below its own, the one of the largest .65 quality + 20 evidence + 15 lexical coverage - .02 |length - 35| is taken. The plan has
+    .4 title + .35 mean heading quality + 15 evidence + 10 lexical coverage, less 5 if a heading is for review; blocked without title or outline, else for review with any issue. Nulls: quality 0, no evidence.
+    """
+    clean = lambda df: df.withColumns({"quality": F.coalesce(F.col("quality").cast("double"), F.lit(0.0)), "text": F.coalesce("text", F.lit("")), "ids_": F.array_distinct(F.coalesce("evidence_ids", F.array().cast("array<string>")))})
+    words = F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: ~t.isin(*GENERIC, *BOILERPLATE))
+    t = clean(titles).where("state <> 'blocked'").withColumns({"words_": words, "rank_": F.when(F.col("state") == "ready", 2).when(F.col("state") == "needs_review", 1).otherwise(0), "far_": F.abs(F.char_length("text") - 35)})
+    h = clean(headings).withColumn("words_", words)
+
+    def coverage(column: str, name: str) -> DataFrame:
+        have = h.select("group_id", F.explode(column).alias("x")).distinct()
+        return t.select("group_id", "candidate_id", F.explode(column).alias("x")).join(have, ["group_id", "x"]).groupBy("candidate_id").agg(F.count(F.lit(1)).alias(name))
+
+    t = t.join(coverage("ids_", "shared_ids"), "candidate_id", "left").join(coverage("words_", "shared_words"), "candidate_id", "left").na.fill(0, ["shared_ids", "shared_words"])
+    part = lambda n, c: F.when(F.size(c) > 0, F.col(n) / F.size(c)).otherwise(F.lit(0.0))
+    t = t.withColumns({"e_": part("shared_ids", "ids_"), "l_": part("shared_words", "words_")})
+    t = t.withColumn("joint", 0.65 * F.col("quality") + 20 * F.col("e_") + 15 * F.col("l_") - 0.02 * F.col("far_"))
+    order = [F.desc("rank_"), F.desc("quality"), F.desc(F.size("ids_")), F.col("far_"), F.col("candidate_id")]
+    best = Window.partitionBy("group_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumn("b_", F.first(F.struct("candidate_id", "rank_", "quality", "e_", "l_")).over(best))
+    pool = (F.col("rank_") == F.col("b_.rank_")) & (F.col("quality") >= F.greatest(F.lit(85.0), F.col("b_.quality") - 5)) & (F.col("e_") >= F.col("b_.e_")) & (F.col("l_") >= F.col("b_.l_"))
+    is_base = F.col("candidate_id") == F.col("b_.candidate_id")
+    pick = Window.partitionBy("group_id").orderBy(F.desc("pool_"), F.desc(F.round("joint", 9)), *order)
+    t = t.withColumn("pool_", pool).where(pool | is_base).withColumn("n_", F.row_number().over(pick)).where("n_ = 1")
+    own = t.select("group_id", F.col("candidate_id").alias("title_id"), F.col("b_.candidate_id").alias("baseline_id"), F.col("quality").alias("q_"), F.size("ids_").alias("n_ids"), "e_", "l_")
+    mean = h.groupBy("group_id").agg(F.avg("quality").alias("h_"), F.count_if(F.col("state") == "needs_review").alias("open_"))
+    j = groups.select("group_id", "outline_status").join(own, "group_id", "left").join(mean, "group_id", "left").na.fill(0, ["q_", "e_", "l_", "h_", "open_", "n_ids"])
+    has, open_ = F.col("title_id").isNotNull(), F.col("open_") > 0
+    issues = F.array_compact(F.array(
+        F.when(~has, "title_unavailable"), F.when(F.coalesce(F.col("outline_status") != "outline_ready", F.lit(True)), "outline_unavailable"), F.when(has & (F.col("n_ids") > 0) & (F.col("e_") < 0.5), "title_evidence_weakly_represented"),
+        F.when(has & (F.col("l_") < 0.5), "title_outline_lexical_gap"), F.when(open_, "selected_heading_review_required"),
+    ))
+    score = F.greatest(F.lit(0), F.floor(F.round(0.4 * F.col("q_") + 0.35 * F.col("h_") + 15 * F.col("e_") + 10 * F.col("l_") - F.when(open_, 5).otherwise(0), 6) + 0.5))
+    blocked = F.exists("i_", lambda x: x.isin("title_unavailable", "outline_unavailable"))
+    r = j.withColumns({"i_": issues, "score": score.cast("long")})
+    return r.select("group_id", "title_id", "baseline_id", "score", F.when(blocked, "blocked").when(F.size("i_") > 0, "needs_review").otherwise("ready").alias("state"), F.array_join("i_", ",").alias("issues"), F.round("e_", 4).alias("evidence_coverage"), F.round("l_", 4).alias("lexical_coverage"))
 
 
 def citation_backfill(claims: DataFrame, covered: DataFrame, scored: DataFrame, k: int = 3, least: float = 0.25) -> DataFrame:
@@ -94,11 +194,28 @@ def citation_lineage(citations: DataFrame, references: DataFrame, snapshots: Dat
     return j.select("citation_id", F.when(F.col("task_id").isNull(), "unresolved_reference").when(F.col("digest").isNull(), "unresolved_snapshot").otherwise("resolved").alias("lineage"))
 
 
-def source_authority(pages: DataFrame) -> DataFrame:
-    """Authority of each cited URL by its page type: the strongest of its observations."""
-    level = F.when(F.col("page_type").isin("pdf", "database"), 3).when(F.col("page_type").isin("corporate_home", "service_top", "news"), 2).when(F.col("page_type").isin("qa_forum", "social", "video"), 0).otherwise(1)
-    g = pages.groupBy("url").agg(F.max(level).alias("level"), F.count(F.lit(1)).alias("citations"))
-    return g.select("url", "citations", F.element_at(F.array(*map(F.lit, ("community", "secondary", "publisher", "primary"))), F.col("level") + 1).alias("authority"))
+# What a page type says of its source, and the reason given with each class.
+SOURCE_CLASSES = {"social": "user_generated_platform", "database": "aggregator_database", "article": "editorial_or_commercial_publisher"}
+OTHER_SOURCE = "unclassified_web_source"
+SOURCE_REASONS = {"user_generated_platform": "user_generated_source", "aggregator_database": "aggregator_source"}
+OTHER_REASON = "publisher_source_not_official_entity_proof"
+
+
+def source_authority(candidates: DataFrame, organic: DataFrame) -> DataFrame:
+    """Cited URLs, each once, with the class of their source by the page type of the first candidate.
+
+    ``candidates``: candidate_id, url, title, source (a label or null); ``organic``: url, website_name. No page type proves a primary source: every row stays ``not_proven_from_retained_evidence``.
+    """
+    url = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/$", "")
+    c = candidates.withColumn("key_", url).groupBy("key_").agg(F.min_by(F.struct("url", "title"), "candidate_id").alias("x"), F.count(F.lit(1)).alias("citations"), F.count("source").alias("labels"))
+    names = organic.withColumn("key_", url).groupBy("key_").agg(F.count("website_name").alias("names"))
+    j = c.join(names, "key_", "left").withColumn("page_type", page_type(F.col("x.url"), F.col("x.title")))
+    j = j.withColumn("source_class", F.coalesce(*(F.when(F.col("page_type") == k, v) for k, v in SOURCE_CLASSES.items()), F.lit(OTHER_SOURCE)))
+    reason = F.coalesce(*(F.when(F.col("source_class") == k, v) for k, v in SOURCE_REASONS.items()), F.lit(OTHER_REASON))
+    return j.select(
+        F.col("key_").alias("url"), "page_type", "source_class", "citations", reason.alias("reason"), F.lit("not_proven_from_retained_evidence").alias("primary_source_state"),
+        F.when((F.col("labels") > 0) & (F.coalesce("names", F.lit(0)) > 0), "labels_observed_not_identity_verified").otherwise("identity_evidence_incomplete").alias("identity_state"),
+    )
 
 
 def primary_sources(requirements: DataFrame, pages: DataFrame, topic: DataFrame, keyword: DataFrame, least: float = 0.25) -> DataFrame:
@@ -161,10 +278,18 @@ def stratum(pairs: DataFrame, decision: str) -> tuple[DataFrame, DataFrame]:
     return p.orderBy("left_id", "right_id"), p.groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def new_article_gate(rows: DataFrame) -> DataFrame:
-    """Routes of a new article by the topology of its group: merge into another, wait for depth, link as a sibling, or go ahead."""
-    t = F.col("topology")
-    return rows.select("*", F.when(t == "consolidation", "merge_first").when(t.isin("depth_sensitive_hold", "mixed"), "hold_for_depth").when(t == "sibling_link", "create_and_link").otherwise("create").alias("gate"))
+def new_article_gate(candidates: DataFrame, topology: DataFrame, groups: DataFrame) -> DataFrame:
+    """Routes of new articles by the topology of their group: a boundary to an existing article to look at first, links to it, other planned groups, or none of these.
+
+    ``candidates``: keyword_id, group_id; ``topology``: left_group, right_group, decision; ``groups``: group_id (unique), article_id or null.
+    """
+    e = topology.where("left_group <> right_group").select("left_group", "right_group", "decision")
+    both = e.select(F.col("left_group").alias("group_id"), F.col("right_group").alias("other"), "decision").unionByName(e.select(F.col("right_group").alias("group_id"), F.col("left_group").alias("other"), "decision"))
+    j = both.join(groups.select(F.col("group_id").alias("other"), "article_id"), "other", "left").groupBy("group_id", "other").agg(F.count("article_id").alias("a_"), F.bool_or(F.col("decision") == "depth_sensitive_hold").alias("d_"))
+    g = j.groupBy("group_id").agg(F.count(F.lit(1)).alias("related"), F.count_if(F.col("a_") > 0).alias("existing"), F.bool_or("d_").alias("held"))
+    r = candidates.join(g, "group_id", "left").na.fill(0, ["related", "existing"]).na.fill(False, ["held"])
+    route = F.when((F.col("existing") > 0) & F.col("held"), "existing_article_boundary_review").when(F.col("existing") > 0, "new_article_with_internal_link_review").when(F.col("related") > 0, "planned_group_topology_review").otherwise("ready_new_article_review")
+    return r.select("keyword_id", "group_id", route.alias("review_action"), F.col("existing").alias("existing_articles"), (F.col("related") - F.col("existing")).alias("planned_groups"))
 
 
 def latent_demand(rows: DataFrame, max_depth: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -230,10 +355,11 @@ def benchmark_readiness(top: DataFrame, headings: DataFrame, observed: DataFrame
 
 
 def citation_suitability(recommendations: DataFrame, requirements: DataFrame, authority: DataFrame) -> DataFrame:
-    """Recommended citations against what the claim requires and the authority of the source."""
-    j = recommendations.join(requirements, "claim_id").join(authority.select("url", "authority"), "url", "left")
-    ok = F.when(F.col("requirement") == "P0", F.col("authority") == "primary").when(F.col("requirement") == "P1", F.col("authority").isin("primary", "publisher")).otherwise(F.col("authority") != "community")
-    return j.select("claim_id", "url", F.when(F.col("authority").isNull(), "authority_unknown").when(ok, "suitable").otherwise("unsuitable").alias("suitability"))
+    """Recommended citations against the source that the claim requires: retained evidence proves neither a primary source nor independence, so each stays open, with its class."""
+    j = recommendations.join(requirements, "claim_id", "left").join(authority.select("url", "source_class"), "url", "left")
+    requirement = F.coalesce("source_requirement", F.lit("unknown"))
+    state = F.when(requirement == "independent_corroboration_required", "independence_not_proven").otherwise("primary_source_proof_missing")
+    return j.select("claim_id", "url", requirement.alias("source_requirement"), F.coalesce("source_class", F.lit(OTHER_SOURCE)).alias("source_class"), state.alias("suitability"))
 
 
 def discovery_manifest(claims: DataFrame, ready: DataFrame) -> DataFrame:

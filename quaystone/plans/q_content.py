@@ -91,14 +91,45 @@ def m14(s: Source):
     return matching.evidence_resolution(s.sql(_EV), {"part": s.part.select(F.col("p_partkey").alias("id")), "supplier": s.supplier.select(F.col("s_suppkey").alias("id"))})
 
 
-@query("M21_claim_queue", "WITH c AS (SELECT article_id AS claim_id, CASE WHEN regexp_matches(lower(title), '[0-9]|price|cost|fee|law|legal|year|month|date') THEN 'P0' WHEN regexp_matches(lower(title), 'what is|meaning|definition|difference') THEN 'P1' ELSE 'P2' END AS priority FROM {articles}) SELECT claim_id, priority, (row_number() OVER (PARTITION BY priority ORDER BY claim_id) - 1) // 100 AS batch FROM c")
+@query("M21_claim_queue", f"WITH c AS (SELECT article_id AS claim_id, CASE WHEN regexp_matches(title, '{rules.CLAIM_FIGURES}') THEN 'P0' WHEN regexp_matches(title, '{rules.CLAIM_DEFINITIONS}') THEN 'P1' ELSE 'P2' END AS priority FROM (SELECT article_id, concat(title, CASE article_id % 5 WHEN 1 THEN ' 費用' WHEN 2 THEN ' とは' ELSE '' END) AS title FROM {{articles}}) x) SELECT claim_id, priority, (row_number() OVER (PARTITION BY priority ORDER BY claim_id) - 1) // 100 AS batch FROM c")
 def m21(s: Source):
-    return matching.claim_queue(s.articles.select(F.col("article_id").alias("claim_id"), "title"), rules.claim_class(F.col("title"))).select("claim_id", "priority", "batch")
+    m = F.col("article_id") % 5
+    topic = F.concat("title", F.when(m == 1, " 費用").when(m == 2, " とは").otherwise(""))
+    return matching.claim_queue(s.articles.select(F.col("article_id").alias("claim_id"), topic.alias("topic")), rules.claim_class(F.col("topic"))).select("claim_id", "priority", "batch")
 
 
-@query("M23_action_queue", "SELECT *, CASE WHEN impact >= 75 THEN 'P0' WHEN impact >= 50 THEN 'P1' WHEN impact >= 25 THEN 'P2' ELSE 'P3' END AS band FROM (SELECT 'page' AS kind, CAST(article_id AS STRING) AS target_id, CAST(length(title) AS DOUBLE) AS impact FROM {articles} UNION ALL SELECT 'keyword', CAST(source_keyword_id AS STRING), CAST(size AS DOUBLE) FROM {keywords} UNION ALL SELECT 'task', CAST(task_id AS STRING), round(volume / 100, 6) FROM {tasks} WHERE volume IS NOT NULL) u")
+_GAPS = "SELECT o_custkey AS group_id, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END AS article_id, CASE WHEN o_orderstatus = 'O' THEN 'missing' ELSE 'covered_title' END AS coverage FROM {orders}"
+_DRAFTS = "SELECT article_id AS group_id, article_id % 3 + 1 AS revision, CASE WHEN article_id % 4 = 0 THEN 'blocked' ELSE 'open' END AS publication_state FROM {articles}"
+#: Topology of keyword groups: every keyword is a group, with an edge to the group as far behind it as its size.
+_TOPOLOGY = "SELECT source_keyword_id AS left_group, source_keyword_id + size % 20 AS right_group, CASE size % 4 WHEN 0 THEN 'consolidation_review' WHEN 1 THEN 'depth_sensitive_hold' WHEN 2 THEN 'sibling_article_link_review' ELSE 'retain_separate' END AS decision FROM {keywords}"
+_SENSES = "SELECT conv_id AS group_id, CASE turn % 3 WHEN 0 THEN 'unreviewed' WHEN 1 THEN 'resolved' ELSE 'reviewer_disagreement' END AS state, concat('P', CAST((conv_id + turn) % 4 AS STRING)) AS priority_band, length(text) AS priority_score, split(text, ' ') AS candidate_ids, CASE WHEN role = 'user' THEN 'unique_path_supported_sense' END AS readiness, turn AS samples FROM {conversations}"
+
+
+@query(
+    "M23_action_queue",
+    f"""
+    WITH n AS (SELECT group_id, count(DISTINCT c) AS n FROM (SELECT group_id, unnest(candidate_ids) AS c FROM ({_SENSES}) x WHERE state <> 'resolved') y GROUP BY 1),
+    v AS (SELECT group_id, min(priority_band) AS band, sum(priority_score) + 25 * count(CASE WHEN readiness IS NULL THEN 1 END) + sum(samples) AS i FROM ({_SENSES}) x WHERE state <> 'resolved' GROUP BY 1)
+    SELECT 'content_gap_review' AS action_type, concat('content-gap:', group_id) AS action_id, CASE WHEN max(article_id) IS NULL THEN 'P2' ELSE 'P1' END AS band, CAST(0 AS DOUBLE) AS impact FROM ({_GAPS}) x WHERE coverage = 'missing' GROUP BY group_id
+    UNION ALL SELECT 'primary_source_verification', concat('draft-source:', group_id, ':r', revision), 'P0', 0 FROM ({_DRAFTS}) x WHERE publication_state = 'blocked'
+    UNION ALL SELECT 'content_topology_review', concat('topology:', left_group, ':', right_group), CASE WHEN decision = 'consolidation_review' THEN 'P1' ELSE 'P2' END, 0 FROM ({_TOPOLOGY}) x WHERE decision <> 'retain_separate'
+    UNION ALL SELECT DISTINCT 'internal_link_review', concat('internal-link:', l_partkey, ':', l_suppkey), 'P2', 0 FROM lineitem
+    UNION ALL SELECT 'serp_format_review', concat('serp-format:', task_id), CASE WHEN min(rank) <= 3 THEN 'P1' ELSE 'P2' END, 0 FROM {{edges}} WHERE title LIKE '%Shop 0' GROUP BY task_id
+    UNION ALL SELECT 'semantic_sense_review', concat('semantic-sense:', v.group_id), least('P2', band), i + 10 * coalesce(n, 0) FROM v LEFT JOIN n ON v.group_id = n.group_id
+    UNION ALL SELECT DISTINCT 'rank_monitor_registration_review', concat('rank-monitor:', site_id), 'P3', 0 FROM {{tasks}}""",
+)
 def m23(s: Source):
-    return matching.action_queue({"page": s.articles.select(F.col("article_id").alias("target_id"), F.char_length("title").alias("impact")), "keyword": s.keywords.select(F.col("source_keyword_id").alias("target_id"), F.col("size").alias("impact")), "task": s.tasks.where("volume is not null").select(F.col("task_id").alias("target_id"), (F.col("volume") / 100).alias("impact"))})
+    return matching.action_queue(
+        {
+            "content_gap_review": matching.content_gap_actions(s.sql(_GAPS)),
+            "primary_source_verification": matching.draft_actions(s.sql(_DRAFTS)),
+            "content_topology_review": matching.topology_actions(s.sql(_TOPOLOGY).withColumn("review_required", F.col("decision") != "retain_separate")),
+            "internal_link_review": matching.link_actions(s.lineitem.select(F.col("l_partkey").alias("source_group"), F.col("l_suppkey").alias("target_group")).distinct()),
+            "serp_format_review": matching.format_actions(s.edges.where("title LIKE '%Shop 0'").select("task_id", "rank")),
+            "semantic_sense_review": matching.sense_actions(s.sql(_SENSES)),
+            "rank_monitor_registration_review": matching.monitor_actions(s.tasks.select("site_id")),
+        }
+    )
 
 
 @query("M25_cannibalisation", "SELECT query, count(DISTINCT article_id) AS articles, CAST(sum(impressions) AS BIGINT) AS impressions, arg_max(article_id, (impressions, -article_id)) AS leading_article FROM {article_queries} GROUP BY query HAVING count(DISTINCT article_id) > 1")
@@ -142,16 +173,24 @@ def g19(s: Source):
     return matching.related_search(s.keywords, "small ring")
 
 
+_PG = "SELECT size AS group_id, size AS site_id, min(raw_keyword) AS seed, max(raw_keyword) AS comparison FROM {keywords} GROUP BY size"
+_PK = "SELECT source_keyword_id, CASE WHEN source_keyword_id % 10 = 0 THEN source_keyword_id + 1 END AS representative_id, size AS site_id, raw_keyword, volume, CASE WHEN source_keyword_id % 4 = 0 THEN 'acquired' ELSE 'unacquired' END AS state FROM {keywords}"
+_PA = "SELECT split_part(raw_keyword, ' ', 1) AS term, split_part(raw_keyword, ' ', 2) AS associated_term, round(10 * count(*) / max(total), 6) AS cosine FROM {keywords} CROSS JOIN (SELECT count(*) AS total FROM {keywords}) t GROUP BY split_part(raw_keyword, ' ', 1), split_part(raw_keyword, ' ', 2)"
+
+
 @query(
     "G20_W4_related_proposals",
-    """
-    WITH gr AS (SELECT * FROM (VALUES (1, 'small widget'), (2, 'red ring'), (3, 'blue')) v(group_id, main_keyword)), g AS (SELECT group_id, len(string_split(main_keyword, ' ')) AS n, unnest(string_split(main_keyword, ' ')) AS token FROM gr), w AS (SELECT source_keyword_id, volume, 2 AS n, unnest(string_split(raw_keyword, ' ')) AS token FROM {keywords} WHERE state = 'unacquired'),
-    s AS (SELECT group_id, source_keyword_id, round(100 * count(*) / least(min(g.n), min(w.n)) + least(20, 5 * log10(coalesce(min(volume), 0) + 1)), 6) AS score FROM g JOIN w ON g.token = w.token GROUP BY ALL)
-    SELECT CAST(group_id AS BIGINT) AS group_id, source_keyword_id, score, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, source_keyword_id) AS position FROM s QUALIFY position <= 20""",
+    f"""
+    WITH g AS ({_PG}), k AS ({_PK}), a AS ({_PA}), s AS (SELECT DISTINCT group_id, site_id, unnest(string_split(seed, ' ')) AS token FROM g),
+    r AS (SELECT group_id, site_id, token, max(own) AS own, max(c) AS c FROM (SELECT *, 1 AS own, 0 AS c FROM s UNION ALL SELECT group_id, site_id, associated_term, 0, cosine FROM s JOIN a ON s.token = a.term) x GROUP BY ALL),
+    w AS (SELECT source_keyword_id, site_id, len(t) AS n, unnest(t) AS token FROM (SELECT *, list_distinct(string_split(raw_keyword, ' ')) AS t FROM k WHERE state = 'unacquired') x),
+    j AS (SELECT group_id, source_keyword_id, sum(own) / min(n) AS overlap, max(c) AS c FROM w JOIN r ON w.site_id = r.site_id AND w.token = r.token GROUP BY ALL HAVING sum(own) > 0 OR max(c) >= 0.15),
+    f AS (SELECT j.group_id, j.source_keyword_id, coalesce(volume, 0) AS v, coalesce(representative_id, j.source_keyword_id) AS rep, round(100 * overlap + 30 * c + least(20, 5 * log10(coalesce(volume, 0) + 1)), 6) AS score FROM j JOIN k ON j.source_keyword_id = k.source_keyword_id JOIN g ON j.group_id = g.group_id WHERE lower(raw_keyword) <> lower(comparison)),
+    o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY group_id, rep ORDER BY score DESC, v DESC, source_keyword_id) = 1)
+    SELECT group_id, source_keyword_id, score, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, v DESC, source_keyword_id) AS position FROM o QUALIFY position <= 20""",
 )
 def g20(s: Source):
-    groups = s.sql("SELECT DISTINCT v.* FROM {region} JOIN (VALUES (1, 'small widget'), (2, 'red ring'), (3, 'blue')) v(group_id, main_keyword)")
-    return matching.related_proposals(groups, s.keywords)
+    return matching.related_proposals(s.sql(_PG), s.sql(_PK), s.sql(_PA))
 
 
 @query("Q1_unique", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

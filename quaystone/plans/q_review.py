@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaystone.functions import rules
+from quaystone.functions.text import GENERIC
 from quaystone.operators import demand, graph, matching, review
 from quaystone.plans.catalog import Source, query
+from quaystone.plans.q_content import _TOPOLOGY
+from quaystone.plans.q_text import _KINDS, _TYPED
 
 
 @query("J11_combine", "SELECT source_keyword_id, raw_keyword || ' ' || w AS combined FROM {keywords}, (VALUES ('price'), ('review'), ('shop')) v(w)")
@@ -52,28 +56,78 @@ def m11(s: Source):
     return review.generation_candidates(s.sql(_TP))
 
 
-_CA = "SELECT article_id AS candidate_id, article_id % 60 AS group_id, title AS text, split_part(title, ' ', CASE WHEN article_id % 3 = 0 THEN 1 ELSE 2 END) AS main_keyword FROM {articles}"
-_RI = "SELECT article_id % 60 AS group_id, CASE WHEN article_id % 4 = 0 THEN title ELSE heading END AS text FROM {articles}"
-_T3 = "list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), CAST(i AS INT), 3)))"
+_CA = """SELECT article_id AS candidate_id, lower(split_part(title, ' ', 1)) AS group_id, split_part(title, ' ', CASE WHEN article_id % 3 = 0 THEN 1 ELSE 2 END) AS main_keyword, CASE WHEN article_id % 3 = 0 THEN 'title' ELSE 'heading' END AS content_type,
+    CASE article_id % 3 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS heading_level, CASE WHEN article_id % 3 = 0 THEN concat(title, CASE WHEN article_id % 6 = 0 THEN '|' ELSE ' ' END, heading) ELSE heading END AS text,
+    CASE article_id % 4 WHEN 0 THEN 'competitor_term' WHEN 1 THEN 'serp_feature_item' ELSE 'serp_demand' END AS evidence_type, CASE WHEN article_id % 7 = 0 THEN NULL ELSE split(concat(CAST(article_id AS STRING), ',', CAST(article_id % 50 AS STRING)), ',') END AS evidence_ids, article_id % 5 AS axes FROM {articles}"""
+_RI = "SELECT lower(split_part(title, ' ', 1)) AS group_id, CASE WHEN article_id % 4 = 0 THEN concat(title, ' more') ELSE heading END AS text FROM {articles}"
+_OLD = "SELECT concat(heading, CASE WHEN article_id % 5 = 0 THEN '' ELSE '!x' END) AS text FROM {articles}"
+_KNOWN = "SELECT 'serp_demand' AS evidence_type, CAST(article_id AS STRING) AS evidence_id, CASE WHEN article_id % 2 = 0 THEN heading ELSE concat(heading, ' review price costs') END AS topic FROM {articles} UNION ALL SELECT 'competitor_term', CAST(article_id AS STRING), NULL FROM {articles} WHERE article_id % 8 <> 0 UNION ALL SELECT 'serp_feature_item', CAST(article_id AS STRING), NULL FROM {articles} WHERE article_id % 3 <> 0"
+_T3 = "CASE WHEN length(k) < 1 THEN CAST([] AS VARCHAR[]) WHEN length(k) < 3 THEN [k] ELSE list_distinct(list_transform(range(1, length(k) - 1), lambda i: substring(k, CAST(i AS INT), 3))) END"
+_GENERIC = ", ".join(f"'{t}'" for t in GENERIC)
+#: The issues in SQL, in the order of the operator.
+_ISSUES = {
+    "evidence_missing": "evidence_ids IS NULL",
+    "evidence_reference_unresolved": "evidence_ids IS NOT NULL AND NOT resolved",
+    "serp_feature_observation_review": "evidence_type = 'serp_feature_item'",
+    "main_keyword_missing": "ti AND m <> '' AND NOT contains(c.k, m)",
+    "title_length_review": "ti AND (length(text) < 20 OR length(text) > 50)",
+    "title_segment_redundancy": "ti AND red",
+    "heading_length_review": "NOT ti AND (length(text) < 4 OR length(text) > 45)",
+    "orphan_h3": "heading_level = 3 AND h2.group_id IS NULL",
+    "candidate_duplicate": "own > 1",
+    "cross_group_candidate_duplicate": "allc > 1",
+    "evidence_text_not_covered": "cov < 0.6",
+    "existing_content_collision": "x.k IS NOT NULL",
+    "competitor_copy_risk": "sim >= 0.9",
+    "competitor_similarity_review": "sim >= 0.75 AND sim < 0.9",
+    "title_axis_overload": "ti AND axes > 3",
+    "term_repetition_review": "len(list_filter(list_distinct(w), lambda a: len(list_filter(w, lambda b: b = a)) >= 3)) > 0",
+}
+_SUM = " - ".join(f"CASE WHEN {c} THEN {review.PENALTIES[k]} ELSE 0 END" for k, c in _ISSUES.items())
+_LIST = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _ISSUES.items())
+_BLOCK = " OR ".join(f"coalesce({_ISSUES[k]}, false)" for k in review.BLOCKERS)
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
 
 
 @query(
     "M12_review_candidates",
     f"""
-    WITH c AS (SELECT *, {_K.format('text')} AS k, {_T3} AS g FROM ({_CA}) x), r AS (SELECT group_id, {_T3} AS g FROM ({_RI}) y), s AS (SELECT candidate_id, max(CASE WHEN len(c.g) + len(r.g) > 0 THEN len(list_intersect(c.g, r.g)) / (len(c.g) + len(r.g) - len(list_intersect(c.g, r.g))) ELSE 0 END) AS sim FROM c JOIN r ON c.group_id = r.group_id GROUP BY 1),
-    j AS (SELECT c.*, coalesce(sim, 0) AS sim, count(*) OVER (PARTITION BY group_id, k) AS o, count(*) OVER (PARTITION BY k) AS a FROM c LEFT JOIN s ON c.candidate_id = s.candidate_id),
-    p AS (SELECT candidate_id, round(sim, 6) AS similarity, CAST(100 - CASE WHEN length(text) < 5 THEN 40 ELSE 0 END - CASE WHEN length(text) > 65 THEN 15 ELSE 0 END - CASE WHEN NOT contains(lower(text), lower(main_keyword)) THEN 20 ELSE 0 END - CASE WHEN o > 1 THEN 25 WHEN a > 1 THEN 10 ELSE 0 END - CASE WHEN sim >= 0.9 THEN 40 WHEN sim >= 0.75 THEN 15 ELSE 0 END AS BIGINT) AS score FROM j)
-    SELECT *, CASE WHEN score >= 85 THEN 'ready' WHEN score < 50 THEN 'blocked' ELSE 'needs_review' END AS state FROM p""",
+    WITH c AS (SELECT *, {_T3} AS g, count(*) OVER (PARTITION BY group_id, content_type, k) AS own, count(*) OVER (PARTITION BY content_type, k) AS allc, content_type = 'title' AS ti, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda z: lower(z)) AS w,
+        list_filter(list_transform(string_split(replace(text, '｜', '|'), '|'), lambda p: regexp_replace({_K.format('p')}, '(を)?解説$', '')), lambda p: length(p) >= 4) AS seg FROM (SELECT *, {_K.format('text')} AS k, {_K.format('main_keyword')} AS m FROM ({_CA}) q) q),
+    sg AS (SELECT candidate_id, bool_or(contains(b.p, a.p)) AS red FROM (SELECT candidate_id, unnest(seg) AS p, generate_subscripts(seg, 1) AS i FROM c) a JOIN (SELECT candidate_id, unnest(seg) AS p, generate_subscripts(seg, 1) AS i FROM c) b USING (candidate_id) WHERE a.i <> b.i GROUP BY 1),
+    r AS (SELECT DISTINCT group_id, {_T3} AS g FROM (SELECT group_id, {_K.format('text')} AS k FROM ({_RI}) q) q), s AS (SELECT candidate_id, max(len(list_intersect(c.g, r.g)) / (len(c.g) + len(r.g) - len(list_intersect(c.g, r.g)))) AS sim FROM c JOIN r ON c.group_id = r.group_id WHERE len(c.g) > 0 AND len(r.g) > 0 GROUP BY 1),
+    kn AS ({_KNOWN}), e1 AS (SELECT candidate_id, evidence_id, k, evidence_type FROM (SELECT *, unnest(evidence_ids) AS evidence_id FROM c) q),
+    e2 AS (SELECT candidate_id, e1.evidence_id, coalesce(bool_or(kn.evidence_type = e1.evidence_type), false) AS found, max(CASE WHEN topic IS NOT NULL THEN CASE WHEN len(list_filter({_WORDS.format('topic')}, lambda t: t NOT IN ({_GENERIC}))) = 0 THEN 1 ELSE len(list_filter({_WORDS.format('topic')}, lambda t: t NOT IN ({_GENERIC}) AND contains(k, t))) / len(list_filter({_WORDS.format('topic')}, lambda t: t NOT IN ({_GENERIC}))) END END) AS share FROM e1 LEFT JOIN kn ON e1.evidence_id = kn.evidence_id GROUP BY ALL),
+    e AS (SELECT candidate_id, bool_and(found) AS resolved, avg(share) AS cov FROM e2 GROUP BY 1), h2 AS (SELECT DISTINCT group_id FROM c WHERE NOT ti AND heading_level = 2), x AS (SELECT DISTINCT {_K.format('text')} AS k FROM ({_OLD}) q),
+    j AS (SELECT c.candidate_id, CASE WHEN sim >= 0.75 THEN round(sim, 6) END AS similarity, concat_ws(',', {_LIST}) AS issues, CAST(greatest(0, 100 - {_SUM}) AS BIGINT) AS score, {_BLOCK} AS blocked FROM c LEFT JOIN sg ON c.candidate_id = sg.candidate_id LEFT JOIN s ON c.candidate_id = s.candidate_id LEFT JOIN e ON c.candidate_id = e.candidate_id LEFT JOIN h2 ON c.group_id = h2.group_id LEFT JOIN x ON c.k = x.k)
+    SELECT candidate_id, similarity, issues, score, CASE WHEN blocked THEN 'blocked' WHEN score >= 85 THEN 'ready' ELSE 'needs_review' END AS state FROM j""",
 )
 def m12(s: Source):
-    return review.review_candidates(s.sql(_CA), s.sql(_RI))
+    return review.review_candidates(s.sql(_CA), s.sql(_RI), s.sql(_OLD), s.sql(_KNOWN))
 
 
-@query("M13_plan_coherence")
+_PG = "SELECT DISTINCT lower(split_part(title, ' ', 1)) AS group_id, CASE WHEN length(split_part(title, ' ', 1)) % 7 = 0 THEN 'draft' ELSE 'outline_ready' END AS outline_status FROM {articles}"
+_PT = "SELECT lower(split_part(title, ' ', 1)) AS group_id, article_id AS candidate_id, title AS text, 80 + article_id % 21 AS quality, CASE article_id % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'blocked' ELSE 'ready' END AS state, split(concat('e', CAST(article_id % 6 AS STRING), ',e', CAST(article_id % 4 AS STRING)), ',') AS evidence_ids FROM {articles}"
+_PH = "SELECT lower(split_part(title, ' ', 1)) AS group_id, article_id AS candidate_id, CASE WHEN article_id % 2 = 0 THEN heading ELSE split_part(heading, ' ', 2) END AS text, 60 + article_id % 37 AS quality, CASE article_id % 9 WHEN 0 THEN 'needs_review' ELSE 'ready' END AS state, split(concat('e', CAST(article_id % 3 AS STRING), ',e', CAST(article_id % 5 AS STRING)), ',') AS evidence_ids FROM {articles}"
+_PW = f"list_filter({_WORDS.format('text')}, lambda t: t NOT IN ({_GENERIC}, " + ", ".join(f"'{t}'" for t in review.BOILERPLATE) + "))"
+
+
+@query(
+    "M13_plan_coherence",
+    f"""
+    WITH t0 AS (SELECT * EXCLUDE (evidence_ids), list_distinct(evidence_ids) AS ids, {_PW} AS w, CASE state WHEN 'ready' THEN 2 ELSE 1 END AS r, abs(length(text) - 35) AS far FROM ({_PT}) q WHERE state <> 'blocked'), h AS (SELECT *, {_PW} AS w FROM ({_PH}) q),
+    hs AS (SELECT group_id, list_distinct(flatten(list(evidence_ids))) AS hi, list_distinct(flatten(list(w))) AS hw, avg(quality) AS hq, count(CASE WHEN state = 'needs_review' THEN 1 END) AS op FROM h GROUP BY 1),
+    t1 AS (SELECT t0.*, CASE WHEN len(ids) > 0 THEN len(list_intersect(ids, hi)) / len(ids) ELSE 0 END AS e, CASE WHEN len(w) > 0 THEN len(list_intersect(w, hw)) / len(w) ELSE 0 END AS l FROM t0 JOIN hs ON t0.group_id = hs.group_id),
+    b AS (SELECT group_id, candidate_id AS bid, r AS br, quality AS bq, e AS be, l AS bl FROM t1 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY r DESC, quality DESC, len(ids) DESC, far, candidate_id) = 1),
+    p AS (SELECT t1.*, bid, r = br AND quality >= greatest(85, bq - 5) AND e >= be AND l >= bl AS pool FROM t1 JOIN b ON t1.group_id = b.group_id),
+    o AS (SELECT * FROM p WHERE pool OR candidate_id = bid QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY pool DESC, round(0.65 * quality + 20 * e + 15 * l - 0.02 * far, 9) DESC, r DESC, quality DESC, len(ids) DESC, far, candidate_id) = 1),
+    z AS (SELECT g.group_id, outline_status, candidate_id AS title_id, bid AS baseline_id, coalesce(quality, 0) AS q, coalesce(hq, 0) AS hq, coalesce(op, 0) AS op, coalesce(e, 0) AS e, coalesce(l, 0) AS l, coalesce(len(ids), 0) AS n FROM ({_PG}) g LEFT JOIN o ON g.group_id = o.group_id LEFT JOIN hs ON g.group_id = hs.group_id)
+    SELECT group_id, title_id, baseline_id, CAST(greatest(0, floor(round(0.4 * q + 0.35 * hq + 15 * e + 10 * l - CASE WHEN op > 0 THEN 5 ELSE 0 END, 6) + 0.5)) AS BIGINT) AS score, round(e, 4) AS evidence_coverage, round(l, 4) AS lexical_coverage,
+        concat_ws(',', CASE WHEN title_id IS NULL THEN 'title_unavailable' END, CASE WHEN outline_status <> 'outline_ready' THEN 'outline_unavailable' END, CASE WHEN title_id IS NOT NULL AND n > 0 AND e < 0.5 THEN 'title_evidence_weakly_represented' END, CASE WHEN title_id IS NOT NULL AND l < 0.5 THEN 'title_outline_lexical_gap' END, CASE WHEN op > 0 THEN 'selected_heading_review_required' END) AS issues,
+        CASE WHEN title_id IS NULL OR outline_status <> 'outline_ready' THEN 'blocked' WHEN (n > 0 AND e < 0.5) OR l < 0.5 OR op > 0 THEN 'needs_review' ELSE 'ready' END AS state FROM z""",
+)
 def m13(s: Source):
-    i = F.col("article_id")
-    p = s.articles.select((i % 40).alias("group_id"), F.when(i % 3 == 0, "title").when(i % 3 == 1, "heading").otherwise("question").alias("kind"), (50 + i % 50).cast("double").alias("quality"), (i % 4 / 3).alias("evidence"), F.col("heading").alias("text"), "title")
-    return review.plan_coherence(p)
+    return review.plan_coherence(s.sql(_PG), s.sql(_PT), s.sql(_PH))
 
 
 @query("M17_citation_backfill", "WITH sc AS (SELECT l_orderkey AS claim_id, l_partkey AS citation_id, round(max(l_quantity) / 50, 6) AS score, bool_and(l_suppkey % 2 = 0) AS pair_known FROM lineitem GROUP BY ALL) SELECT claim_id, citation_id, score, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, citation_id) AS position, CASE WHEN pair_known AND score >= 0.5 THEN 'robust' WHEN pair_known THEN 'adjacent' ELSE 'unverified' END AS eligibility FROM sc WHERE claim_id IN (SELECT o_orderkey FROM orders) AND claim_id % 3 <> 0 AND score >= 0.25 QUALIFY position <= 3")
@@ -92,13 +146,17 @@ def m18(s: Source):
     )
 
 
-_AU = "SELECT url, CASE WHEN rank = 1 THEN 'pdf' WHEN rank <= 4 THEN 'news' WHEN rank <= 6 THEN 'article' ELSE 'qa_forum' END AS page_type FROM {edges}"
-_AUTH = f"au AS (SELECT url, count(*) AS citations, CASE max(CASE WHEN page_type = 'pdf' THEN 3 WHEN page_type = 'news' THEN 2 WHEN page_type = 'qa_forum' THEN 0 ELSE 1 END) WHEN 3 THEN 'primary' WHEN 2 THEN 'publisher' WHEN 1 THEN 'secondary' ELSE 'community' END AS authority FROM ({_AU}) x GROUP BY url)"
+_BARE = "regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '')"
+_AC = f"SELECT page_id AS candidate_id, url, title, CASE WHEN page_id % 3 <> 0 THEN 'organic' END AS source FROM ({_KINDS}) z"
+_AO = f"SELECT url, CASE WHEN page_id % 4 = 0 THEN title END AS website_name FROM ({_KINDS}) z"
+_AUTH = f"""{_TYPED}, fi AS (SELECT {_BARE} AS key, arg_min(page_type, page_id) AS page_type, count(*) AS citations, count(CASE WHEN page_id % 3 <> 0 THEN 1 END) AS labels, count(CASE WHEN page_id % 4 = 0 THEN 1 END) AS names FROM ty GROUP BY 1),
+    au AS (SELECT key AS url, page_type, CASE page_type WHEN 'social' THEN 'user_generated_platform' WHEN 'database' THEN 'aggregator_database' WHEN 'article' THEN 'editorial_or_commercial_publisher' ELSE 'unclassified_web_source' END AS source_class, citations,
+        CASE page_type WHEN 'social' THEN 'user_generated_source' WHEN 'database' THEN 'aggregator_source' ELSE 'publisher_source_not_official_entity_proof' END AS reason, 'not_proven_from_retained_evidence' AS primary_source_state, CASE WHEN labels > 0 AND names > 0 THEN 'labels_observed_not_identity_verified' ELSE 'identity_evidence_incomplete' END AS identity_state FROM fi)"""
 
 
 @query("M19_source_authority", f"WITH {_AUTH} SELECT * FROM au")
 def m19(s: Source):
-    return review.source_authority(s.sql(_AU))
+    return review.source_authority(s.sql(_AC), s.sql(_AO))
 
 
 @query("M20_primary_sources")
@@ -173,10 +231,19 @@ def w17(s: Source):
     return review.stratum(pairs, "merge")[0].select("left_id", "right_id")
 
 
-@query("G17_new_article_gate", "SELECT source_keyword_id, t AS topology, CASE WHEN t = 'consolidation' THEN 'merge_first' WHEN t IN ('depth_sensitive_hold', 'mixed') THEN 'hold_for_depth' WHEN t = 'sibling_link' THEN 'create_and_link' ELSE 'create' END AS gate FROM (SELECT source_keyword_id, CASE size % 5 WHEN 0 THEN 'consolidation' WHEN 1 THEN 'mixed' WHEN 2 THEN 'sibling_link' WHEN 3 THEN 'depth_sensitive_hold' END AS t FROM {keywords}) x")
+_GG = "SELECT source_keyword_id AS group_id, CASE WHEN size > 25 THEN source_keyword_id END AS article_id FROM {keywords}"
+
+
+@query(
+    "G17_new_article_gate",
+    f"""
+    WITH e AS (SELECT * FROM ({_TOPOLOGY}) x WHERE left_group <> right_group), b AS (SELECT left_group AS g, right_group AS o, decision FROM e UNION ALL SELECT right_group, left_group, decision FROM e),
+    r AS (SELECT g, count(DISTINCT o) AS related, count(DISTINCT CASE WHEN article_id IS NOT NULL THEN o END) AS existing, bool_or(decision = 'depth_sensitive_hold') AS held FROM b LEFT JOIN ({_GG}) y ON o = group_id GROUP BY 1)
+    SELECT source_keyword_id AS keyword_id, source_keyword_id AS group_id, CASE WHEN existing > 0 AND held THEN 'existing_article_boundary_review' WHEN existing > 0 THEN 'new_article_with_internal_link_review' WHEN related > 0 THEN 'planned_group_topology_review' ELSE 'ready_new_article_review' END AS review_action,
+        coalesce(existing, 0) AS existing_articles, coalesce(related - existing, 0) AS planned_groups FROM {{keywords}} LEFT JOIN r ON source_keyword_id = g""",
+)
 def g17(s: Source):
-    m = F.col("size") % 5
-    return review.new_article_gate(s.keywords.select("source_keyword_id", F.when(m == 0, "consolidation").when(m == 1, "mixed").when(m == 2, "sibling_link").when(m == 3, "depth_sensitive_hold").alias("topology")))
+    return review.new_article_gate(s.keywords.select(F.col("source_keyword_id").alias("keyword_id"), F.col("source_keyword_id").alias("group_id")), s.sql(_TOPOLOGY), s.sql(_GG))
 
 
 _LD = "SELECT group_id % 3 AS site_id, group_id, demand_type AS source_keyword, CASE WHEN occurrence_id % 9 = 0 THEN NULL ELSE demand_type END AS seed_value, value, depth + 1 AS depth FROM {demands}"
@@ -235,10 +302,14 @@ def m35(s: Source):
     return review.benchmark_readiness(s.edges.where("rank = 1"), s.edges.where("rank = 2"), s.edges.where("rank > 1"))
 
 
-@query("M36_citation_suitability", f"WITH {_AUTH}, r AS (SELECT DISTINCT task_id AS claim_id, url FROM {{edges}} WHERE rank <= 3) SELECT claim_id, r.url, CASE WHEN authority IS NULL THEN 'authority_unknown' WHEN CASE claim_id % 3 WHEN 0 THEN authority = 'primary' WHEN 1 THEN authority IN ('primary', 'publisher') ELSE authority <> 'community' END THEN 'suitable' ELSE 'unsuitable' END AS suitability FROM r LEFT JOIN au ON r.url = au.url")
+_REQ = f"CASE WHEN regexp_matches(title, '{rules.CLAIM_FIGURES}') THEN '{rules.CLAIM_SOURCES['P0']}' WHEN regexp_matches(title, '{rules.CLAIM_DEFINITIONS}') THEN '{rules.CLAIM_SOURCES['P1']}' ELSE '{rules.CLAIM_SOURCES['P2']}' END"
+
+
+@query("M36_citation_suitability", f"WITH {_AUTH}, q AS (SELECT page_id AS claim_id, {_BARE} AS url, CASE WHEN page_id % 11 = 0 THEN 'unknown' ELSE {_REQ} END AS source_requirement FROM ty) SELECT claim_id, q.url, source_requirement, source_class, CASE WHEN source_requirement = 'independent_corroboration_required' THEN 'independence_not_proven' ELSE 'primary_source_proof_missing' END AS suitability FROM q JOIN au ON q.url = au.url")
 def m36(s: Source):
-    r = s.edges.where("rank <= 3").select(F.col("task_id").alias("claim_id"), "url").distinct()
-    q = s.tasks.select(F.col("task_id").alias("claim_id"), F.concat(F.lit("P"), (F.col("task_id") % 3).cast("string")).alias("requirement"))
+    k = s.sql(_KINDS)
+    r = k.select(F.col("page_id").alias("claim_id"), F.expr(_BARE).alias("url"))
+    q = k.where("page_id % 11 <> 0").select(F.col("page_id").alias("claim_id"), rules.claim_source(rules.claim_class(F.col("title"))).alias("source_requirement"))
     return review.citation_suitability(r, q, m19(s))
 
 

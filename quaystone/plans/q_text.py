@@ -77,18 +77,27 @@ def f9(s: Source):
     return s.pages.select("page_id", urls.is_redacted(shown).alias("redacted"))
 
 
-@query(
-    "F10_page_type",
-    f"""
-    SELECT page_id, CASE WHEN regexp_matches(lower({_p(3)}), '[.]pdf$') THEN 'pdf' WHEN regexp_matches(lower({_p(3)}), '/(qa|question|questions|forum)/') THEN 'qa_forum'
-        WHEN {_p(3)} IN ('', '/') AND regexp_matches(lower(title), 'corporation|company|inc') THEN 'corporate_home' WHEN {_p(3)} IN ('', '/') THEN 'service_top'
-        WHEN regexp_matches(lower({_p(3)}), '/(search|list|database)(/|$)') THEN 'database' WHEN regexp_matches(lower({_p(3)}), '/(category|categories|tag|tags|b)/') THEN 'category'
-        WHEN regexp_matches(lower({_p(3)}), '/(tool|tools|calculator)(/|$)') THEN 'tool' WHEN regexp_matches(lower({_p(3)}), '/news/') THEN 'news'
-        WHEN regexp_matches(lower({_p(3)}), '/(article|articles|blog|column|en|fr|de|es)/') THEN 'article' ELSE 'other' END AS page_type
-    FROM (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) x""",
-)
+#: Addresses and titles of all kinds: the given paths, with a word in front by the page's id, and titles with a word behind.
+_KINDS = """
+    SELECT page_id, CASE page_id % 10 WHEN 3 THEN 'https://www.youtube.com/watch' WHEN 5 THEN 'https://m.x.com/a' WHEN 6 THEN 'https://nhk.or.jp/a' ELSE concat(regexp_extract(url, '^[a-z]+://[^/]*', 0), CASE page_id % 13 WHEN 1 THEN '/' WHEN 2 THEN '/Blog/' WHEN 3 THEN '/jobs/' WHEN 4 THEN '/tag/' WHEN 5 THEN '/column' WHEN 6 THEN '/%E5%8F%A3%E3%82%B3%E3%83%9F' WHEN 7 THEN '/a.PDF/' ELSE regexp_replace(url, '^[a-z]+://[^/]*', '') END) END AS url,
+           concat(regexp_extract(html, '<title>([^<]*)</title>', 1), CASE page_id % 17 WHEN 1 THEN ' とは' WHEN 2 THEN ' 質問' WHEN 3 THEN ' 株式会社' WHEN 4 THEN ' 一覧' WHEN 5 THEN ' Checker' WHEN 6 THEN ' 比較？' WHEN 7 THEN ' の選び方' WHEN 8 THEN ' いつ' WHEN 9 THEN ' のやり方' WHEN 10 THEN ' なぜ' WHEN 11 THEN ' 資格' WHEN 12 THEN ' 種類？？' ELSE '' END) AS title
+    FROM {pages}"""
+
+
+def _under(hosts: list[str]) -> str:
+    return "(" + " OR ".join(f"h = '{x}' OR h LIKE '%.{x}'" for x in hosts) + ")"
+
+
+#: Common table expressions up to ``ty`` (page_id, url, title, page_type).
+_TYPED = f"""k AS ({_KINDS}), u AS (SELECT *, regexp_replace(lower({_p(2)}), '^www[.]', '') AS h, regexp_replace(url_decode({_p(3)}), '/+$', '') AS p FROM k), b AS (SELECT *, lower(CASE WHEN p = '' THEN '/' ELSE p END || ' ' || title) AS t FROM u),
+    ty AS (SELECT page_id, url, title, CASE WHEN lower(p) LIKE '%.pdf' THEN 'pdf' WHEN {_under(rules.VIDEO_HOSTS)} THEN 'video' WHEN {_under(rules.SOCIAL_HOSTS)} THEN 'social' WHEN {_under(rules.QA_HOSTS)} OR regexp_matches(t, '{rules.QA_SIGNS}') THEN 'qa_forum'
+        WHEN p = '' AND regexp_matches(title, '{rules.CORPORATE_SIGNS}') THEN 'corporate_home' WHEN p = '' THEN 'service_top' WHEN regexp_matches(t, '{rules.DATABASE_SIGNS}') THEN 'database' WHEN regexp_matches(t, '{rules.LISTING_SIGNS}') THEN 'category'
+        WHEN regexp_matches(t, '{rules.TOOL_SIGNS}') THEN 'tool' WHEN {_under(rules.NEWS_HOSTS)} THEN 'news' WHEN regexp_matches(p, '{rules.ARTICLE_PATHS}') OR regexp_matches(title, '{rules.ARTICLE_TITLES}') THEN 'article' ELSE 'other' END AS page_type FROM b)"""
+
+
+@query("F10_page_type", f"WITH {_TYPED} SELECT page_id, page_type FROM ty")
 def f10(s: Source):
-    return s.pages.select("page_id", rules.page_type(F.col("url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("page_type"))
+    return s.sql(_KINDS).select("page_id", rules.page_type(F.col("url"), F.col("title")).alias("page_type"))
 
 
 @query("F11_qa_source", f"SELECT page_id, CASE WHEN h = 'example.com' OR h LIKE '%.example.com' THEN 'com' WHEN h = 'example.net' OR h LIKE '%.example.net' THEN 'net' END AS qa_source FROM (SELECT page_id, regexp_replace(lower({_p(2)}), '^www[.]', '') AS h FROM pages) x")
@@ -149,17 +158,20 @@ def f18(s: Source):
     return t.select("page_id", *(c.alias(k) for k, c in text.shape(F.col("title"), F.lit("the")).items()))
 
 
+_ENDINGS = " ".join(f"WHEN regexp_matches(bare, '{a}') THEN '{b}'" for a, b in rules.QUESTION_ENDINGS)
+
+
 @query(
     "F19_F20_question_and_claim",
-    """
-    SELECT page_id, CASE WHEN regexp_matches(title, '[?？]$') THEN bare WHEN regexp_matches(lower(bare), 'price|cost|fee') THEN 'How much is ' || bare WHEN regexp_matches(lower(bare), 'how to|method|way') THEN 'How does one do ' || bare
-           WHEN regexp_matches(lower(bare), 'meaning|definition') THEN 'What does ' || bare || ' mean' ELSE 'What is ' || bare END AS question,
-           CASE WHEN regexp_matches(lower(title), '[0-9]|price|cost|fee|law|legal|year|month|date') THEN 'P0' WHEN regexp_matches(lower(title), 'what is|meaning|definition|difference') THEN 'P1' ELSE 'P2' END AS claim_class
-    FROM (SELECT *, trim(regexp_replace(title, '[?？]+$', '')) AS bare FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) x) y""",
+    f"""
+    WITH k AS ({_KINDS}), t AS (SELECT page_id, title, page_id % 4 = 0 AS observed, regexp_replace(trim(title), '[？?]+$', '') AS bare FROM k)
+    SELECT page_id, bare || CASE WHEN observed THEN '？' {_ENDINGS} ELSE '{rules.QUESTION_ENDING}' END AS question, claim_class,
+           CASE claim_class WHEN 'P0' THEN '{rules.CLAIM_SOURCES["P0"]}' WHEN 'P1' THEN '{rules.CLAIM_SOURCES["P1"]}' ELSE '{rules.CLAIM_SOURCES["P2"]}' END AS source_requirement
+    FROM (SELECT *, CASE WHEN regexp_matches(title, '{rules.CLAIM_FIGURES}') THEN 'P0' WHEN regexp_matches(title, '{rules.CLAIM_DEFINITIONS}') THEN 'P1' ELSE 'P2' END AS claim_class FROM t) x""",
 )
 def f19(s: Source):
-    t = s.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return t.select("page_id", rules.derive_question(F.col("title")).alias("question"), rules.claim_class(F.col("title")).alias("claim_class"))
+    t = s.sql(_KINDS).withColumn("claim_class", rules.claim_class(F.col("title")))
+    return t.select("page_id", rules.derive_question(F.col("title"), F.col("page_id") % 4 == 0).alias("question"), "claim_class", rules.claim_source(F.col("claim_class")).alias("source_requirement"))
 
 
 @query("F21_mention", "SELECT doc_id, CASE WHEN contains(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', ' ring ') THEN 'word_boundary' WHEN contains(lower(text), 'ring') THEN 'substring_only' ELSE 'absent' END AS mention FROM documents")

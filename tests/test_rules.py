@@ -37,7 +37,105 @@ def test_rules(spark):
     assert one(spark, rules.difficulty_band(F.col("c")), None, 0, 33, 34, 66, 67, 100) == ["missing", "zero_observed", "low", "medium", "medium", "high", "high"]
     with pytest.raises(Exception, match="out of range"):
         one(spark, rules.difficulty_band(F.col("c")), 101)
-    assert one(spark, rules.page_type(F.col("c"), F.lit("Acme Inc")), "https://h/a.pdf", "https://www.youtube.com/x", "https://x.com/a", "https://h/", "https://h/zzz") == ["pdf", "video", "social", "corporate_home", "other"]
+
+
+def test_page_types(spark):
+    cases = [
+        ("https://h/a.PDF/", "", "pdf"), ("https://www.youtube.com/x", "", "video"), ("https://m.x.com/a", "", "social"), ("https://note.com/", "", "social"), ("https://teratail.com/q", "", "qa_forum"), ("https://h/a", "就活の質問", "qa_forum"),
+        ("https://h/", "株式会社A", "corporate_home"), ("https://h", "Acme Inc", "service_top"), ("https://h/jobs/1", "", "database"), ("https://h/%E5%8F%A3%E3%82%B3%E3%83%9F", "", "database"), ("https://h/x/page/2", "", "category"),
+        ("https://h/x", "企業一覧", "database"), ("https://h/x", "一覧", "category"), ("https://h/x", "Skill Checker", "tool"), ("https://www3.nhk.or.jp/x", "", "news"), ("https://h/blog", "", "article"), ("https://h/Blog/a", "", "other"), ("https://h/x", "面接とは", "article"),
+        ("https://h:80/x", "", "other"), ("no address", "面接とは", "other"), (None, None, "other"),
+    ]
+    rows = spark.createDataFrame([(i, u, t) for i, (u, t, _) in enumerate(cases)], "i int, u string, t string")
+    got = [r[0] for r in rows.orderBy("i").select(rules.page_type(F.col("u"), F.col("t"))).collect()]
+    assert got == [c[2] for c in cases]
+
+
+def test_questions_and_claims(spark):
+    topics = ("A社との違い", "面接 おすすめ？", "締切はいつ", "面接の対策", "辞める理由", "履歴書", None)
+    assert one(spark, rules.derive_question(F.col("c"), F.lit(False)), *topics) == ["A社との違いを比較すると何が違う？", "面接 おすすめは何を基準に選ぶ？", "締切はいつはいつ確認・準備する？", "面接の対策はどう進める？", "辞める理由はなぜ重要？", "履歴書について押さえるべきポイントは？", None]
+    assert one(spark, rules.derive_question(F.col("c"), F.lit(True)), "何？?", "違い") == ["何？", "違い？"]
+    assert one(spark, rules.claim_class(F.col("c")), "年収", "３社", "業界とは", "志望動機", "会社の費用") == ["P0", "P0", "P1", "P2", "P0"]
+
+
+def test_new_article_routes(spark):
+    c = spark.createDataFrame([(i, i) for i in range(1, 6)], "keyword_id long, group_id long")
+    t = spark.createDataFrame([(1, 10, "depth_sensitive_hold"), (10, 2, "sibling_article_link_review"), (3, 11, "depth_sensitive_hold"), (4, 4, "retain_group_review"), (1, 11, "retain_separate")], "left_group long, right_group long, decision string")
+    g = spark.createDataFrame([(10, 7), (11, None)], "group_id long, article_id long")
+    got = {r.keyword_id: (r.review_action, r.existing_articles, r.planned_groups) for r in review.new_article_gate(c, t, g).collect()}
+    assert got == {1: ("existing_article_boundary_review", 1, 1), 2: ("new_article_with_internal_link_review", 1, 0), 3: ("planned_group_topology_review", 0, 1), 4: ("ready_new_article_review", 0, 0), 5: ("ready_new_article_review", 0, 0)}
+
+
+def test_related_proposals(spark):
+    g = spark.createDataFrame([(1, 1, "red ring", "Red Ring")], "group_id long, site_id long, seed string, comparison string")
+    k = [(1, None, 1, "red hat", 99), (2, None, 1, "red ring", 99), (3, None, 1, "blue stone", None), (4, None, 1, "blue sea", 9), (5, None, 2, "red hat", 9), (6, 1, 1, "hat red", 9), (7, None, 1, "方法", 9)]
+    k = spark.createDataFrame([(*r, "unacquired") for r in k] + [(8, None, 1, "red cap", 9, "acquired")], "source_keyword_id long, representative_id long, site_id long, raw_keyword string, volume long, state string")
+    a = spark.createDataFrame([("ring", "stone", 0.2), ("red", "sea", 0.1), ("ring", "hat", 0.05)], "term string, associated_term string, cosine double")
+    got = [(r.source_keyword_id, r.score, r.position) for r in matching.related_proposals(g, k, a).orderBy("position").collect()]
+    assert got == [(1, 50 + 1.5 + 10, 1), (3, 6.0, 2)]
+
+
+def test_candidate_review(spark):
+    schema = "candidate_id long, group_id string, main_keyword string, content_type string, heading_level int, text string, evidence_type string, evidence_ids array<string>, axes int"
+    long = "就活面接の準備で押さえるべき順番と当日の持ち物まとめ"
+    rows = [
+        (1, "g", "就活", "title", None, long, "serp_demand", ["t1"], 2),
+        (2, "g", "就活", "heading", 2, "面接の持ち物", "serp_demand", ["t1", "lost"], None),
+        (3, "h", "就活", "heading", 3, "面接の持ち物", None, None, None),
+        (4, "h", "営業", "title", None, "短い|短い長い題名|長い題名", "competitor_term", ["p1"], 4),
+        (5, "k", "x", "heading", 2, "abcdefghijklmnop", "competitor_term", ["p1"], None),
+        (6, "k", "x", "heading", 2, None, "serp_feature_item", ["f1"], None),
+        (7, "k", "x", "heading", 2, "old old! old heading", "competitor_term", ["p1"], None),
+    ]
+    rivals = spark.createDataFrame([("k", "ABCDEFGHIJKLMNOP"), ("k", "abcdefghijklmnopqr"), ("g", None), ("h", "abcdefghijklmnop")], "group_id string, text string")
+    known = spark.createDataFrame([("serp_demand", "t1", "面接 持ち物"), ("competitor_term", "p1", None), ("serp_feature_item", "f1", None)], "evidence_type string, evidence_id string, topic string")
+    old = spark.createDataFrame([("OLD, old old heading.",), (None,)], "text string")
+    got = {r.candidate_id: (set(filter(None, r.issues.split(","))), r.score, r.state, r.similarity) for r in review.review_candidates(spark.createDataFrame(rows, schema), rivals, old, known).collect()}
+    assert got == {
+        1: (set(), 100, "ready", None),
+        2: ({"evidence_reference_unresolved", "cross_group_candidate_duplicate"}, 45, "blocked", None),
+        3: ({"evidence_missing", "orphan_h3", "cross_group_candidate_duplicate"}, 15, "blocked", None),
+        4: ({"main_keyword_missing", "title_length_review", "title_segment_redundancy", "title_axis_overload"}, 5, "blocked", None),
+        5: ({"competitor_copy_risk"}, 70, "blocked", 1.0),
+        6: ({"serp_feature_observation_review", "heading_length_review"}, 65, "needs_review", None),
+        7: ({"existing_content_collision", "term_repetition_review"}, 60, "blocked", None),
+    }
+
+
+def test_close_rivals_lose_none(spark):
+    import random
+
+    rng = random.Random(5)
+    sets_ = [sorted(set(rng.choices("abcdefghijkl", k=rng.randint(1, 9)))) for _ in range(160)]
+    c = spark.createDataFrame([(i, i % 2, s) for i, s in enumerate(sets_[:80])], "candidate_id long, group_id int, g array<string>")
+    r = spark.createDataFrame([(i % 2, s) for i, s in enumerate(sets_[80:])], "group_id int, g array<string>")
+    best = {}
+    for i, x in enumerate(sets_[:80]):
+        v = max(len(set(x) & set(y)) / len(set(x) | set(y)) for j, y in enumerate(sets_[80:]) if j % 2 == i % 2)
+        if v >= 0.75:
+            best[i] = round(v, 9)
+    assert best and {x.candidate_id: round(x.similarity, 9) for x in review.close_rivals(c, r).collect()} == best
+
+
+def test_plan_coherence(spark):
+    g = spark.createDataFrame([("a", "outline_ready"), ("b", "outline_ready"), ("c", None)], "group_id string, outline_status string")
+    schema = "group_id string, candidate_id long, text string, quality double, state string, evidence_ids array<string>"
+    t = [("a", 1, "red ring", 95.0, "ready", ["e1"]), ("a", 2, "red hat", 92.0, "ready", ["e1"]), ("a", 3, "x", 99.0, "blocked", ["e1"]), ("a", 4, "red hat", 89.0, "ready", ["e1"]), ("b", 5, "zzz", None, "needs_review", None), ("c", 6, "q", 90.0, "ready", ["e9"])]
+    h = [("a", 1, "red hat", 80.0, "ready", ["e1"]), ("a", 2, "blue", 90.0, "needs_review", None)]
+    got = {r.group_id: (r.title_id, r.baseline_id, r.score, r.state, r.issues) for r in review.plan_coherence(g, spark.createDataFrame(t, schema), spark.createDataFrame(h, schema)).collect()}
+    assert got == {
+        "a": (2, 1, 87, "needs_review", "selected_heading_review_required"),  # 36.8 + 29.75 + 15 + 10 - 5
+        "b": (5, 5, 0, "needs_review", "title_outline_lexical_gap"),
+        "c": (6, 6, 36, "blocked", "outline_unavailable,title_evidence_weakly_represented,title_outline_lexical_gap"),
+    }
+
+
+def test_action_bands(spark):
+    s = [("g", "unreviewed", "P1", 5, ["c1", "c2"], None, 1), ("g", "unreviewed", "P3", 5, ["c1"], "unique_path_supported_sense", 2), ("g", "resolved", "P0", 9, ["c3"], None, 9), ("h", "unreviewed", "P3", 1, None, "unique_path_supported_sense", 0)]
+    senses = spark.createDataFrame(s, "group_id string, state string, priority_band string, priority_score int, candidate_ids array<string>, readiness string, samples int")
+    features = spark.createDataFrame([(1, 9), (1, 3), (2, 4), (3, None)], "task_id int, rank int")
+    got = [(r.action_id, r.band, r.impact) for r in matching.action_queue({"semantic_sense_review": matching.sense_actions(senses), "serp_format_review": matching.format_actions(features)}).collect()]
+    assert got == [("semantic-sense:g", "P1", 58.0), ("serp-format:1", "P1", 0.0), ("semantic-sense:h", "P2", 1.0), ("serp-format:2", "P2", 0.0), ("serp-format:3", "P2", 0.0)]
 
 
 def test_co_ranking_and_best_rank(spark):
