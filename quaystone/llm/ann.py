@@ -25,72 +25,98 @@ def usable(vec: str) -> Column:
 
 
 class Forest:
-    """Random-projection trees over the rows of a matrix of unit vectors."""
+    """Random-projection trees over the rows of a matrix of unit vectors, searched in single precision.
+
+    Inner nodes are numbered from 0, as their planes; a leaf i is written as -1 - i.
+    """
 
     def __init__(self, unit: np.ndarray, trees: int, leaf: int, seed: int):
-        self.unit, self.leaf = unit, leaf
+        self.unit, self.leaf = unit.astype(np.float32), leaf
         self.rng = np.random.default_rng(seed)
         self.planes: list[np.ndarray] = []
-        self.nodes: list[tuple] = []  # (plane, offset, left, right) or (rows,)
+        self.offsets: list[float] = []
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.leaves: list[np.ndarray] = []
         self.roots = [self._grow(np.arange(len(unit))) for _ in range(trees)]
-        self.normals = np.stack(self.planes) if self.planes else np.zeros((0, unit.shape[1]))
+        self.normals = np.stack(self.planes) if self.planes else np.zeros((0, unit.shape[1]), np.float32)
+        self.shifts = np.asarray(self.offsets, np.float32)
 
     def _grow(self, rows: np.ndarray) -> int:
         """Depth is logarithmic: a split that leaves one side under a tenth falls back to the median."""
-        if len(rows) <= self.leaf:
-            self.nodes.append((rows,))
-            return len(self.nodes) - 1
-        a, b = self.unit[self.rng.choice(rows, 2, replace=False)]
-        normal = a - b
-        size = np.linalg.norm(normal)
-        normal = normal / size if size > 0 else self.rng.normal(size=self.unit.shape[1])
+        n = len(rows)
+        if n <= self.leaf:
+            self.leaves.append(rows)
+            return -len(self.leaves)
+        i, j = (self.rng.random(2) * (n, n - 1)).astype(np.int64)
+        normal = self.unit[rows[i]] - self.unit[rows[j + (j >= i)]]
+        size = float(normal @ normal) ** 0.5
+        normal = normal / np.float32(size) if size > 0 else self.rng.normal(size=self.unit.shape[1]).astype(np.float32)
         side = self.unit[rows] @ normal
         offset = 0.0
         right = side > offset
-        if not 0.1 * len(rows) <= right.sum() <= 0.9 * len(rows):
+        if not 0.1 * n <= np.count_nonzero(right) <= 0.9 * n:
             order = np.argsort(side, kind="stable")
-            right = np.zeros(len(rows), bool)
-            right[order[len(rows) // 2 :]] = True
-            offset = float(side[order[len(rows) // 2]])
+            right = np.zeros(n, bool)
+            right[order[n // 2 :]] = True
+            offset = float(side[order[n // 2]])
+        at = len(self.planes)
         self.planes.append(normal)
-        plane = len(self.planes) - 1
-        at = len(self.nodes)
-        self.nodes.append(())
-        self.nodes[at] = (plane, offset, self._grow(rows[~right]), self._grow(rows[right]))
+        self.offsets.append(offset)
+        self.low.append(0)
+        self.high.append(0)
+        self.low[at], self.high[at] = self._grow(rows[~right]), self._grow(rows[right])
         return at
 
-    def candidates(self, query: np.ndarray, k: int, most: int) -> np.ndarray:
-        """Rows of the leaves opened, most promising first.
+    def candidates(self, query: np.ndarray, k: int, most: int, every: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the leaves opened, most promising first, and their cosines in single precision.
 
         It ends when ``most`` distinct rows are in, or earlier when every branch left in any tree
         lies beyond a hyperplane that is farther away than the k-th nearest row found: then no row
-        that is left is nearer.
+        that is left is nearer. Rows are looked at when ``every`` have been gathered from leaves.
         """
-        sides = (self.normals @ query).tolist()
+        query = query.astype(np.float32)
+        margins = (self.normals @ query - self.shifts).tolist()
+        low, high, leaves, push, pop = self.low, self.high, self.leaves, heapq.heappush, heapq.heappop
         heap = [(0.0, root) for root in self.roots]
-        seen, n, out = np.zeros(len(self.unit), bool), 0, []
-        nodes, best, reach = self.nodes, np.empty(0), np.inf
+        seen, n, reach = np.zeros(len(self.unit), bool), 0, np.inf
+        rows, cosines, best = [], [], np.empty(0, np.float32)
+        open_, waiting = [], 0
         while heap and n < most:
-            cost, at = heapq.heappop(heap)
-            if cost > reach:
+            cost, at = pop(heap)
+            done = cost > reach
+            if not done:
+                while at >= 0:
+                    margin = margins[at]
+                    if margin > 0:
+                        near, far = high[at], low[at]
+                    else:
+                        near, far, margin = low[at], high[at], -margin
+                    push(heap, (margin if margin > cost else cost, far))
+                    at = near
+                open_.append(leaves[-1 - at])
+                waiting += len(open_[-1])
+                if waiting < every and waiting < most - n and heap:
+                    continue
+            if open_:
+                fresh = np.concatenate(open_)
+                fresh = np.unique(fresh[~seen[fresh]])
+                open_, waiting = [], 0
+                if len(fresh):
+                    seen[fresh] = True
+                    n += len(fresh)
+                    near_ = self.unit[fresh] @ query
+                    rows.append(fresh)
+                    cosines.append(near_)
+                    best = np.concatenate([best, near_])
+                    if len(best) >= k:  # of unit vectors, squared distance is 2 - 2 cosine; single precision is given its room
+                        best = np.partition(best, -k)[-k:]
+                        reach = max(0.0, 2 - 2 * float(best.min()) + 1e-5) ** 0.5 + 1e-5
+            if done:
                 break
-            node = nodes[at]
-            while len(node) == 4:
-                plane, offset, left, right = node
-                margin = sides[plane] - offset
-                near, far = (right, left) if margin > 0 else (left, right)
-                heapq.heappush(heap, (max(cost, abs(margin)), far))
-                node = nodes[near]
-            fresh = node[0][~seen[node[0]]]
-            if not len(fresh):
-                continue
-            seen[fresh] = True
-            n += len(fresh)
-            out.append(fresh)
-            best = np.sort(np.concatenate([best, self.unit[fresh] @ query]))[-k:]
-            if len(best) == k:  # of unit vectors, squared distance is 2 - 2 cosine
-                reach = np.sqrt(max(0.0, 2 - 2 * best[0])) + 1e-9
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.concatenate(rows), np.concatenate(cosines)
 
 
 def nearest(
@@ -130,10 +156,9 @@ def nearest(
             for qid, v in zip(right["id_"].tolist(), right["v_"]):
                 v = np.asarray(v, np.float64)
                 size = np.sqrt((v * v).sum())
-                found = forest.candidates(v / size, k + 1, max(int(share * len(values)), k + 1))
-                score = (values[found] @ v) / (norms[found] * size)
-                best = found[np.argpartition(-score, k + 1)[: k + 2]] if len(found) > k + 2 else found
-                best = np.union1d(best, found[score >= np.sort(score)[-min(len(score), k + 1)]])
+                found, near = forest.candidates(v / size, k + 1, max(int(share * len(values)), k + 1))
+                # All that single precision cannot tell from the k + 1 best are ranked again.
+                best = found[near >= np.partition(near, -min(len(near), k + 1))[-min(len(near), k + 1)] - 1e-5]
                 exact = (values[best] * v).sum(axis=1) / (norms[best] * size)
                 hits = sorted((-s, i) for row, s in zip(best, exact.tolist()) for i in ids[row].tolist() if i != qid)[:k]
                 out += [(qid, i, -s) for s, i in hits]

@@ -105,7 +105,7 @@ def test_search_ends_where_no_nearer_row_is_left():
     forest = ann.Forest(unit, 16, 64, 7)
     share, hit = [], 0
     for i in range(0, 2000, 50):
-        found = forest.candidates(unit[i], 6, 2000)
+        found, _ = forest.candidates(unit[i], 6, 2000)
         share.append(len(found) / 2000)
         hit += len(set(np.argsort(-(unit @ unit[i]))[:6]) & set(found.tolist()))
     assert hit == 6 * 40 and np.mean(share) < 0.25, np.mean(share)
