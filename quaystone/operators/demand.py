@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quaystone.plans.storage import materialise
+
 
 def normalized_queries(rows: DataFrame, keys: list[str]) -> DataFrame:
     """By normalised query: sums, ctr, position weighted by impressions (1 at least), and the representative spelling (impressions, clicks, text)."""
@@ -82,9 +84,17 @@ def qa_rollup(edges: DataFrame) -> DataFrame:
 
 
 def ranked_branches(paths: DataFrame, level: int = 2) -> DataFrame:
-    """The second level of keyword paths: rows and volume; most rows first."""
-    g = paths.where(F.size("path") >= level).groupBy(F.element_at("path", level).alias("branch")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("volume"), F.lit(0)).alias("volume"))
-    return g.withColumn("position", F.rank().over(Window.orderBy(F.desc("n"), F.desc("volume"), "branch")))
+    """The second level of keyword paths: rows and volume; most rows first, then volume, then name. Paths without that level and null names take no part.
+
+    Branches are dealt by ranges of that order and written, so that the ranges stay; a place is the branches of the ranges before and the row's place in its own. Only the counts, one row a range, meet in one task.
+    """
+    order = [F.desc("n"), F.desc("volume"), F.col("branch")]
+    g = paths.where(F.size("path") >= level).groupBy(F.element_at("path", level).alias("branch")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("volume"), F.lit(0)).alias("volume")).where("branch IS NOT NULL")
+    t = materialise(g.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "branches")
+    before = F.coalesce(F.sum("c_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = t.groupBy("part_").agg(F.count(F.lit(1)).alias("c_")).select("part_", before.alias("start_"))
+    place = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return t.join(F.broadcast(starts), "part_").withColumn("position", F.col("start_") + place).drop("part_", "start_")
 
 
 def reconcile_reviews(decisions: DataFrame) -> DataFrame:

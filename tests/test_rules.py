@@ -269,3 +269,11 @@ def test_topology_decisions(spark):
     assert got == {
         (1, 2): "consolidation_review", (1, 3): "depth_sensitive_hold", (2, 3): "sibling_article_link_review", (4, 4): "retain_group_review", (5, 5): "split_group_review", (5, 6): "retain_separate", (6, 7): "mixed_stability_review",
     }
+
+
+def test_ranked_branches(spark):
+    paths = spark.createDataFrame([(["a", f"b{i % 40}"], None if i % 3 else i) for i in range(500)] + [(["a"], 1), (["a", None], 1), (None, 1)], "path array<string>, volume long")
+    got = demand.ranked_branches(paths).collect()
+    assert [r.branch for r in sorted(got, key=lambda r: r.position)] == [r.branch for r in sorted(got, key=lambda r: (-r.n, -r.volume, r.branch))]
+    assert sorted(r.position for r in got) == list(range(1, 41)) and sum(r.n for r in got) == 500
+    assert demand.ranked_branches(paths.limit(0)).count() == 0
