@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystone.llm import ann, bpe, langid, neardup, packing, secrets, shard, tokencount, topk, warc
+from quaystone.llm import ann, bpe, langid, neardup, packing, secrets, shard, tokencount, topk, warc, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,15 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = (op1_exact_top_k, op2_near_dedup, op3_bpe_round_trip, op4_secret_scan, op5_token_counts, op6_shards_by_bytes, op7_language_id, op8_warc_bundles, op9_best_fit_packing, op10_nearest_neighbours)
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten.whiten(vectors, whiten.fit(vectors))
+
+
+QUERIES = (
+    op1_exact_top_k, op2_near_dedup, op3_bpe_round_trip, op4_secret_scan, op5_token_counts, op6_shards_by_bytes, op7_language_id, op8_warc_bundles, op9_best_fit_packing, op10_nearest_neighbours,
+    op11_embedding_whitening,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
