@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystone.llm import ann, bpe, langid, neardup, packing, runs, secrets, shard, tokencount, topk, warc, whiten
+from quaystone.llm import ann, bpe, fingerprint, langid, neardup, packing, runs, secrets, shard, tokencount, topk, warc, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +62,17 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(vectors, whiten.fit(vectors))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
 QUERIES = (
     op1_exact_top_k, op2_near_dedup, op3_bpe_round_trip, op4_secret_scan, op5_token_counts, op6_shards_by_bytes, op7_language_id, op8_warc_bundles, op9_best_fit_packing, op10_nearest_neighbours,
-    op11_embedding_whitening, op13_periodic_runs,
+    op11_embedding_whitening, op12_document_fingerprints, op13_periodic_runs,
 )
 
 
