@@ -6,12 +6,15 @@ the level t = floor(ln(w) / r + b) and the rank c * exp(-r * (t - b + 1)); the s
 (term, t) of least rank. Two documents agree in a sample with the probability that is their
 generalised Jaccard similarity, sum(min(v, w)) / sum(max(v, w)).
 
-With uniform x and y, r = -ln(x * y) and b = ln(y) / ln(x * y) are such a pair (of r and b, r * (1 - b) and
-r * b are independent and exponential). Then exp(-r * (1 - b)) is x, the level is 0 where w * x < 1, and
-most terms, which occur once, need no logarithm but that of c.
-
-A sample is one long, the rank in its upper and the identity of (term, t) in its lower half, so that a
-plain minimum finds it. Samples are computed in rows of a few at a time, inside generated code.
+These are made of exponential draws that cost little for words that occur once, as most do. With e and f
+exponential, c = e + f and x = e / c are independent, and x is uniform; with y uniform too, r =
+-ln(x * y) and b = ln(y) / ln(x * y) are independent as r * (1 - b) and r * b are exponential. So
+exp(-r * (1 - b)) is x, and where w * x < 1 the level is 0 and the rank is e: no more than one hash is
+needed to compare it. Otherwise the rank is e * (x * y) ** t.
+
+A sample is one long, 1 - exp(-rank) in its upper and bits of the term in its lower part, so that a
+plain minimum finds it; a hash of it is kept. Samples are computed in rows of a few at a time, inside
+generated code.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quaystone.plans.storage import materialise
 
 #: Samples that one row computes.
-WIDTH = 8
+WIDTH = 4
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -31,26 +34,12 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) * F.lit(2.0**-width)
 
 
-def _draws(term: Column, k: Column) -> tuple[Column, Column, Column]:
-    """(c * x, x, x * y) of a term and the number of a sample."""
-    one = F.xxhash64(term, k)
-    two = F.xxhash64(one, k)
-    x = _uniform(two, 0, 32)
-    return -F.ln(_uniform(one, 0, 32) * _uniform(one, 32, 32)) * x, x, x * _uniform(two, 32, 32)
-
-
-def _packed(term: Column, weight: Column, cx: Column, x: Column, xy: Column) -> Column:
-    """Rank and identity of the sample that a term offers; null where the term is missing."""
-
-    def pack(rank: Column, t: Column | None = None) -> Column:
-        identity = term.bitwiseAND(F.lit(0xFFFFFFFF))
-        if t is not None:
-            identity = (identity + t).bitwiseAND(F.lit(0xFFFFFFFF))
-        # The square root leaves small ranks, those of long texts, enough of the 31 bits.
-        return F.shiftleft(F.floor(F.sqrt(rank / (rank + 1)) * F.lit(2.0**31)), 32) + identity
-
-    t = F.floor(F.ln(weight * x) / -F.ln(xy)) + 1
-    return F.when(weight * x < 1, F.when(weight > 0, pack(cx))).otherwise(pack(cx * F.exp(F.ln(xy) * t), t))
+def _packed(term: str, weight: str, v: str, e: str, x: str, r: str) -> Column:
+    """Rank, to 36 bits, and term of the sample that a term offers; null where it offers none. The rank tells the levels apart."""
+    w, x, r = F.col(weight), F.col(x), F.col(r)
+    further = -F.expm1(-F.col(e) * F.exp(-r * (F.floor(F.ln(w * x) / r) + 1)))
+    least = F.when(w == 1, F.col(v)).when(w * x < 1, F.col(v)).otherwise(further)
+    return F.when(w > 0, F.shiftleft((least * F.lit(2.0**36)).cast("long"), 27) + F.col(term).bitwiseAND(F.lit((1 << 27) - 1)))
 
 
 def sampled(terms: DataFrame, keys: list[str], weights: list[str], samples: int) -> DataFrame:
@@ -63,15 +52,19 @@ def sampled(terms: DataFrame, keys: list[str], weights: list[str], samples: int)
         raise ValueError(f"the number of samples must be a multiple of {WIDTH}")
     block = terms.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(samples // WIDTH - 1))))
     numbers = {i: (F.col("block_") * WIDTH + i).cast("long") for i in range(WIDTH)}
-    drawn = block.select(*keys, "block_", "term_", *weights, *(x.alias(f"{name}{i}") for i, k in numbers.items() for name, x in zip(("cx", "x", "xy"), _draws(F.col("term_"), k))))
-    least = drawn.groupBy(*keys, "block_").agg(
-        *(F.min(F.when(F.col("term_").isNotNull(), _packed(F.col("term_"), F.col(w), F.col(f"cx{i}"), F.col(f"x{i}"), F.col(f"xy{i}")))).alias(f"{w}{i}") for w in weights for i in numbers)
-    )
-
-    def low(x: Column) -> Column:
-        return F.shiftright(F.shiftleft(x, 32), 32).cast("int")
-
-    parts = F.sort_array(F.collect_list(F.struct("block_", *(F.when(F.col(f"{w}0").isNotNull(), F.array(*(low(F.col(f"{w}{i}")) for i in range(WIDTH)))).alias(w) for w in weights))))
+    # What a term that occurs more than once needs besides is computed step by step, and for no other.
+    often = F.greatest(*weights) > 1 if len(weights) > 1 else F.col(weights[0]) > 1
+    drawn = block.select("*", *(F.xxhash64("term_", k).alias(f"h{i}") for i, k in numbers.items()))
+    drawn = drawn.select("*", *(_uniform(F.col(f"h{i}"), 28, 36).alias(f"v{i}") for i in numbers), *(F.when(often, F.xxhash64(f"h{i}", k)).alias(f"g{i}") for i, k in numbers.items()))
+    drawn = drawn.select("*", *(F.when(often, -F.log1p(-F.col(f"v{i}"))).alias(f"e{i}") for i in numbers), *(F.when(often, -F.ln(_uniform(F.col(f"g{i}"), 0, 32))).alias(f"f{i}") for i in numbers))
+    drawn = drawn.select("*", *((F.col(f"e{i}") / (F.col(f"e{i}") + F.col(f"f{i}"))).alias(f"x{i}") for i in numbers))
+    drawn = drawn.select("*", *(F.when(often, -F.ln(F.col(f"x{i}") * _uniform(F.col(f"g{i}"), 32, 32))).alias(f"r{i}") for i in numbers))
+    least = drawn.groupBy(*keys, "block_").agg(*(F.min(_packed("term_", w, f"v{i}", f"e{i}", f"x{i}", f"r{i}")).alias(f"{w}{i}") for w in weights for i in numbers))
+
+    def short(x: Column) -> Column:
+        return F.shiftright(F.xxhash64(x), 32).cast("int")
+
+    parts = F.sort_array(F.collect_list(F.struct("block_", *(F.when(F.col(f"{w}0").isNotNull(), F.array(*(short(F.col(f"{w}{i}")) for i in range(WIDTH)))).alias(w) for w in weights))))
     together = least.groupBy(*keys).agg(parts.alias("parts_"))
     return together.select(*keys, *(F.flatten(F.transform("parts_", lambda p: p[w])).alias(w) for w in weights))
 
@@ -95,7 +88,7 @@ def _terms(texts: DataFrame, keys: list[str], versions: list[str]) -> DataFrame:
     return term.groupBy(*keys, "term_").agg(*(F.sum(F.when(F.col("version_") == i, 1).otherwise(0)).alias(v) for i, v in enumerate(versions)))
 
 
-def fingerprints(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint string) of every row; equal texts have equal fingerprints, on any cluster.
 
     Words are what white space (the six ASCII characters) leaves between, in lower case. A text that is
@@ -126,7 +119,7 @@ def _stretches(rows: DataFrame, parts: int) -> tuple[Column, Column, int]:
     return at, F.element_at(fixed(ends), at + 1) == key, len(ends)
 
 
-def compare_edits(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_edits(docs: DataFrame, samples: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The next document of a row is that of the next smaller id, and of the smallest id the one of the
@@ -146,7 +139,7 @@ def compare_edits(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", te
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     # A written table fixes the numbers of rows, which break ties.
     rows = materialise(docs.select(F.col(id_col).alias("id_"), order.alias("order_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), F.monotonically_increasing_id().alias("row_")), "texts")
-    at, last, stretches = _stretches(rows, max(shuffle, min(4 * shuffle, 8192)))
+    at, last, stretches = _stretches(rows, max(shuffle, min(32 * shuffle, 8192)))
     placed = rows.withColumn("at_", at).withColumn("last_", last)
     copies = F.array(F.struct(F.col("at_").alias("part_"), F.lit(False).alias("guest_")))
     guest = F.array(F.struct(((F.col("at_") + 1) % max(1, stretches)).alias("part_"), F.lit(True).alias("guest_")))
