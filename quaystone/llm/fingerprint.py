@@ -138,17 +138,19 @@ def compare_edits(docs: DataFrame, samples: int = 48, id_col: str = "doc_id", te
     shuffle = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     # A written table fixes the numbers of rows, which break ties.
-    rows = materialise(docs.select(F.col(id_col).alias("id_"), order.alias("order_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), F.monotonically_increasing_id().alias("row_")), "texts")
+    rows = materialise(docs.select(F.col(id_col).cast("long").alias("id_"), order.alias("order_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), F.monotonically_increasing_id().alias("row_")), "texts")
     at, last, stretches = _stretches(rows, max(shuffle, min(32 * shuffle, 8192)))
     placed = rows.withColumn("at_", at).withColumn("last_", last)
     copies = F.array(F.struct(F.col("at_").alias("part_"), F.lit(False).alias("guest_")))
     guest = F.array(F.struct(((F.col("at_") + 1) % max(1, stretches)).alias("part_"), F.lit(True).alias("guest_")))
-    dealt = placed.withColumn("c_", F.explode(F.when(F.col("last_"), F.concat(copies, guest)).otherwise(copies))).select("id_", "order_", "row_", "text_", "c_.part_", "c_.guest_")
-    along = Window.partitionBy("part_").orderBy(F.desc("guest_"), "order_", "row_")
+    dealt = placed.withColumn("c_", F.explode(F.when(F.col("last_"), F.concat(copies, guest)).otherwise(copies))).select("id_", "row_", "text_", "c_.part_", "c_.guest_")
+    # Small tasks, so that what occurs in the texts of one is counted in memory.
+    dealt = dealt.repartition(4 * shuffle, "part_")
+    along = Window.partitionBy("part_").orderBy(F.desc("guest_"), F.col("id_").asc_nulls_first(), "row_")
     n, cut = F.char_length("text_"), F.floor(F.char_length("text_") / 3).cast("int")
     beside = dealt.withColumn("next_", F.lag("text_").over(along)).withColumn("edited_", F.when(~F.col("guest_"), F.concat(F.substring("text_", F.lit(1), n - cut), F.substring("next_", F.lit(1), cut))))
-    keys = ["part_", "guest_", "order_", "row_", "id_", "n_chars", "sha_"]
-    texts = beside.select("part_", "guest_", "order_", "row_", "id_", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited_", 256)).alias("sha_"), "text_", "edited_")
+    keys = ["part_", "guest_", "row_", "id_", "n_chars", "sha_"]
+    texts = beside.select("part_", "guest_", "row_", "id_", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited_", 256)).alias("sha_"), "text_", "edited_")
     made = sampled(_terms(texts, keys, ["text_", "edited_"]), keys, ["text_", "edited_"], samples)
     pairs = made.withColumn("next_", F.lag("text_").over(along)).where(~F.col("guest_"))
     return pairs.select(
