@@ -237,12 +237,20 @@ def t14(s: Source):
     return streams.run_to_table(out, new_path(s.spark, "stream-out"), new_path(s.spark, "stream-state")).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
 
 
+#: An event type with a part of its users is a key, a user a member, a day a snapshot.
+_SEEN = "SELECT concat(event_type, '-', CAST(user_id % 10 AS STRING)) AS keyword, CAST(user_id AS STRING) AS url"
+
+
 @query(
     "T15_stream_tracker",
-    """WITH d AS (SELECT DISTINCT event_type, user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS snapshot FROM events)
-    SELECT event_type, user_id, snapshot, CASE WHEN lag(snapshot) OVER (PARTITION BY event_type, user_id ORDER BY snapshot) = snapshot - 1 THEN 'persistent' ELSE 'gained' END AS state FROM d""",
+    f"""WITH d AS (SELECT DISTINCT keyword, url, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS snapshot FROM ({_SEEN}, ts FROM events) e),
+    s AS (SELECT *, lag(snapshot) OVER (PARTITION BY keyword ORDER BY snapshot) AS before, lead(snapshot) OVER (PARTITION BY keyword ORDER BY snapshot) AS next FROM (SELECT DISTINCT keyword, snapshot FROM d) x),
+    r AS (
+        SELECT d.keyword, d.url, d.snapshot, CASE WHEN p.url IS NULL THEN 'gained' ELSE 'persistent' END AS state FROM d JOIN s ON d.keyword = s.keyword AND d.snapshot = s.snapshot LEFT JOIN d p ON p.keyword = d.keyword AND p.url = d.url AND p.snapshot = s.before
+        UNION ALL SELECT d.keyword, d.url, s.next, 'lost' FROM d JOIN s ON d.keyword = s.keyword AND d.snapshot = s.snapshot LEFT JOIN d n ON n.keyword = d.keyword AND n.url = d.url AND n.snapshot = s.next WHERE s.next IS NOT NULL AND n.url IS NULL)
+    SELECT * FROM r WHERE DATE '1970-01-01' + CAST(snapshot + 3 AS INTEGER) <= (SELECT max(ts) FROM events)""",
 )
 def t15(s: Source):
-    snap = _event_stream(s).select("event_type", "user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("snapshot"))
-    out = streams.track_appearances(snap, ["event_type", "user_id"], "snapshot")
+    events = _event_stream(s).selectExpr("concat(event_type, '-', CAST(user_id % 10 AS STRING)) AS keyword", "CAST(user_id AS STRING) AS url", "ts")
+    out = streams.track_appearances(events, ["keyword"], "url", "ts", 86_400_000, "2 days")
     return streams.run_to_table(out, new_path(s.spark, "stream-out"), new_path(s.spark, "stream-state"))
