@@ -77,6 +77,8 @@ def bound(sql: str) -> str:
     sql = sql.strip()
     if not parts:
         return sql
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + sql[15:]
     if sql[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + sql[5:]
     return "WITH " + ", ".join(parts) + " " + sql

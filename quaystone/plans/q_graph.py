@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaystone.functions.text import grams
-from quaystone.operators import graph, sets
+from quaystone.operators import graph, hierarchy, sets
 from quaystone.plans.catalog import Source, query
 
 _PAIRS = """p AS (SELECT a.task_id AS left_id, b.task_id AS right_id, count(*) AS shared, round(sum(1 / a.rank + 1 / b.rank), 6) AS score, bool_and(a.group_id = b.group_id) AS same_group
@@ -253,3 +253,64 @@ def g18(s: Source):
 def g21(s: Source):
     e = s.part.select(F.col("p_name").alias("seed"), F.col("p_brand").alias("question")).unionByName(s.part.where("p_size < 5").select(F.col("p_brand").alias("seed"), F.col("p_type").alias("question")))
     return graph.question_graph(e)
+
+
+#: A customer leads to another one of the same eight; every third customer to two.
+_ASKED = """SELECT k AS task_id, concat(CASE WHEN k % 5 = 0 THEN ' Q' ELSE 'q' END, CAST(b + k % 8 AS STRING), '?') AS seed_question, concat('q', CAST(b + n % 8 AS STRING), CASE WHEN k % 7 = 0 THEN ' ?' ELSE '?' END) AS question
+    FROM (SELECT c_custkey AS k, c_custkey - c_custkey % 8 AS b, c_nationkey AS n FROM {customer}) c
+    UNION ALL SELECT k, CASE WHEN k % 4 = 0 THEN NULL ELSE concat('q', CAST(b + k % 8 AS STRING), '?') END, concat('Q', CAST(b + (n * 3 + 1) % 8 AS STRING), '?') FROM (SELECT c_custkey AS k, c_custkey - c_custkey % 8 AS b, c_nationkey AS n FROM {customer} WHERE c_custkey % 3 = 0) d"""
+
+_ASKED_GRAPH = f"""q AS (SELECT task_id, nullif(trim(regexp_replace(lower(trim(seed_question)), '\\s+', ' ', 'g')), '') AS parent, trim(regexp_replace(lower(trim(question)), '\\s+', ' ', 'g')) AS child FROM ({_ASKED}) a),
+    e AS (SELECT parent, child, count(*) AS occurrences, count(DISTINCT task_id) AS tasks FROM q WHERE parent <> child GROUP BY ALL),
+    r AS (SELECT parent AS a, child AS b FROM e UNION SELECT r.a, e.child FROM r JOIN e ON r.b = e.parent),
+    i AS (SELECT child AS node, count(*) AS n FROM e GROUP BY 1), o AS (SELECT parent AS node, count(*) AS n FROM e GROUP BY 1), c AS (SELECT child AS node, count(*) AS n FROM q GROUP BY 1), z AS (SELECT a AS node FROM r WHERE a = b),
+    d AS (SELECT parent AS node, 0 AS depth FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON d.node = e.parent WHERE d.depth < 8),
+    m AS (SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM d GROUP BY 1),
+    g AS (SELECT a.node, coalesce(c.n, 0) AS occurrences, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree, CASE WHEN i.n IS NULL THEN 0 ELSE m.depth END AS depth, z.node IS NOT NULL AS cycle_detected
+        FROM (SELECT node FROM c UNION SELECT node FROM o UNION SELECT node FROM i) a LEFT JOIN c ON a.node = c.node LEFT JOIN o ON a.node = o.node LEFT JOIN i ON a.node = i.node LEFT JOIN m ON a.node = m.node LEFT JOIN z ON a.node = z.node)"""
+
+
+@query("G21_question_hierarchy", f"WITH RECURSIVE {_ASKED_GRAPH} SELECT *, CASE WHEN depth > 0 AND NOT cycle_detected AND in_degree < 2 THEN 'eligible_for_editor_review' ELSE 'blocked_hierarchy_review' END AS heading_candidate_state FROM g")
+def g21h(s: Source):
+    return hierarchy.question_hierarchy(s.sql(_ASKED))[0]
+
+
+@query("G21_question_edges", f"WITH RECURSIVE {_ASKED_GRAPH} SELECT parent, child, e.occurrences, tasks, p.cycle_detected OR k.cycle_detected OR k.in_degree > 1 AS review_required FROM e JOIN g p ON parent = p.node JOIN g k ON child = k.node")
+def g21e(s: Source):
+    return hierarchy.question_hierarchy(s.sql(_ASKED))[1]
+
+
+#: A customer is a keyword group, its orders are occurrences; below depth 1 their seeds are values of others.
+_WISHED = """SELECT task_id % 3 AS site_id, task_id AS group_id, occurrence_id, task_id, demand_type AS source_keyword, CASE WHEN occurrence_id % 9 = 0 THEN NULL WHEN occurrence_id % 11 = 0 THEN '' ELSE concat('p', CAST(occurrence_id % 7 AS STRING)) END AS seed_value,
+    CASE WHEN occurrence_id % 13 = 0 THEN NULL ELSE concat('P', CAST((occurrence_id * 3 + 1) % 5 AS STRING)) END AS value, demand_type, occurrence_order, depth FROM {demands}"""
+
+_WISHED_GRAPH = f"""x AS (SELECT *, greatest(depth, 1) AS d, nullif(seed_value, '') AS seed FROM ({_WISHED}) w),
+    y AS (SELECT site_id, group_id, occurrence_id, demand_type, d, CASE WHEN d > 1 AND seed IS NOT NULL THEN 'demand:' || seed ELSE 'seed' END AS parent, 'demand:' || lower(value) AS child, CASE WHEN d > 1 AND seed IS NOT NULL THEN d - 1 ELSE 0 END AS pd FROM x WHERE d <= 2 AND value IS NOT NULL),
+    e AS (SELECT DISTINCT site_id, group_id, parent, child FROM y),
+    r AS (SELECT group_id, parent AS a, child AS b FROM e UNION SELECT r.group_id, r.a, e.child FROM r JOIN e ON r.group_id = e.group_id AND r.b = e.parent),
+    n AS (SELECT site_id, group_id, node, min(depth) AS depth, count(DISTINCT occurrence_id) AS occurrences FROM (SELECT site_id, group_id, parent AS node, pd AS depth, occurrence_id FROM y UNION ALL SELECT site_id, group_id, child, d, occurrence_id FROM y) u GROUP BY ALL),
+    i AS (SELECT group_id, child AS node, count(*) AS parents FROM e GROUP BY ALL), o AS (SELECT group_id, parent AS node, count(*) AS children FROM e GROUP BY ALL), z AS (SELECT group_id, a AS node FROM r WHERE a = b)"""
+
+
+@query(
+    "G22_demand_nodes",
+    f"""WITH RECURSIVE {_WISHED_GRAPH} SELECT n.*, coalesce(parents, 0) AS parents, coalesce(children, 0) AS children, z.node IS NOT NULL AS cycle_detected, coalesce(parents, 0) > 1 AS multi_parent, CASE WHEN z.node IS NOT NULL OR parents > 1 THEN 'review_required' ELSE 'observed_path' END AS review_state
+    FROM n LEFT JOIN i ON n.group_id = i.group_id AND n.node = i.node LEFT JOIN o ON n.group_id = o.group_id AND n.node = o.node LEFT JOIN z ON n.group_id = z.group_id AND n.node = z.node""",
+)
+def g22n(s: Source):
+    return hierarchy.demand_traversal(s.sql(_WISHED), 2)[0].drop("first")
+
+
+@query("G22_demand_edges", f"WITH RECURSIVE {_WISHED_GRAPH} SELECT site_id, group_id, parent, child, demand_type, min(d) AS depth, count(DISTINCT occurrence_id) AS occurrences FROM y GROUP BY ALL")
+def g22e(s: Source):
+    return hierarchy.demand_traversal(s.sql(_WISHED), 2)[1].drop("first")
+
+
+@query("G22_visiting_orders")
+def g22v(s: Source):
+    return hierarchy.visiting_orders(*hierarchy.demand_traversal(s.sql(_WISHED), 2), 2).withColumn("path", F.array_join("path", " > "))
+
+
+@query("G22_first_divergence")
+def g22f(s: Source):
+    return hierarchy.first_divergence(hierarchy.visiting_orders(*hierarchy.demand_traversal(s.sql(_WISHED), 2), 2))
