@@ -1,7 +1,7 @@
 """Clusters: complete-link groups, token components, greedy assignments.
 
-Each greedy step works inside one connected component or one group, which is what makes it exact: no
-edge joins two components. A component beyond a stated size is an error, not a silent cut.
+Greedy assignments work inside one group, which is what makes them exact: no pair joins two groups.
+Complete linkage merges all pairs of clusters that are the best of both in rounds of joins.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quaystone.operators.components import connected_components
+from quaystone.plans.storage import drop_table, materialise
 
 
 def modifier(tokens, modifiers: list[str]):
@@ -20,32 +21,73 @@ def modifier(tokens, modifiers: list[str]):
     return trailing, F.size(tokens) == trailing, parent
 
 
-def complete_link(edges: DataFrame, left: str, right: str, ratio: str, max_component: int = 20_000) -> DataFrame:
+def _link_round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merges, pairs) of one round: pairs that are the best of both their clusters merge; see :func:`complete_link`."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), "best").groupBy("c").agg(F.min("best").alias("best"))
+    merges = pairs.join(ends.select(F.col("c").alias("a"), "best"), ["a", "best"], "left_semi").join(ends.select(F.col("c").alias("b"), "best"), ["b", "best"], "left_semi")
+    merges = materialise(merges.select(F.col("a").alias("keep"), F.col("b").alias("gone")), "merges")
+    home = merges.select(F.col("gone").alias("old"), "keep").unionByName(merges.select(F.col("keep").alias("old"), "keep"))
+
+    def moved(df: DataFrame, end: str) -> DataFrame:
+        to = home.select(F.col("old").alias(end), F.col("keep").alias(f"{end}_to"))
+        return df.join(to, end, "left").withColumn(f"{end}_parts", F.when(F.col(f"{end}_to").isNull(), 1).otherwise(2)).withColumn(end, F.coalesce(f"{end}_to", end))
+
+    m = moved(moved(pairs, "a"), "b").where("a <> b")
+    m = m.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a_parts") * F.col("b_parts")).alias("needed"), "best").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"), F.min("best").alias("best"))
+    return merges, materialise(m.where("n = needed").select("a", "b", "best"), "pairs")
+
+
+def _merge_locally(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The same merges in the order of the best pairs, for the pairs of one component."""
+    pairs = set(zip(pdf["a"], pdf["b"]))
+    members = {n: [n] for n in set(pdf["a"]) | set(pdf["b"])}
+    home = {n: n for n in members}
+    for row in pdf.sort_values(["ratio", "l", "r"], ascending=[False, True, True]).itertuples():
+        x, y = home[row.a], home[row.b]
+        if x != y and all((min(i, j), max(i, j)) in pairs for i in members[x] for j in members[y]):
+            keep, gone = min(x, y), max(x, y)
+            for n in members[gone]:
+                home[n] = keep
+            members[keep] += members.pop(gone)
+    return pd.DataFrame({"old": list(home), "keep": list(home.values())})
+
+
+def complete_link(edges: DataFrame, left: str, right: str, ratio: str, local: int = 20_000, rounds: int = 8) -> DataFrame:
     """(node, cluster) by greedy complete linkage: edges by ratio (largest first), then ids; two clusters merge only if every cross pair is an edge.
 
-    The cluster is named by its smallest node. Nodes without an edge are not in the result.
+    The cluster is named by its smallest node. Null ends and self loops are ignored, of repeated edges
+    the largest ratio counts. Nodes without an edge are not in the result.
+
+    Greedy order does not need one task: a pair of clusters that is the best of both is merged next for
+    either of them whatever happens elsewhere, so all such pairs merge in one round. Only complete pairs
+    are kept, as one that lacks a cross pair lacks it for ever: a pair of merged clusters is complete
+    if all the pairs it is made of are there. After every ``rounds`` rounds what is left of components of
+    at most ``local`` pairs is merged in a task for each; larger ones go on in rounds, whatever their size.
     """
-    e = edges.select(F.least(left, right).alias("l"), F.greatest(left, right).alias("r"), F.col(ratio).cast("double").alias("ratio")).where("l <> r").distinct()
-    comp = connected_components(e, "l", "r")
-    largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_component:
-        raise ValueError(f"a component of {largest} nodes is beyond max_component={max_component}")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = set(zip(pdf["l"], pdf["r"]))
-        members = {n: [n] for n in set(pdf["l"]) | set(pdf["r"])}
-        home = {n: n for n in members}
-        for row in pdf.sort_values(["ratio", "l", "r"], ascending=[False, True, True]).itertuples():
-            a, b = home[row.l], home[row.r]
-            if a != b and all((min(x, y), max(x, y)) in pairs for x in members[a] for y in members[b]):
-                keep, gone = min(a, b), max(a, b)
-                for n in members[gone]:
-                    home[n] = keep
-                members[keep] += members.pop(gone)
-        return pd.DataFrame({"node": list(home), "cluster": list(home.values())})
-
-    kind = e.schema["l"].dataType.simpleString()
-    return e.join(comp.withColumnRenamed("node", "l"), "l").groupBy("component").applyInPandas(merge, f"node {kind}, cluster {kind}")
+    best = F.struct((-F.col("ratio")).alias("o"), "l", "r")
+    e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.least(left, right).alias("l"), F.greatest(left, right).alias("r"), F.col(ratio).cast("double").alias("ratio")).where("l <> r")
+    pairs = materialise(e.groupBy("l", "r").agg(F.max("ratio").alias("ratio")).select(F.col("l").alias("a"), F.col("r").alias("b"), best.alias("best")), "pairs")
+    labels = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")), "labels")
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def relabelled(moves: DataFrame) -> DataFrame:
+        to = moves.select(F.col("old").alias("cluster"), "keep")
+        return labels.join(to, "cluster", "left").select("node", F.coalesce("keep", "cluster").alias("cluster"))
+
+    done = 0
+    while pairs.limit(1).count():
+        merges, after = _link_round(pairs)
+        drop_table(pairs)
+        labels, pairs, done = relabelled(merges.withColumnRenamed("gone", "old")), after, done + 1
+        if done % rounds == 0 and pairs.limit(1).count():
+            comp = connected_components(pairs, "a", "b")
+            placed = materialise(pairs.join(comp.withColumnRenamed("node", "a"), "a"), "placed")
+            small = placed.groupBy("component").count().where(F.col("count") <= local).select("component")
+            here = placed.join(small, "component", "left_semi").select("component", "a", "b", (-F.col("best.o")).alias("ratio"), F.col("best.l").alias("l"), F.col("best.r").alias("r"))
+            moves = materialise(here.groupBy("component").applyInPandas(_merge_locally, f"old {kind}, keep {kind}"), "merges")
+            labels = materialise(relabelled(moves), "labels")
+            pairs = materialise(placed.join(small, "component", "left_anti").select("a", "b", "best"), "pairs")
+    return labels
 
 
 def keyword_groups(keywords: DataFrame, clusters: DataFrame, is_modifier: str) -> DataFrame:
