@@ -61,8 +61,9 @@ def complete_link(edges: DataFrame, left: str, right: str, ratio: str, local: in
     Greedy order does not need one task: a pair of clusters that is the best of both is merged next for
     either of them whatever happens elsewhere, so all such pairs merge in one round. Only complete pairs
     are kept, as one that lacks a cross pair lacks it for ever: a pair of merged clusters is complete
-    if all the pairs it is made of are there. After every ``rounds`` rounds what is left of components of
-    at most ``local`` pairs is merged in a task for each; larger ones go on in rounds, whatever their size.
+    if all the pairs it is made of are there. Once no more than ``local`` pairs are left, a task merges
+    them; before that, after every ``rounds`` rounds, components of at most that many pairs get a task each.
+    Larger ones go on in rounds, whatever their size.
     """
     best = F.struct((-F.col("ratio")).alias("o"), "l", "r")
     e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.least(left, right).alias("l"), F.greatest(left, right).alias("r"), F.col(ratio).cast("double").alias("ratio")).where("l <> r")
@@ -74,8 +75,15 @@ def complete_link(edges: DataFrame, left: str, right: str, ratio: str, local: in
         to = moves.select(F.col("old").alias("cluster"), "keep")
         return labels.join(to, "cluster", "left").select("node", F.coalesce("keep", "cluster").alias("cluster"))
 
+    def merged_here(placed: DataFrame) -> DataFrame:
+        here = placed.select("component", "a", "b", (-F.col("best.o")).alias("ratio"), F.col("best.l").alias("l"), F.col("best.r").alias("r"))
+        moves = materialise(here.groupBy("component").applyInPandas(_merge_locally, f"old {kind}, keep {kind}"), "merges")
+        return materialise(relabelled(moves), "labels")
+
     done = 0
-    while pairs.limit(1).count():
+    while left_ := pairs.count():
+        if left_ <= local:
+            return merged_here(pairs.withColumn("component", F.lit(0)))
         merges, after = _link_round(pairs)
         drop_table(pairs)
         labels, pairs, done = relabelled(merges.withColumnRenamed("gone", "old")), after, done + 1
@@ -83,9 +91,7 @@ def complete_link(edges: DataFrame, left: str, right: str, ratio: str, local: in
             comp = connected_components(pairs, "a", "b")
             placed = materialise(pairs.join(comp.withColumnRenamed("node", "a"), "a"), "placed")
             small = placed.groupBy("component").count().where(F.col("count") <= local).select("component")
-            here = placed.join(small, "component", "left_semi").select("component", "a", "b", (-F.col("best.o")).alias("ratio"), F.col("best.l").alias("l"), F.col("best.r").alias("r"))
-            moves = materialise(here.groupBy("component").applyInPandas(_merge_locally, f"old {kind}, keep {kind}"), "merges")
-            labels = materialise(relabelled(moves), "labels")
+            labels = merged_here(placed.join(small, "component", "left_semi"))
             pairs = materialise(placed.join(small, "component", "left_anti").select("a", "b", "best"), "pairs")
     return labels
 

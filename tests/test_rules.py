@@ -150,8 +150,7 @@ def test_complete_link(spark):
     assert got == {3: 3, 4: 3, 1: 1, 2: 1, 5: 5, 6: 5}
     shuffled = cluster.complete_link(e.orderBy(F.rand(3)), "r", "l", "ratio")
     assert {r.node: r.cluster for r in shuffled.collect()} == got
-    with pytest.raises(ValueError):
-        cluster.complete_link(e, "l", "r", "ratio", max_component=2)
+    assert {r.node: r.cluster for r in cluster.complete_link(e, "l", "r", "ratio", local=0).collect()} == got
 
 
 def test_modifiers(spark):
