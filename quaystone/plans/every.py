@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.plans import catalog, q_content, q_demand, q_graph, q_history, q_pages, q_review, q_text  # noqa: F401  registers on import
+from quaystone.plans import catalog, q_content, q_demand, q_graph, q_history, q_pages, q_review, q_sources, q_text  # noqa: F401  registers on import
 
 
 def queries():
