@@ -158,14 +158,18 @@ def intent_pairs(tasks: DataFrame, domains: DataFrame, types: DataFrame, feature
 def boundary_consensus(overlap: DataFrame, intent: DataFrame, edges: DataFrame) -> DataFrame:
     """What URL overlap (left_id, right_id, overlap, same_group) and intent (.., score, same_group) of unordered pairs say together.
 
-    A pair without an overlap shares no URL: its overlap is 0 if ``edges`` has URLs of both tasks,
-    and unknown else. Without a score the intent is not confirmed, which is no disagreement.
+    Where a side has a column ``review_required``, only pairs that it or the other side marks are rows.
+    A pair without an overlap shares no URL: its overlap is 0 if ``edges`` has URLs of both tasks
+    at ranks 1 to 10, and unknown else. Without a score the intent is not confirmed, which is no disagreement.
     """
     key = [F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")]
-    a = overlap.select(*key, F.col("overlap").alias("url_overlap"), F.col("same_group").alias("near"))
-    b = intent.select(*key, "score", "same_group")
-    seen = edges.select("task_id").distinct()
+    marks = [F.col("review_required") if "review_required" in side.columns else F.lit(None).cast("boolean") for side in (overlap, intent)]
+    a = overlap.select(*key, F.col("overlap").alias("url_overlap"), F.col("same_group").alias("near"), marks[0].alias("mark_a"))
+    b = intent.select(*key, "score", "same_group", marks[1].alias("mark_b"))
+    seen = (edges.where(F.col("rank").between(1, 10)) if "rank" in edges.columns else edges).select("task_id").distinct()
     j = a.join(b, ["left_id", "right_id"], "full")
+    if "review_required" in overlap.columns or "review_required" in intent.columns:
+        j = j.where(F.coalesce("mark_a", F.lit(False)) | F.coalesce("mark_b", F.lit(False)))
     for side in ("left", "right"):
         j = j.join(seen.select(F.col("task_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_seen")), f"{side}_id", "left")
     u = F.coalesce("url_overlap", F.when(F.col("left_seen") & F.col("right_seen"), F.lit(0.0)))
@@ -181,9 +185,9 @@ def boundary_consensus(overlap: DataFrame, intent: DataFrame, edges: DataFrame)
 
 
 def depth_stability(edges: DataFrame, depths: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """The class of each co-ranked pair at each depth (merge from .6, related from .3, else separate), and whether it flips."""
+    """The class of each co-ranked pair at each depth (merge from .6, related from .3, else separate), and whether it flips. A URL counts once a task, at its best rank."""
     deepest = max(depths)
-    e = edges.where(F.col("rank") <= deepest).select("task_id", "url", "rank")
+    e = best_rank(edges.where(F.col("rank") <= deepest).select("task_id", "url", "rank"), ["task_id", "url"])
     a, b = e.alias("a"), e.alias("b")
     worst = F.greatest("a.rank", "b.rank")
     pairs = a.join(b, (F.col("a.url") == F.col("b.url")) & (F.col("a.task_id") < F.col("b.task_id"))).groupBy(F.col("a.task_id").alias("left_id"), F.col("b.task_id").alias("right_id"))
@@ -194,6 +198,18 @@ def depth_stability(edges: DataFrame, depths: tuple[int, ...] = (3, 5, 10)) -> D
     )
 
 
+def boundary_stability(boundary: DataFrame, edges: DataFrame, depths: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """The stability of each boundary row (left_id, right_id, decision); pairs that share nothing have ratios of 0.
+
+    A merge is robust if all depths say so and the boundary's decision is merge_consensus_review.
+    """
+    names = [f"ratio_{d}" for d in depths]
+    j = boundary.select("left_id", "right_id", "decision").join(depth_stability(edges, depths), ["left_id", "right_id"], "left").na.fill(0.0, names)
+    j = j.na.fill("separate", [f"class_{d}" for d in depths]).na.fill("stable_separate", ["state"])
+    robust = (F.col("state") == "stable_merge") & (F.col("decision") == "merge_consensus_review")
+    return j.withColumns({"least_ratio": F.least(*names), "greatest_ratio": F.greatest(*names), "robust_merge": F.coalesce(robust, F.lit(False))})
+
+
 def topology(pairs: DataFrame) -> DataFrame:
     """What task pairs (left_group, right_group, state, robust_merge) say about their groups.
 

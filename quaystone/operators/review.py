@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quaystone.functions import urls
 from quaystone.functions.rules import page_type
 from quaystone.functions.text import GENERIC, evidence_key, grams, jaccard, mention, tokens
 
@@ -201,12 +202,22 @@ SOURCE_REASONS = {"user_generated_platform": "user_generated_source", "aggregato
 OTHER_REASON = "publisher_source_not_official_entity_proof"
 
 
+def source_key(url: Column) -> Column:
+    """One spelling of a cited URL: no fragment, parameters in the order of their names, no slash at the end. What is no URL only loses the slash."""
+    name = lambda p: F.substring_index(p, "=", 1)
+    params = F.filter(F.split(urls.part(url, 5), "&"), lambda p: p != "")
+    ordered = F.array_join(F.array_sort(params, lambda a, b: F.when(name(a) < name(b), -1).when(name(a) > name(b), 1).otherwise(0)), "&")
+    path = F.when(urls.part(url, 3) == "", F.lit("/")).otherwise(urls.part(url, 3))
+    whole = F.concat(F.lower(urls.part(url, 1)), F.lit("://"), F.lower(urls.part(url, 2)), path, F.when(ordered != "", F.concat(F.lit("?"), ordered)).otherwise(""))
+    return F.regexp_replace(F.when(urls.valid(url), whole).otherwise(F.coalesce(url, F.lit(""))), "/$", "")
+
+
 def source_authority(candidates: DataFrame, organic: DataFrame) -> DataFrame:
     """Cited URLs, each once, with the class of their source by the page type of the first candidate.
 
     ``candidates``: candidate_id, url, title, source (a label or null); ``organic``: url, website_name. No page type proves a primary source: every row stays ``not_proven_from_retained_evidence``.
     """
-    url = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/$", "")
+    url = source_key(F.col("url"))
     c = candidates.withColumn("key_", url).groupBy("key_").agg(F.min_by(F.struct("url", "title"), "candidate_id").alias("x"), F.count(F.lit(1)).alias("citations"), F.count("source").alias("labels"))
     names = organic.withColumn("key_", url).groupBy("key_").agg(F.count("website_name").alias("names"))
     j = c.join(names, "key_", "left").withColumn("page_type", page_type(F.col("x.url"), F.col("x.title")))

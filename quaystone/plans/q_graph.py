@@ -167,6 +167,36 @@ def g10(s: Source):
     return graph.depth_stability(s.edges)
 
 
+_REVIEWED = f"""{_INTENT}, {_PAIRS}, seen AS (SELECT DISTINCT task_id FROM {{edges}} WHERE rank BETWEEN 1 AND 10),
+    sides AS (SELECT coalesce(p.left_id, i.left_id) AS left_id, coalesce(p.right_id, i.right_id) AS right_id, p.shared / 10 AS u, i.score AS s, coalesce(i.same_group, p.same_group, false) AS g
+        FROM p FULL JOIN i ON p.left_id = i.left_id AND p.right_id = i.right_id WHERE coalesce(p.shared >= 6 AND NOT p.same_group, false) OR coalesce(i.score >= 0.62 AND NOT i.same_group OR i.score < 0.38 AND i.same_group, false)),
+    judged AS (SELECT k.left_id, k.right_id, coalesce(u, CASE WHEN a.task_id IS NOT NULL AND b.task_id IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS u, s, g FROM sides k LEFT JOIN seen a ON a.task_id = k.left_id LEFT JOIN seen b ON b.task_id = k.right_id),
+    bound AS (SELECT left_id, right_id, u AS url_overlap, s AS score, CASE WHEN u IS NULL THEN 'insufficient_url_evidence_review' WHEN g AND u < 0.3 AND s < 0.38 THEN 'split_consensus_review' WHEN g THEN 'current_group_boundary_review'
+        WHEN u >= 0.6 AND s >= 0.62 THEN 'merge_consensus_review' WHEN u >= 0.6 THEN 'url_only_merge_review' WHEN u >= 0.3 AND s >= 0.62 THEN 'merge_signal_conflict_review' WHEN s >= 0.62 THEN 'semantic_adjacency_review' ELSE 'internal_link_boundary_review' END AS decision FROM judged)"""
+
+
+def _reviewed(s: Source):
+    marked = graph.co_ranked(s.edges).withColumn("review_required", (F.col("shared") >= 6) & ~F.col("same_group"))
+    near = F.col("same_group")
+    intent = _intent(s).withColumn("review_required", (~near & (F.col("score") >= 0.62)) | (near & (F.col("score") < 0.38)))
+    return graph.boundary_consensus(marked, intent, s.edges)
+
+
+@query("G9_reviewed_boundaries", f"WITH {_REVIEWED} SELECT * FROM bound")
+def g9r(s: Source):
+    return _reviewed(s)
+
+
+@query(
+    "G10_boundary_stability",
+    f"""WITH {_DEPTH}, {_REVIEWED} SELECT b.left_id, b.right_id, decision, coalesce(ratio_3, 0) AS ratio_3, coalesce(ratio_5, 0) AS ratio_5, coalesce(ratio_10, 0) AS ratio_10, coalesce(class_3, 'separate') AS class_3, coalesce(class_5, 'separate') AS class_5, coalesce(class_10, 'separate') AS class_10,
+    coalesce(state, 'stable_separate') AS state, coalesce(least(ratio_3, ratio_5, ratio_10), 0) AS least_ratio, coalesce(greatest(ratio_3, ratio_5, ratio_10), 0) AS greatest_ratio, coalesce(state = 'stable_merge' AND decision = 'merge_consensus_review', false) AS robust_merge
+    FROM bound b LEFT JOIN st ON b.left_id = st.left_id AND b.right_id = st.right_id""",
+)
+def g10b(s: Source):
+    return graph.boundary_stability(_reviewed(s), s.edges)
+
+
 @query(
     "G11_topology",
     f"""

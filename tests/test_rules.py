@@ -276,3 +276,27 @@ def test_ranked_branches(spark):
     assert [r.branch for r in sorted(got, key=lambda r: r.position)] == [r.branch for r in sorted(got, key=lambda r: (-r.n, -r.volume, r.branch))]
     assert sorted(r.position for r in got) == list(range(1, 41)) and sum(r.n for r in got) == 500
     assert demand.ranked_branches(paths.limit(0)).count() == 0
+
+
+def test_reviewed_boundaries(spark):
+    overlap = spark.createDataFrame([(1, 2, 0.6, False, True), (1, 3, 0.1, False, False), (2, 3, 0.2, True, False)], "left_id long, right_id long, overlap double, same_group boolean, review_required boolean")
+    intent = spark.createDataFrame([(3, 2, 0.2, True, True), (1, 2, 0.7, False, False), (4, 5, 0.9, False, True), (4, 6, 0.5, False, False)], "left_id long, right_id long, score double, same_group boolean, review_required boolean")
+    edges = spark.createDataFrame([(4, 1), (5, 11), (5, 0)], "task_id long, rank long")
+    got = {(r.left_id, r.right_id): (r.decision, r.url_overlap) for r in graph.boundary_consensus(overlap, intent, edges).collect()}
+    assert got == {(1, 2): ("merge_consensus_review", 0.6), (2, 3): ("split_consensus_review", 0.2), (4, 5): ("insufficient_url_evidence_review", None)}
+
+
+def test_depth_stability_of_boundaries(spark):
+    rows = [(t, f"u{i}", i) for t in (1, 2) for i in range(1, 11)] + [(t, "u1", 2) for t in (1, 2)] + [(3, "u1", 1), (3, "u1", 1), (3, "v", 4)]
+    edges = spark.createDataFrame(rows, "task_id long, url string, rank long")
+    got = {(r.left_id, r.right_id): (r.ratio_3, r.ratio_10, r.state) for r in graph.depth_stability(edges).collect()}
+    assert got[1, 2] == (1.0, 1.0, "stable_merge") and got[1, 3] == (1 / 3, 0.1, "threshold_flip")
+    boundary = spark.createDataFrame([(1, 2, "merge_consensus_review"), (1, 3, "merge_consensus_review"), (2, 9, "url_only_merge_review")], "left_id long, right_id long, decision string")
+    rows = {(r.left_id, r.right_id): (r.state, r.robust_merge, r.least_ratio, r.greatest_ratio) for r in graph.boundary_stability(boundary, edges).collect()}
+    assert rows == {(1, 2): ("stable_merge", True, 1.0, 1.0), (1, 3): ("threshold_flip", False, 0.1, 1 / 3), (2, 9): ("stable_separate", False, 0.0, 0.0)}
+
+
+def test_source_keys(spark):
+    cases = {"https://A.example?b=2&a=1#x": "https://a.example/?a=1&b=2", "https://a.example/?a=1&b=2": "https://a.example/?a=1&b=2", "https://a.example/": "https://a.example", "https://a.example/p/?a=2&a=1": "https://a.example/p/?a=2&a=1", "no url/": "no url"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, "")], "url string, want string")
+    assert all(r.got == r.want for r in df.select("want", review.source_key(F.col("url")).alias("got")).collect())
