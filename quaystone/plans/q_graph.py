@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaystone.functions.text import grams
-from quaystone.operators import graph, hierarchy, sets
+from quaystone.operators import graph, hierarchy, sets, typed_graph
 from quaystone.plans.catalog import Source, query
 
 _PAIRS = """p AS (SELECT a.task_id AS left_id, b.task_id AS right_id, count(*) AS shared, round(sum(1 / a.rank + 1 / b.rank), 6) AS score, bool_and(a.group_id = b.group_id) AS same_group
@@ -344,3 +344,22 @@ def g22v(s: Source):
 @query("G22_first_divergence")
 def g22f(s: Source):
     return hierarchy.first_divergence(hierarchy.visiting_orders(*hierarchy.demand_traversal(s.sql(_WISHED), 2), 2))
+
+
+@query(
+    "G18_paths",
+    """
+    WITH few AS (SELECT * FROM (SELECT p_name AS node, p_partkey AS w FROM part WHERE p_name LIKE '%small%' ORDER BY length(p_name), p_name, p_partkey LIMIT 25) x),
+    st AS (SELECT node, row_number() OVER (ORDER BY min(length(node)), node) AS place FROM few GROUP BY node),
+    b AS (SELECT p_partkey AS id, p_type AS kind, p_name AS s, p_brand AS t, p_name AS f, p_brand AS o, 'outgoing' AS dir FROM part UNION ALL SELECT p_partkey, p_type, p_name, p_brand, p_brand, p_name, 'incoming' FROM part),
+    l1 AS (SELECT * FROM (SELECT b.*, row_number() OVER (ORDER BY place, kind, s, t, id, dir) AS n, node || ' > ' || o AS path, CAST(id AS STRING) AS ids FROM b JOIN st ON f = node) x WHERE n <= 2000),
+    f2 AS (SELECT o AS node, min(n) AS place, min_by(path, n) AS path, min_by(ids, n) AS ids FROM l1 WHERE o NOT IN (SELECT node FROM st) GROUP BY o),
+    l2 AS (SELECT * FROM (SELECT b.*, (SELECT count(*) FROM l1) + row_number() OVER (ORDER BY place, kind, s, t, id, dir) AS n, path || ' > ' || o AS path, ids || ' > ' || CAST(id AS STRING) AS ids FROM b JOIN f2 ON f = node) x WHERE n <= 2000),
+    a AS (SELECT *, 1::BIGINT AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2)
+    SELECT id AS relation_id, kind AS relation_type, depth, dir AS direction, CASE dir WHEN 'outgoing' THEN kind ELSE kind || '_inverse' END AS traversal_type, f AS from_node, o AS to_node, path, ids AS relations, n AS visit_order, (SELECT count(*) FROM a) >= 2000 AS truncated FROM a""",
+)
+def g18p(s: Source):
+    start = typed_graph.seeds(s.part.select(F.col("p_name").alias("node"), F.col("p_partkey").alias("word_id"), F.col("p_name").alias("term")), "small")
+    r = s.part.select(F.col("p_partkey").alias("relation_id"), F.col("p_type").alias("relation_type"), F.col("p_name").alias("source"), F.col("p_brand").alias("target"))
+    out = typed_graph.traverse(r, start, 2, most=2000)
+    return out.select("relation_id", "relation_type", "depth", "direction", "traversal_type", "from_node", "to_node", F.array_join("path_nodes", " > ").alias("path"), F.array_join("path_relations", " > ").alias("relations"), "visit_order", "truncated")
