@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaystone.plans.catalog import Source, query
-from quaystone.sources import payloads
+from quaystone.plans.storage import new_path
+from quaystone.sources import payloads, readers
 
 
 def _json(sql: str) -> str:
@@ -97,3 +98,11 @@ def s5_summaries(s: Source):
 def s5_coverage(s: Source):
     asked = s.part.where("p_partkey % 3 < 2").select(F.when(F.col("p_partkey") % 3 == 0, "keyword_metrics").otherwise("keyword_difficulty").alias("kind"), F.concat_ws(" ", "p_name", "p_partkey").alias("keyword"))
     return payloads.enrichment_coverage(asked, payloads.enrichment_tables(s.sql(_json(_RESPONSES))))
+
+
+@query("S4_checked_table", "SELECT p_partkey, p_name, p_brand FROM part")
+def s4_checked(s: Source):
+    path, part = new_path(s.spark, "reference"), s.part.select("p_partkey", "p_name", "p_brand")
+    part.write.option("sep", "\t").option("compression", "gzip").csv(path)
+    told = part.agg(F.count(F.lit(1)).alias("n"), readers.row_digest(part.columns).alias("d")).first()
+    return readers.checked_table(s.spark, path, "p_partkey long, p_name string, p_brand string", ["p_partkey"], told["n"], told["d"])

@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from quaystone.functions import urls
+from quaystone.plans.storage import materialise
 
 RESULT = (
     "tasks array<struct<id:string,status_code:int,cost:double,data:struct<keyword:string,location_code:int,language_code:string,device:string,os:string,depth:int,tag:string>,"
@@ -89,6 +90,39 @@ def reference_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("mode", "FAILFAST").csv(path)
 
 
+def checked_table(spark: SparkSession, path: str, schema: str, key: list[str], rows: int | None = None, digest: str | None = None) -> DataFrame:
+    """A tab-separated table as a stored one, refused as a whole if it is not what was announced.
+
+    Width, number of rows and digest are observed in the pass that stores the table; then keys have to be
+    unique and not null. The digest is :func:`row_digest`: it does not depend on order, files or compression. ValueError names
+    every expectation that fails. ``rows`` and ``digest`` are not looked at where they are None.
+    """
+    bad = "corrupt_"
+    read = spark.read.schema(f"{schema}, {bad} string").option("sep", "\t").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(path)
+    names = [c for c in read.columns if c != bad]
+    seen = Observation()
+    stored = materialise(read.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(bad).alias("corrupt"), row_digest(names).alias("digest")), "checked").drop(bad)
+    got = seen.get
+    wrong = [f"{got['corrupt']} lines of another width or type"] if got["corrupt"] else []
+    if rows is not None and got["rows"] != rows:
+        wrong.append(f"{got['rows']} rows instead of {rows}")
+    if digest is not None and got["digest"] != digest:
+        wrong.append(f"digest {got['digest']} instead of {digest}")
+    if stored.where(" or ".join(f"`{k}` is null" for k in key)).limit(1).count():
+        wrong.append("a null key")
+    if stored.groupBy(*key).count().where("count > 1").limit(1).count():
+        wrong.append("a repeated key")
+    if wrong:
+        raise ValueError(f"{path}: " + "; ".join(wrong))
+    return stored
+
+
+def row_digest(names: list[str]) -> Column:
+    """An aggregate: the number of rows and the sum of their hashes, as text; '0:0' for none. Nulls and empty strings differ."""
+    row = F.xxhash64(*(F.struct(F.col(n).isNull(), F.col(n)) for n in names)).cast("decimal(38,0)")
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(row), F.lit(0)).cast("decimal(38,0)").cast("string"))
+
+
 def missing_requests(requested: DataFrame, returned: DataFrame, key: str) -> DataFrame:
     """What was asked for and not returned with status 20000."""
     return requested.select(key).distinct().join(returned.where("status_code = 20000").select(key).distinct(), key, "left_anti")
