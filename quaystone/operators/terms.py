@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quaystone.functions.text import compact, tokens
+from quaystone.functions.text import GENERIC, compact, tokens
 
 
 def keyword_coverage(content: DataFrame, wanted: DataFrame, on: str, content_id: str, group_id: str, keyword: str, text_col: str) -> DataFrame:
@@ -56,6 +56,37 @@ def associations(doc_terms: DataFrame, id_col: str, min_df: int = 3, min_support
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Abbreviations of a trade that are terms although they are in Latin letters.
+ABBREVIATIONS = ("ai", "dx", "se", "ses", "sier", "web")
+
+
+def association_term(term: Column) -> Column:
+    """Whether a term can be associated: two characters or more, not generic, and with a Japanese letter unless it is an abbreviation."""
+    return (F.char_length(term) >= 2) & ~term.isin(*GENERIC) & (term.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]") | term.isin(*ABBREVIATIONS))
+
+
+def keyword_associations(doc_terms: DataFrame, id_col: str, min_df: int = 3, min_support: int = 3, k: int = 12, most_evidence: int = 20) -> DataFrame:
+    """(term, other, support, df_term, df_other, cosine, rank, evidence) of keyword rows (id, term).
+
+    Only terms that :func:`association_term` admits count, and only rows with two of them or more, for
+    the document frequencies too. evidence has the smallest ids that hold both terms, at most
+    ``most_evidence``; they are cut before the shuffle. Ranks are as in :func:`associations`.
+    """
+    valid = doc_terms.select(id_col, "term").where(F.col(id_col).isNotNull() & F.coalesce(association_term(F.col("term")), F.lit(False))).distinct()
+    rows = valid.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    once = valid.join(rows, id_col)
+    df = once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    best = associations(once, id_col, min_df, min_support, k)
+    kept = once.join(df.where(F.col("df") >= min_df).select("term"), "term")
+    a, b = kept.alias("a"), kept.alias("b")
+    pairs = a.join(b, (F.col(f"a.{id_col}") == F.col(f"b.{id_col}")) & (F.col("a.term") < F.col("b.term"))).select(F.col("a.term").alias("low"), F.col("b.term").alias("high"), F.col(f"a.{id_col}").alias("id_"))
+    first = pairs.withColumn("n_", F.row_number().over(Window.partitionBy("low", "high").orderBy("id_"))).where(F.col("n_") <= most_evidence)
+    evidence = first.groupBy("low", "high").agg(F.array_sort(F.collect_list("id_")).alias("evidence"))
+    j = best.withColumn("low", F.least("term", "other")).withColumn("high", F.greatest("term", "other")).join(evidence, ["low", "high"])
+    j = j.join(df.withColumnRenamed("df", "df_term"), "term").join(df.select(F.col("term").alias("other"), F.col("df").alias("df_other")), "other")
+    return j.select("term", "other", "support", "df_term", "df_other", "cosine", "rank", "evidence")
+
+
 def variants(keywords: DataFrame, keyword: str, key, by: list[str]) -> DataFrame:
     """Representatives that are spelt in more than one way."""
     return keywords.groupBy(key.alias("representative"), *by).agg(F.count_distinct(keyword).alias("forms"), F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set(keyword)), "|").alias("surface")).where("forms > 1")

@@ -161,6 +161,22 @@ def g6(s: Source):
     return terms.associations(terms.document_terms(s.keywords, "source_keyword_id", "raw_keyword"), "source_keyword_id")
 
 
+#: Both words of a keyword as Japanese terms, a third by its size, a generic one, and words that are no terms.
+_TERMS = """SELECT source_keyword_id AS doc_id, concat('語', split_part(raw_keyword, ' ', 1)) AS term FROM {keywords} UNION ALL SELECT source_keyword_id, concat('語', split_part(raw_keyword, ' ', 2)) FROM {keywords} WHERE size % 6 <> 0
+    UNION ALL SELECT source_keyword_id, concat('型', CAST(size % 7 AS STRING)) FROM {keywords} WHERE size % 3 = 0 UNION ALL SELECT source_keyword_id, CASE size % 4 WHEN 0 THEN 'ai' WHEN 1 THEN '就活' WHEN 2 THEN 'x' ELSE 'latin' END FROM {keywords}"""
+
+
+@query(
+    "G6_keyword_associations",
+    f"""WITH v AS (SELECT DISTINCT * FROM ({_TERMS}) x WHERE term = 'ai' OR term LIKE '語%' OR term LIKE '型%'), t AS (SELECT * FROM v WHERE doc_id IN (SELECT doc_id FROM v GROUP BY doc_id HAVING count(*) > 1)), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+    p AS (SELECT a.term, b.term AS other, count(*) AS support, array_to_string(list_sort(list(a.doc_id))[1:20], ',') AS evidence FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.term <> b.term GROUP BY 1, 2 HAVING count(*) >= 3),
+    c AS (SELECT p.term, other, support, x.df AS df_term, y.df AS df_other, round(support / sqrt(x.df * y.df), 6) AS cosine, evidence FROM p JOIN f x ON p.term = x.term JOIN f y ON other = y.term WHERE x.df >= 3 AND y.df >= 3)
+    SELECT *, row_number() OVER (PARTITION BY term ORDER BY cosine DESC, support DESC, other) AS rank FROM c QUALIFY rank <= 12""",
+)
+def g6k(s: Source):
+    return terms.keyword_associations(s.sql(_TERMS), "doc_id").withColumn("evidence", F.array_join("evidence", ","))
+
+
 @query("G7_variants", "SELECT replace(lower(raw_keyword), ' ', '') AS representative, sheet, count(DISTINCT raw_keyword) AS forms, count(*) AS rows, array_to_string(list_sort(list_distinct(list(raw_keyword))), '|') AS surface FROM (SELECT CASE WHEN size % 2 = 0 THEN upper(raw_keyword) ELSE raw_keyword END AS raw_keyword, sheet FROM {keywords}) k GROUP BY 1, 2 HAVING count(DISTINCT raw_keyword) > 1")
 def g7(s: Source):
     k = s.keywords.withColumn("raw_keyword", F.when(F.col("size") % 2 == 0, F.upper("raw_keyword")).otherwise(F.col("raw_keyword")))

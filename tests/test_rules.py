@@ -300,3 +300,13 @@ def test_source_keys(spark):
     cases = {"https://A.example?b=2&a=1#x": "https://a.example/?a=1&b=2", "https://a.example/?a=1&b=2": "https://a.example/?a=1&b=2", "https://a.example/": "https://a.example", "https://a.example/p/?a=2&a=1": "https://a.example/p/?a=2&a=1", "no url/": "no url"}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, "")], "url string, want string")
     assert all(r.got == r.want for r in df.select("want", review.source_key(F.col("url")).alias("got")).collect())
+
+
+def test_keyword_associations(spark):
+    docs = {i: ["東京", "大阪", "it"] for i in range(1, 31)} | {i: ["東京", "latin", "方"] for i in range(40, 60)} | {60: ["ai", "大阪"], 61: ["ai", "大阪"], 62: ["ai", "大阪", "東京"], 63: ["web"], None: ["ai", "大阪"]}
+    df = spark.createDataFrame([(i, t) for i, ts in docs.items() for t in ts] + [(1, "東京"), (1, None)], "id long, term string")
+    got = {(r.term, r.other): (r.support, r.df_term, r.df_other, r.cosine, r.rank, r.evidence) for r in terms.keyword_associations(df, "id").collect()}
+    cities = round(31 / (31 * 33) ** 0.5, 6)
+    assert got[("東京", "大阪")] == (31, 31, 33, cities, 1, list(range(1, 21)))
+    assert got[("ai", "大阪")] == (3, 3, 33, round(3 / 99**0.5, 6), 1, [60, 61, 62])
+    assert set(got) == {("東京", "大阪"), ("大阪", "東京"), ("ai", "大阪"), ("大阪", "ai")}
