@@ -131,28 +131,75 @@ def weighted_pairs(weights: DataFrame, id_col: str, key: str, weight: str, block
     )
 
 
-def intent_pairs(tasks: DataFrame, domains: DataFrame, types: DataFrame, features: DataFrame, demands: DataFrame, topics: DataFrame) -> DataFrame:
+def _profiles(tasks: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """One row a task: each part's weights by key as a map, their sum and norm. Blank keys do not count; a task without a key in a part has nulls there."""
+    out = tasks.select("site_id", "task_id", F.nullif(F.trim(F.col("group_id").cast("string")), F.lit("")).alias("group_")).distinct()
+    for name, df in parts.items():
+        w = df.where(F.trim(F.col("key").cast("string")) != "").groupBy("site_id", "task_id", "key").agg(F.sum("weight").cast("double").alias("w"))
+        one = w.groupBy("site_id", "task_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias(name), F.sum("w").alias(f"{name}_total"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{name}_norm"))
+        out = out.join(one, ["site_id", "task_id"], "left")
+    return out
+
+
+def _weighted_jaccard(name: str):
+    other = lambda e: F.coalesce(F.try_element_at(F.col(f"b.{name}"), e["key"]), F.lit(0.0))
+    low = F.aggregate(F.map_entries(f"a.{name}"), F.lit(0.0), lambda s, e: s + F.least(e["value"], other(e)))
+    return F.coalesce(F.try_divide(low, F.col(f"a.{name}_total") + F.col(f"b.{name}_total") - low), F.lit(0.0))
+
+
+def _cosine(name: str):
+    other = lambda e: F.coalesce(F.try_element_at(F.col(f"b.{name}"), e["key"]), F.lit(0.0))
+    dot = F.aggregate(F.map_entries(f"a.{name}"), F.lit(0.0), lambda s, e: s + e["value"] * other(e))
+    return F.coalesce(F.try_divide(dot, F.col(f"a.{name}_norm") * F.col(f"b.{name}_norm")), F.lit(0.0))
+
+
+def _jaccard(name: str):
+    x, y = F.map_keys(f"a.{name}"), F.map_keys(f"b.{name}")
+    shared = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(shared, F.size(x) + F.size(y) - shared), F.lit(0.0))
+
+
+def intent_pairs(tasks: DataFrame, domains: DataFrame, types: DataFrame, features: DataFrame, demands: DataFrame, topics: DataFrame, related: int | None = None, block: int = 128) -> DataFrame:
     """Intent score of task pairs of a site: .35 domain (weighted jaccard), .25 page type (cosine), .15 features (jaccard), .15 demand types (cosine), .1 topic bigrams (jaccard).
 
-    Candidates share a domain or are of one group, which loses neither merge nor split reviews: a
-    merge needs a domain similarity of .3, a split one group. The frames are (site_id, task_id, key,
-    weight); pairs that are no candidates never leave the joins.
+    Rows are the pairs of one group, and those of a score from .38 on: ``split_review`` in one group below .38,
+    ``merge_review`` in two known groups from .62 on with a domain similarity of .3 and a topic similarity of .25,
+    else ``related_intent``. ``related`` keeps only that many pairs that are of two groups and not for review, by score,
+    then ids (null: all). A null or blank group is no group. The frames are (site_id, task_id, key, weight).
+
+    A pair may reach .38 without a common domain, so all pairs of a site are compared, each task being one row of
+    small maps. A site's tasks are dealt to blocks of about ``block``; each pair of blocks is a key of the join, so
+    that no task sees more than two blocks at a time, and pairs that are no rows never leave the join. Topics, the
+    dearest part, are compared only where the other parts leave .38 in reach.
     """
-    keys = ["left_id", "right_id"]
-    parts = {"domain": (domains, "weighted_jaccard"), "page_type": (types, "cosine"), "feature": (features, "jaccard"), "demand": (demands, "cosine"), "topic": (topics, "jaccard")}
-    made = {k: weighted_pairs(df, "task_id", "key", "weight", ["site_id"]).select(*keys, F.col(measure).alias(k)) for k, (df, measure) in parts.items()}
-    a, b = tasks.alias("a"), tasks.alias("b")
-    same = a.join(b, (F.col("a.site_id") == F.col("b.site_id")) & (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.task_id") < F.col("b.task_id"))).select(F.col("a.task_id").alias("left_id"), F.col("b.task_id").alias("right_id"), F.lit(True).alias("same_group"))
-    j = made["domain"].join(same, keys, "full")
-    for k in ("page_type", "feature", "demand", "topic"):
-        j = j.join(made[k], keys, "left")
-    j = j.na.fill(0.0, list(parts)).na.fill(False, ["same_group"])
-    j = j.withColumn("score", F.round(0.35 * F.col("domain") + 0.25 * F.col("page_type") + 0.15 * F.col("feature") + 0.15 * F.col("demand") + 0.1 * F.col("topic"), 6))
-    decision = (
-        F.when(F.col("same_group") & (F.col("score") < 0.38), "split_review").when(~F.col("same_group") & (F.col("score") >= 0.62) & (F.col("domain") >= 0.3) & (F.col("topic") >= 0.25), "merge_review")
-        .when(F.col("same_group"), "retain").when(F.col("score") >= 0.38, "related_intent").otherwise("distinct")
-    )
-    return j.select(*keys, "same_group", "score", decision.alias("decision"))
+    parts = {"domain": domains, "page_type": types, "feature": features, "demand": demands, "topic": topics}
+    p = _profiles(tasks, parts)
+    blocks = tasks.groupBy("site_id").agg(F.ceil(F.count_distinct("task_id") / block).alias("blocks_"))
+    p = p.join(blocks, "site_id").withColumn("block_", F.pmod(F.xxhash64("task_id"), F.col("blocks_")))
+    # Small rows, much work: as many partitions as the session names, however few bytes there are.
+    tasks_ = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = p.withColumn("x", F.col("block_")).withColumn("y", F.explode(F.sequence("block_", F.col("blocks_") - 1))).repartition(tasks_, "site_id", "x", "y")
+    second = p.withColumn("y", F.col("block_")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), "block_"))).repartition(tasks_, "site_id", "x", "y")
+    meet = (F.col("a.site_id") == F.col("b.site_id")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    once = (F.col("a.x") < F.col("a.y")) | (F.col("a.task_id") < F.col("b.task_id"))
+    same = F.coalesce(F.col("a.group_") == F.col("b.group_"), F.lit(False))
+    # Each measure is bound to a name, so that it is taken once for a pair; a pair that is no row leaves an empty array.
+    m = F.array(F.struct(_weighted_jaccard("domain").alias("domain"), (0.25 * _cosine("page_type") + 0.15 * _jaccard("feature") + 0.15 * _cosine("demand")).alias("rest")))
+    m = F.transform(m, lambda v: F.struct(v["domain"].alias("domain"), (0.35 * v["domain"] + v["rest"]).alias("plain")))
+    m = F.transform(F.filter(m, lambda v: same | (v["plain"] >= 0.2799)), lambda v: F.struct(v["domain"].alias("domain"), v["plain"].alias("plain"), _jaccard("topic").alias("topic")))
+    m = F.transform(m, lambda v: F.struct(v["domain"].alias("domain"), v["topic"].alias("topic"), F.round(F.least(v["plain"] + 0.1 * v["topic"], F.lit(1.0)), 6).alias("score")))
+    m = F.filter(m, lambda v: same | (v["score"] >= 0.38))
+    pairs = first.alias("a").join(second.alias("b"), meet & once).select(
+        F.least("a.task_id", "b.task_id").alias("left_id"), F.greatest("a.task_id", "b.task_id").alias("right_id"), same.alias("same_group"), (F.col("a.group_").isNotNull() & F.col("b.group_").isNotNull()).alias("known_"), F.explode(m).alias("m")
+    )
+    j = pairs.select("left_id", "right_id", "same_group", "known_", "m.*")
+    split = F.col("same_group") & (F.col("score") < 0.38)
+    merge = F.col("known_") & ~F.col("same_group") & (F.col("score") >= 0.62) & (F.col("domain") >= 0.3) & (F.col("topic") >= 0.25)
+    out = j.select("left_id", "right_id", "same_group", "score", F.when(split, "split_review").when(merge, "merge_review").otherwise("related_intent").alias("decision"), (split | merge).alias("review_required"))
+    if related is None:
+        return out
+    free = ~F.col("same_group") & ~F.col("review_required")
+    return out.where(~free).unionByName(out.where(free).orderBy(F.desc("score"), "left_id", "right_id").limit(related))
 
 
 def boundary_consensus(overlap: DataFrame, intent: DataFrame, edges: DataFrame) -> DataFrame:

@@ -123,9 +123,9 @@ _INTENT = """d AS (SELECT site_id, task_id, domain AS key, sum(1 / rank) AS w FR
     mp AS (SELECT a.task_id AS l, b.task_id AS r, sum(a.w * b.w) AS dot FROM m a JOIN m b ON a.site_id = b.site_id AND a.key = b.key AND a.task_id < b.task_id GROUP BY ALL),
     mj AS (SELECT l, r, dot / (x.norm * y.norm) AS demand FROM mp JOIN mn x ON x.task_id = l JOIN mn y ON y.task_id = r),
     sg AS (SELECT a.task_id AS l, b.task_id AS r FROM {tasks} a JOIN {tasks} b ON a.site_id = b.site_id AND a.group_id = b.group_id AND a.task_id < b.task_id),
-    k AS (SELECT l, r FROM dj UNION SELECT l, r FROM sg),
-    i AS (SELECT k.l AS left_id, k.r AS right_id, sg.l IS NOT NULL AS same_group, coalesce(domain, 0) AS domain, coalesce(topic, 0) AS topic, round(0.35 * coalesce(domain, 0) + 0.25 * coalesce(page_type, 0) + 0.15 * coalesce(feature, 0) + 0.15 * coalesce(demand, 0) + 0.1 * coalesce(topic, 0), 6) AS score
-          FROM k LEFT JOIN dj ON k.l = dj.l AND k.r = dj.r LEFT JOIN tj ON k.l = tj.l AND k.r = tj.r LEFT JOIN gj ON k.l = gj.l AND k.r = gj.r LEFT JOIN fj ON k.l = fj.l AND k.r = fj.r LEFT JOIN mj ON k.l = mj.l AND k.r = mj.r LEFT JOIN sg ON k.l = sg.l AND k.r = sg.r)"""
+    k AS (SELECT a.task_id AS l, b.task_id AS r FROM {tasks} a JOIN {tasks} b ON a.site_id = b.site_id AND a.task_id < b.task_id),
+    i AS (SELECT * FROM (SELECT k.l AS left_id, k.r AS right_id, sg.l IS NOT NULL AS same_group, coalesce(domain, 0) AS domain, coalesce(topic, 0) AS topic, round(0.35 * coalesce(domain, 0) + 0.25 * coalesce(page_type, 0) + 0.15 * coalesce(feature, 0) + 0.15 * coalesce(demand, 0) + 0.1 * coalesce(topic, 0), 6) AS score
+          FROM k LEFT JOIN dj ON k.l = dj.l AND k.r = dj.r LEFT JOIN tj ON k.l = tj.l AND k.r = tj.r LEFT JOIN gj ON k.l = gj.l AND k.r = gj.r LEFT JOIN fj ON k.l = fj.l AND k.r = fj.r LEFT JOIN mj ON k.l = mj.l AND k.r = mj.r LEFT JOIN sg ON k.l = sg.l AND k.r = sg.r) z WHERE same_group OR score >= 0.38)"""
 
 
 def _intent(s: Source):
@@ -139,7 +139,10 @@ def _intent(s: Source):
     return graph.intent_pairs(s.tasks, domains, types, features, demands, topics)
 
 
-@query("G8_J6_intent_pairs", f"WITH {_INTENT} SELECT left_id, right_id, same_group, score, CASE WHEN same_group AND score < 0.38 THEN 'split_review' WHEN NOT same_group AND score >= 0.62 AND domain >= 0.3 AND topic >= 0.25 THEN 'merge_review' WHEN same_group THEN 'retain' WHEN score >= 0.38 THEN 'related_intent' ELSE 'distinct' END AS decision FROM i")
+_DECIDED = "CASE WHEN same_group AND score < 0.38 THEN 'split_review' WHEN NOT same_group AND score >= 0.62 AND domain >= 0.3 AND topic >= 0.25 THEN 'merge_review' ELSE 'related_intent' END"
+
+
+@query("G8_J6_intent_pairs", f"WITH {_INTENT} SELECT left_id, right_id, same_group, score, {_DECIDED} AS decision, {_DECIDED} <> 'related_intent' AS review_required FROM i")
 def g8(s: Source):
     return _intent(s)
 
@@ -154,7 +157,7 @@ def g8(s: Source):
         WHEN u >= 0.6 AND s >= 0.62 THEN 'merge_consensus_review' WHEN u >= 0.6 THEN 'url_only_merge_review' WHEN u >= 0.3 AND s >= 0.62 THEN 'merge_signal_conflict_review' WHEN s >= 0.62 THEN 'semantic_adjacency_review' ELSE 'internal_link_boundary_review' END AS decision FROM judged""",
 )
 def g9(s: Source):
-    return graph.boundary_consensus(graph.co_ranked(s.edges), _intent(s), s.edges)
+    return graph.boundary_consensus(graph.co_ranked(s.edges), _intent(s).drop("review_required"), s.edges)
 
 
 _DEPTH = """depth_q AS (SELECT a.task_id AS left_id, b.task_id AS right_id, min(a.group_id) AS left_group, min(b.group_id) AS right_group, count(CASE WHEN greatest(a.rank, b.rank) <= 3 THEN 1 END) / 3 AS ratio_3, count(CASE WHEN greatest(a.rank, b.rank) <= 5 THEN 1 END) / 5 AS ratio_5, count(*) / 10 AS ratio_10 FROM {edges} a JOIN {edges} b ON a.url = b.url AND a.task_id < b.task_id GROUP BY 1, 2),
@@ -167,9 +170,10 @@ def g10(s: Source):
     return graph.depth_stability(s.edges)
 
 
+_DECIDED_I = _DECIDED.replace("same_group", "i.same_group").replace("score", "i.score").replace("domain", "i.domain").replace("topic", "i.topic")
 _REVIEWED = f"""{_INTENT}, {_PAIRS}, seen AS (SELECT DISTINCT task_id FROM {{edges}} WHERE rank BETWEEN 1 AND 10),
     sides AS (SELECT coalesce(p.left_id, i.left_id) AS left_id, coalesce(p.right_id, i.right_id) AS right_id, p.shared / 10 AS u, i.score AS s, coalesce(i.same_group, p.same_group, false) AS g
-        FROM p FULL JOIN i ON p.left_id = i.left_id AND p.right_id = i.right_id WHERE coalesce(p.shared >= 6 AND NOT p.same_group, false) OR coalesce(i.score >= 0.62 AND NOT i.same_group OR i.score < 0.38 AND i.same_group, false)),
+        FROM p FULL JOIN i ON p.left_id = i.left_id AND p.right_id = i.right_id WHERE coalesce(p.shared >= 6 AND NOT p.same_group, false) OR coalesce({_DECIDED_I} <> 'related_intent', false)),
     judged AS (SELECT k.left_id, k.right_id, coalesce(u, CASE WHEN a.task_id IS NOT NULL AND b.task_id IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS u, s, g FROM sides k LEFT JOIN seen a ON a.task_id = k.left_id LEFT JOIN seen b ON b.task_id = k.right_id),
     bound AS (SELECT left_id, right_id, u AS url_overlap, s AS score, CASE WHEN u IS NULL THEN 'insufficient_url_evidence_review' WHEN g AND u < 0.3 AND s < 0.38 THEN 'split_consensus_review' WHEN g THEN 'current_group_boundary_review'
         WHEN u >= 0.6 AND s >= 0.62 THEN 'merge_consensus_review' WHEN u >= 0.6 THEN 'url_only_merge_review' WHEN u >= 0.3 AND s >= 0.62 THEN 'merge_signal_conflict_review' WHEN s >= 0.62 THEN 'semantic_adjacency_review' ELSE 'internal_link_boundary_review' END AS decision FROM judged)"""
@@ -177,9 +181,7 @@ _REVIEWED = f"""{_INTENT}, {_PAIRS}, seen AS (SELECT DISTINCT task_id FROM {{edg
 
 def _reviewed(s: Source):
     marked = graph.co_ranked(s.edges).withColumn("review_required", (F.col("shared") >= 6) & ~F.col("same_group"))
-    near = F.col("same_group")
-    intent = _intent(s).withColumn("review_required", (~near & (F.col("score") >= 0.62)) | (near & (F.col("score") < 0.38)))
-    return graph.boundary_consensus(marked, intent, s.edges)
+    return graph.boundary_consensus(marked, _intent(s), s.edges)
 
 
 @query("G9_reviewed_boundaries", f"WITH {_REVIEWED} SELECT * FROM bound")
