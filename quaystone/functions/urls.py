@@ -37,6 +37,13 @@ def canonical_url(url: Column) -> Column:
     return F.when(valid(url), F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def citation_url(url: Column) -> Column:
+    """The page a citation names: no fragment, no utm parameters, no trailing slash but the root's; parameters keep their order. Invalid: null."""
+    path = F.when(part(url, 3).rlike("^/*$"), F.lit("/")).otherwise(F.regexp_replace(part(url, 3), "/+$", ""))
+    kept = F.array_join(_params(url, "(?i)^utm_"), "&")
+    return F.when(valid(url), F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+
+
 def page_key(url: Column) -> Column:
     """scheme, host and path without a trailing slash."""
     path = F.regexp_replace(part(url, 3), "/+$", "")

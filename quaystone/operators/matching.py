@@ -110,17 +110,6 @@ def gram_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     return shared.join(sized, left_id).join(rows, "said_").select(left_id, right_id, (2 * F.col("both_") / (F.col("na") + F.col("nb"))).alias("dice"))
 
 
-def claim_citations(claims: DataFrame, citations: DataFrame, k: int = 3, least: float = 0.08) -> DataFrame:
-    """The ``k`` best citations of a claim: .72 dice(heading, source) + .2 dice(heading, keyword) + min(.12, .12 / sqrt(rank)), from ``least`` on."""
-    keys = ["claim_id", "citation_id"]
-    source = gram_pairs(claims, citations, *keys, "heading", "source").withColumnRenamed("dice", "source_dice")
-    word = gram_pairs(claims, citations, *keys, "heading", "keyword").withColumnRenamed("dice", "keyword_dice")
-    j = source.join(word, keys, "full").join(citations.select("citation_id", "rank"), "citation_id").na.fill(0.0, ["source_dice", "keyword_dice"])
-    score = F.round(0.72 * F.col("source_dice") + 0.2 * F.col("keyword_dice") + F.coalesce(F.least(F.lit(0.12), 0.12 / F.sqrt("rank")), F.lit(0.0)), 6)
-    w = Window.partitionBy("claim_id").orderBy(F.desc("score"), "citation_id")
-    return j.withColumn("score", score).where(F.col("score") >= least).withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).select(*keys, "score", "position")
-
-
 def citation_coverage(claims: DataFrame, recommended: DataFrame, citations: DataFrame, wanted: int = 3) -> DataFrame:
     """Claims with all, some or none of the citations wanted, and how many domains these are from."""
     j = claims.select("claim_id").join(recommended.select("claim_id", "citation_id"), "claim_id", "left").join(citations.select("citation_id", "domain"), "citation_id", "left")

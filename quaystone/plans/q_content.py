@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaystone.functions import rules
-from quaystone.operators import graph, matching, quality, terms
+from quaystone.operators import citations, graph, matching, quality, terms
 from quaystone.plans.catalog import BINDINGS, Source, query
 
 BINDINGS |= {
     "articles": "SELECT page_id AS article_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading FROM {pages}",
     "groups": "SELECT article_id AS group_id, concat(split_part(lower(title), ' ', 1), ' ', split_part(lower(title), ' ', 2)) AS main_keyword FROM {articles}",
     "claims": "SELECT item_id AS claim_id, text AS heading FROM {benchmark}",
-    "citations": "SELECT article_id AS citation_id, title AS source, split_part(title, ' ', 1) AS keyword, article_id % 9 + 1 AS rank, concat('d', CAST(article_id % 11 AS STRING)) AS domain FROM {articles}",
+    "citations": """SELECT article_id AS citation_id, title AS source, split_part(title, ' ', 1) AS keyword, article_id % 9 + 1 AS rank, concat('d', CAST(article_id % 11 AS STRING)) AS domain,
+        concat('https://D', CAST(article_id % 8 AS STRING), '.example/p/', CAST(article_id % 1000 AS STRING), CASE WHEN article_id % 3 = 0 THEN '/?utm_source=a' WHEN article_id % 3 = 1 THEN '#top' ELSE '' END) AS url,
+        CASE WHEN article_id % 3 > 0 THEN article_id % 9 + 1 END AS url_rank, CASE WHEN article_id % 6 > 0 THEN article_id % 7 + 1 END AS domain_rank FROM {articles}""",
 }
 _TOK = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
 _KT = f"k AS (SELECT group_id, len(t) AS ks, unnest(t) AS token FROM (SELECT group_id, {_TOK.format('main_keyword')} AS t FROM {{groups}}) x), a AS (SELECT article_id, len(t) AS ts, unnest(t) AS token FROM (SELECT article_id, {_TOK.format('title')} AS t FROM {{articles}}) x), m AS (SELECT k.group_id, a.article_id, min(ks) AS ks, min(ts) AS ts FROM k JOIN a ON k.token = a.token GROUP BY ALL HAVING count(*) = min(ks) AND (min(ks) = min(ts) OR min(ks) >= 2))"
@@ -66,16 +68,21 @@ def m7(s: Source):
     return matching.topic_coverage(s.sql(_TC), a, s.articles.select("article_id", "title"), s.articles.select("article_id", "heading"))
 
 
-_G = "list_distinct(list_transform(range(1, length({0})), lambda i: substring(lower({0}), CAST(i AS INT), 2)))"
-_DICE = f"""cl AS (SELECT claim_id, len(g) AS n, unnest(g) AS g FROM (SELECT claim_id, {_G.format('heading')} AS g FROM {{claims}}) x), cs AS (SELECT citation_id, len(g) AS n, unnest(g) AS g FROM (SELECT citation_id, {_G.format('source')} AS g FROM {{citations}}) x), ck AS (SELECT citation_id, len(g) AS n, unnest(g) AS g FROM (SELECT citation_id, {_G.format('keyword')} AS g FROM {{citations}}) x),
-    d1 AS (SELECT claim_id, citation_id, 2 * count(*) / (min(cl.n) + min(cs.n)) AS d FROM cl JOIN cs ON cl.g = cs.g GROUP BY ALL), d2 AS (SELECT claim_id, citation_id, 2 * count(*) / (min(cl.n) + min(ck.n)) AS d FROM cl JOIN ck ON cl.g = ck.g GROUP BY ALL),
-    sc AS (SELECT coalesce(d1.claim_id, d2.claim_id) AS claim_id, coalesce(d1.citation_id, d2.citation_id) AS citation_id, coalesce(d1.d, 0) AS a, coalesce(d2.d, 0) AS b FROM d1 FULL JOIN d2 ON d1.claim_id = d2.claim_id AND d1.citation_id = d2.citation_id),
-    fs AS (SELECT claim_id, sc.citation_id, round(0.72 * a + 0.2 * b + least(0.12, 0.12 / sqrt(rank)), 6) AS score FROM sc JOIN {{citations}} c ON sc.citation_id = c.citation_id), top AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, citation_id) AS position FROM fs WHERE score >= 0.08 QUALIFY position <= 3)"""
+_KEY = r"regexp_replace(lower({0}), '[\s\p{{P}}\p{{S}}]+', '', 'g')"
+_G = f"CASE WHEN {_KEY} <> '' THEN list_distinct(list_transform(range(1, greatest(length({_KEY}), 2)), lambda i: substring({_KEY}, CAST(i AS INT), 2))) END"
+_DICE = f"""ci AS (SELECT *, replace(regexp_replace(url, '/?[?]utm_source=a$|#top$', ''), 'https://D', 'https://d') AS u FROM {{citations}}),
+    pg AS (SELECT u, arg_min(citation_id, (coalesce(url_rank, 99), coalesce(domain_rank, 99), citation_id)) AS citation_id, arg_min(source, (coalesce(url_rank, 99), coalesce(domain_rank, 99), citation_id)) AS source, min(coalesce(url_rank, domain_rank, 99)) AS rank, count(*) AS occurrences FROM ci GROUP BY u),
+    cl AS (SELECT claim_id, len(g) AS n, unnest(g) AS g FROM (SELECT claim_id, {_G.format('heading')} AS g FROM {{claims}}) x), cs AS (SELECT u, len(g) AS n, unnest(g) AS g FROM (SELECT u, {_G.format('source')} AS g FROM pg) x),
+    ck AS (SELECT u, keyword, len(g) AS n, unnest(g) AS g FROM (SELECT DISTINCT u, keyword, {_G.format('keyword')} AS g FROM ci) x),
+    d1 AS (SELECT claim_id, u, 2 * count(*) / (min(cl.n) + min(cs.n)) AS d FROM cl JOIN cs ON cl.g = cs.g GROUP BY ALL), d2 AS (SELECT claim_id, u, max(d) AS d FROM (SELECT claim_id, u, keyword, 2 * count(*) / (min(cl.n) + min(ck.n)) AS d FROM cl JOIN ck ON cl.g = ck.g GROUP BY ALL) x GROUP BY ALL),
+    sc AS (SELECT coalesce(d1.claim_id, d2.claim_id) AS claim_id, coalesce(d1.u, d2.u) AS u, coalesce(d1.d, 0) AS a, coalesce(d2.d, 0) AS b FROM d1 FULL JOIN d2 ON d1.claim_id = d2.claim_id AND d1.u = d2.u),
+    fs AS (SELECT claim_id, citation_id, pg.u AS url, occurrences, a AS heading_similarity, b AS query_similarity, CASE WHEN rank < 99 THEN rank END AS organic_rank, round(least(1, 0.72 * a + 0.2 * b + CASE WHEN rank < 99 THEN least(0.12, 0.12 / sqrt(rank)) ELSE 0 END), 6) AS score FROM sc JOIN pg ON sc.u = pg.u),
+    top AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, organic_rank NULLS LAST, url) AS position FROM fs WHERE score >= 0.08 QUALIFY position <= 3)"""
 
 
-@query("M15_W5_claim_citations", f"WITH {_DICE} SELECT claim_id, citation_id, score, position FROM top")
+@query("M15_W5_claim_citations", f"WITH {_DICE} SELECT * FROM top")
 def m15(s: Source):
-    return matching.claim_citations(s.claims, s.citations)
+    return citations.claim_citations(s.claims, s.citations, unicode=False)
 
 
 @query("M16_citation_coverage", f"WITH {_DICE}, r AS (SELECT * FROM top WHERE claim_id % 4 > 0 AND position <= claim_id % 4) SELECT c.claim_id, count(r.citation_id) AS citations, count(DISTINCT domain) AS domains, CASE WHEN count(r.citation_id) = 0 THEN 'none' WHEN count(r.citation_id) >= 3 THEN 'complete' ELSE 'partial' END AS coverage FROM {{claims}} c LEFT JOIN r ON c.claim_id = r.claim_id LEFT JOIN {{citations}} x ON x.citation_id = r.citation_id GROUP BY 1")
