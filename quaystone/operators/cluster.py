@@ -129,23 +129,6 @@ def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, score
     return p.groupBy(group).applyInPandas(choose, p.schema)
 
 
-def capped_assignment(pairs: DataFrame, group: str, child: str, parent: str, score: str, per_parent: int = 4) -> DataFrame:
-    """Per group, best pair first: each child goes to one parent, each parent takes ``per_parent`` children at most."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, parent, child], ascending=[False, True, True])
-        used, load, keep = set(), {}, []
-        for i, c, p in zip(pdf.index, pdf[child], pdf[parent]):
-            if c not in used and load.get(p, 0) < per_parent:
-                used.add(c)
-                load[p] = load.get(p, 0) + 1
-                keep.append(i)
-        return pdf.loc[keep]
-
-    p = pairs.select(group, child, parent, score)
-    return p.groupBy(group).applyInPandas(choose, p.schema)
-
-
 def dependency_order(edges: DataFrame, story: str, before: str, after: str) -> DataFrame:
     """Per story the topological order of its steps, the smallest id first among those that are free; a cycle is an error."""
     import heapq

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaystone.operators import cluster, graph, html, matching
+from quaystone.operators import cluster, graph, html, matching, outline
 from quaystone.plans.catalog import Source, query
 from quaystone.plans.storage import new_path
 from quaystone.sources import readers, writers
@@ -50,7 +50,13 @@ def g26(s: Source):
 
 @query("G28_outline")
 def g28(s: Source):
-    return cluster.capped_assignment(_heading_pairs(s).where("score >= 0.3"), "grp", "r", "l", "score")
+    """Articles as headings: every fourth is of level 2; evidence and quality from ids, some blocked, some unresolved."""
+    i = F.col("article_id")
+    c = s.articles.select(
+        (i % 40).alias("group_id"), i.alias("candidate_id"), F.col("title").alias("text"), F.when(F.floor(i / 40) % 4 == 0, 2).otherwise(3).alias("heading_level"), (i % 3).alias("evidence_type"), F.array(i % 7, i % 11 + 7).alias("evidence_ids"),
+        F.when(i % 9 == 0, "blocked").when(i % 2 == 0, "ready").otherwise("needs_review").alias("state"), (i % 13 != 5).alias("resolved"), (i % 5 * 20).alias("quality"), (i % 4).alias("evidence_count"), (i % 6).alias("strength"),
+    )
+    return outline.evidence_outlines(c, unicode=False)
 
 
 @query("G27_survivors", "WITH s AS (SELECT group_id, task_id, round(0.35 * (task_id % 7) / 7 + 0.25 * (task_id % 5) / 5 + 0.3 * (task_id % 3) / 3 + 0.1 * (task_id % 2), 6) AS score FROM {tasks}), r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nx FROM s WINDOW w AS (PARTITION BY group_id ORDER BY score DESC, task_id)) SELECT group_id, task_id, round(score - nx, 6) AS margin, CASE WHEN round(score - nx, 6) < 0.05 THEN 'margin_review' ELSE 'survivor' END AS state FROM r WHERE n = 1")

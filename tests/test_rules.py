@@ -161,7 +161,6 @@ def test_modifiers(spark):
 def test_greedy(spark):
     p = spark.createDataFrame([("g", 1, 1, 0.9), ("g", 1, 2, 0.95), ("g", 2, 2, 0.9), ("g", 2, 1, 0.5), ("g", 3, 3, 0.3)], "g string, l int, r int, s double")
     assert {(x.l, x.r) for x in cluster.greedy_one_to_one(p, "g", "l", "r", "s").collect()} == {(1, 2), (2, 1)}
-    assert {(x.l, x.r) for x in cluster.capped_assignment(p, "g", "l", "r", "s", 1).collect()} == {(1, 2), (2, 1), (3, 3)}
     e = spark.createDataFrame([("s", 3, 1), ("s", 2, 1)], "story string, a int, b int")
     assert [(r.step, r.position) for r in cluster.dependency_order(e, "story", "a", "b").orderBy("position").collect()] == [(2, 1), (3, 2), (1, 3)]
     with pytest.raises(Exception, match="cycle"):
