@@ -139,20 +139,47 @@ def running_budget(rows: DataFrame, budget: str, order: list, cost: str, cap: fl
     return rows.withColumn("running", F.round(F.sum(cost).over(w), 6)).withColumn("selected", F.col("running") <= cap)
 
 
-def greedy_budget(rows: DataFrame, budget: str, order: list[str], cost: str, cap: float) -> DataFrame:
-    """In order, take each row that still fits and skip those that do not; one task for each budget, by need: each choice depends on all before."""
-    import pandas as pd
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, left, out = pdf.sort_values(order), cap, []
-        for c in pdf[cost]:
-            fits = c <= left + 1e-9
-            left -= c if fits else 0
-            out.append(bool(fits))
-        return pdf.assign(selected=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", selected boolean"
-    return rows.groupBy(budget).applyInPandas(choose, schema)
+def _walk(pdf):
+    """The rows of one budget in order: those that still fit in what is left of it."""
+    left, taken = pdf["left_"].iloc[0] if len(pdf) else 0.0, []
+    pdf = pdf.sort_values("row_")
+    for cost in pdf["cost_"]:
+        taken.append(bool(cost <= left + 1e-9))
+        left -= cost if taken[-1] else 0.0
+    return pdf.loc[taken, ["row_"]]
+
+
+def greedy_budget(rows: DataFrame, budget: str, order: list[str], cost: str, cap: float, local: int = 20_000) -> DataFrame:
+    """In order, take each row that still fits and skip those that do not; adds ``selected``.
+
+    Costs are not negative. A row without a cost or a budget is not selected; null places come first, rows of one
+    place in any order. Each choice depends on all before, but all rows up to a budget's first misfit are taken at once, by
+    running sums over ranges of the order. Then what costs more than is left drops out, the misfit with it, and the next
+    round goes on with the rest. No task holds a budget: sums within a range start from the totals of the ranges before.
+    Once no more than ``local`` rows are open, they are walked through budget by budget.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, budget, *order).sortWithinPartitions(budget, *order).withColumns({"row_": F.monotonically_increasing_id(), "range_": F.spark_partition_id()})
+    placed = materialise(placed, "budget_rows")
+    open_ = placed.where(F.col(budget).isNotNull()).select(F.col(budget).alias("b_"), "row_", "range_", F.col(cost).cast("double").alias("cost_"), F.lit(float(cap)).alias("left_")).where("cost_ <= left_ + 1e-9")
+    taken = None
+    while True:
+        left_rows = open_.count()
+        if left_rows <= local:
+            break
+        totals = open_.groupBy("b_", "range_").agg(F.sum("cost_").alias("t_"))
+        before = totals.withColumn("base_", F.sum("t_").over(Window.partitionBy("b_").orderBy("range_")) - F.col("t_")).drop("t_")
+        within = F.sum("cost_").over(Window.partitionBy("b_", "range_").orderBy("row_").rowsBetween(Window.unboundedPreceding, 0))
+        run = open_.withColumn("within_", within).join(before, ["b_", "range_"]).withColumn("running_", F.col("base_") + F.col("within_"))
+        run = materialise(run.select("b_", "row_", "range_", "cost_", "left_", "running_", (F.col("running_") <= F.col("left_") + 1e-9).alias("fits_")), "budget_round")
+        fits = run.where("fits_").select("row_")
+        taken = fits if taken is None else taken.unionByName(fits)
+        spent = run.where("fits_").groupBy("b_").agg(F.max("running_").alias("spent_"))
+        open_ = run.where("NOT fits_").join(spent, "b_", "left").withColumn("left_", F.col("left_") - F.coalesce("spent_", F.lit(0.0))).where("cost_ <= left_ + 1e-9").select("b_", "row_", "range_", "cost_", "left_")
+    last = open_.groupBy("b_").applyInPandas(_walk, "row_ long")
+    taken = (last if taken is None else taken.unionByName(last)).withColumn("selected", F.lit(True))
+    return placed.join(taken, "row_", "left").drop("row_", "range_").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
 def batches(rows: DataFrame, by: list[str], order: list, size: int) -> DataFrame:

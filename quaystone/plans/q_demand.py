@@ -213,7 +213,14 @@ def w9(s: Source):
     return demand.running_budget(s.orders, "o_custkey", ["o_orderkey"], "o_totalprice", 500_000).select("o_orderkey", "running", "selected")
 
 
-@query("W9_greedy_budget")
+@query(
+    "W9_greedy_budget",
+    """
+    WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    r AS (SELECT o_custkey, o_orderkey, o_totalprice, n, o_totalprice <= 500000 AS selected, 500000 - CASE WHEN o_totalprice <= 500000 THEN o_totalprice ELSE 0 END AS rest FROM o WHERE n = 1
+        UNION ALL SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, o.n, o.o_totalprice <= rest + 1e-9, rest - CASE WHEN o.o_totalprice <= rest + 1e-9 THEN o.o_totalprice ELSE 0 END FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.n = r.n + 1)
+    SELECT o_custkey, o_orderkey, o_totalprice, selected FROM r""",
+)
 def w9g(s: Source):
     return demand.greedy_budget(s.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", ["o_orderkey"], "o_totalprice", 500_000)
 
