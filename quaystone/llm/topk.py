@@ -138,6 +138,7 @@ class BitSlicedBlock:
         mask = np.zeros(self.words * 64, np.uint8)
         mask[:n] = 1
         self.valid = np.packbits(mask, bitorder="little").view(np.uint64)
+        self.peaks = [max(abs(int(c.max())), abs(int(c.min()))) if n else 0 for c in self.values.T]
 
     def others(self, query_id: int) -> np.ndarray:
         """The bitmap of the rows of other ids. Rows are in the order of ids, so those of one id are a stretch."""
@@ -148,15 +149,24 @@ class BitSlicedBlock:
         mask[first:end] = 0
         return np.packbits(mask, bitorder="little").view(np.uint64)
 
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products. Where sums of the block could leave a long, they are taken in Python's integers; one that does is an error."""
+        if sum(abs(q) * p for q, p in zip(query.tolist(), self.peaks)) < 1 << 63:
+            return self.values[rows] @ query
+        wide = [sum(q * x for q, x in zip(query.tolist(), row)) for row in self.values[rows].tolist()]
+        if any(not -(1 << 63) <= s < 1 << 63 for s in wide):
+            raise OverflowError("a score does not fit a long: scale the components down")
+        return np.array(wide, np.int64)
+
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of rows that hold the k best others of the block, ties to the smaller id."""
         terms = [(shift, sign, value) for q, value in zip(query.tolist(), self.slices) for shift, sign in signed_digits(q)]
         largest = sum(abs(int(q)) << len(v) for q, v in zip(query.tolist(), self.slices))
         sums = add_all(terms, max(2, largest.bit_length() + 1), self.words)
         # The low bits of attribute d add between 0 and 2**low - 1 times its weight.
-        span = int(np.abs(query).sum()) * ((1 << self.low) - 1)
+        span = sum(map(abs, query.tolist())) * ((1 << self.low) - 1)
         rows = best_rows(sums, self.others(query_id), k, -(-span >> self.low) + 1 if self.low else 0)
-        score = self.values[rows] @ query
+        score = self.scores(rows, query)
         order = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows][order], score[order]
 
@@ -169,7 +179,7 @@ def top_k(
     A row is no candidate for the query of its own id. Ties go to the smaller id. Null vectors and
     vectors with null or non-finite components take no part, nor do null ids; an empty
     vector takes no part either, and a vector of another length than the query's is no candidate.
-    Components are taken to be under 2**40 in size, so that scores fit a long. Repeated ids are separate candidates. Fewer rows
+    Scores are exact whatever the size of the components; one of a row looked at exactly that does not fit a long is an error. Repeated ids are separate candidates. Fewer rows
     than k give fewer ranks, empty tables none.
 
     ``low`` bits of each attribute are left to the exact step. Rows are dealt by hash to blocks of

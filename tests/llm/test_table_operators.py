@@ -61,6 +61,17 @@ def test_a_block_of_the_queried_id_alone_has_no_rows():
     assert len(block.search(1, np.ones(3, np.int64), 5)[0]) == 5
 
 
+def test_large_components():
+    """Scores beyond 2**63 in parts are right if the sum fits, and an error if it does not."""
+    values = np.array([[2**39, 2**38, 256], [2**38, 2**38, 256], [2**39, -(2**39), 5], [0, 0, 1]], np.int64)
+    block = topk.BitSlicedBlock(np.arange(4), values, 2)
+    query = np.array([2**39, 2**39, 1], np.int64)
+    with pytest.raises(OverflowError):
+        block.search(9, query, 1)
+    ids, scores = topk.BitSlicedBlock(np.arange(2, 4), values[2:], 2).search(9, query, 2)
+    assert (ids.tolist(), scores.tolist()) == ([2, 3], [5, 1])
+
+
 def test_bitmap_sums():
     rng = np.random.default_rng(3)
     values = rng.integers(-300, 300, (128, 5))
