@@ -40,8 +40,7 @@ def x3_items(s: Source):
     UNION ALL SELECT concat('f', CAST(p_partkey AS STRING)), 1, NULL, 'https://z.example/', NULL FROM part WHERE p_size % 3 = 0""",
 )
 def x3_links(s: Source):
-    items, links = payloads.feature_payload_items(s.sql(_json(_FEATURES)))
-    return links.join(items.select("feature_item_id", "feature_id"), "feature_item_id").select("feature_id", "link_order", "title", "url", "domain")
+    return payloads.feature_payload_items(s.sql(_json(_FEATURES)))[1].select("feature_id", "link_order", "title", "url", "domain")
 
 
 #: A part is the response of one job: metrics with two months, difficulties of two keywords, or ranked keywords; every eleventh failed.

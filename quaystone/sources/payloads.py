@@ -30,7 +30,7 @@ def feature_payload_items(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every member of the payload's ``items`` is a row in its order: a string is an item of type
     ``text``, an object without a type is ``unknown``, and so is a null. Links of an item are rows of the
-    second table. Ids are digests of the feature, the place, the type and the item. A payload that is no
+    second table, with their feature. Ids are digests of the feature, the place, the type and the item. A payload that is no
     JSON, or has no items, has no rows.
     """
     at = features.select("feature_id", "task_id", "group_id", "feature_type", F.try_parse_json("payload").alias("p_")).select("feature_id", "task_id", "group_id", "feature_type", _each("p_", "items").alias("item_order", "v_"))
@@ -39,8 +39,8 @@ def feature_payload_items(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = at.withColumn("item_type", kind).withColumn("payload", body)
     items = items.withColumn("feature_item_id", F.sha2(F.concat_ws("\n", "feature_id", "item_order", "item_type", "payload"), 256))
     fields = {"text": F.coalesce(_text(F.col("v_")), _get("v_", "text"))} | {n: _get("v_", n) for n in ("title", "alt", "source", "url", "image_url")} | {"published_at": _get("v_", "timestamp")}
-    links = items.select("feature_item_id", _each("v_", "links").alias("link_order", "l_"))
-    links = links.select("feature_item_id", "link_order", *(_get("l_", n).alias(n) for n in ("title", "url", "domain", "description")), F.to_json("l_").alias("payload"))
+    links = items.select("feature_id", "feature_item_id", _each("v_", "links").alias("link_order", "l_"))
+    links = links.select("feature_id", "feature_item_id", "link_order", *(_get("l_", n).alias(n) for n in ("title", "url", "domain", "description")), F.to_json("l_").alias("payload"))
     links = links.withColumn("link_id", F.sha2(F.concat_ws("\n", "feature_item_id", "link_order", "payload"), 256))
     return items.select("feature_item_id", "feature_id", "task_id", "group_id", "feature_type", "item_order", "item_type", *(c.alias(n) for n, c in fields.items()), "payload"), links
 
