@@ -6,7 +6,10 @@ Complete linkage merges all pairs of clusters that are the best of both in round
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quaystone.operators.components import connected_components
@@ -113,30 +116,41 @@ def token_components(rows: DataFrame, id_col: str, token: str) -> DataFrame:
 
 
 def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float = 0.4) -> DataFrame:
-    """Per group, best pair first, each side used once; a pair must reach ``least``."""
+    """Per group, best pair first, each side used once; a pair must reach ``least``.
+
+    Pairs that do not reach it never leave Spark. The others are sorted within their partition and read as a stream: a task holds
+    a batch and the sides that are used, never the pairs of a group.
+    """
+    p = pairs.select(group, left, right, score).where(F.col(score) >= least)
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[score] >= least].sort_values([score, left, right], ascending=[False, True, True])
-        seen_l, seen_r, keep = set(), set(), []
-        for i, l, r in zip(pdf.index, pdf[left], pdf[right]):
-            if l not in seen_l and r not in seen_r:
-                seen_l.add(l)
-                seen_r.add(r)
-                keep.append(i)
-        return pdf.loc[keep]
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen_l, seen_r = (), set(), set()
+        for pdf in batches:
+            keep = []
+            for i, (g, l, r) in enumerate(zip(pdf[group], pdf[left], pdf[right])):
+                g = None if g != g else g
+                if g != now:
+                    now, seen_l, seen_r = g, set(), set()
+                if l not in seen_l and r not in seen_r:
+                    seen_l.add(l)
+                    seen_r.add(r)
+                    keep.append(i)
+            yield pdf.iloc[keep]
 
-    p = pairs.select(group, left, right, score)
-    return p.groupBy(group).applyInPandas(choose, p.schema)
+    return p.repartition(F.col(group)).sortWithinPartitions(group, F.desc(score), left, right).mapInPandas(choose, p.schema)
 
 
 def dependency_order(edges: DataFrame, story: str, before: str, after: str) -> DataFrame:
-    """Per story the topological order of its steps, the smallest id first among those that are free; a cycle is an error."""
+    """Per story the topological order of its steps, the smallest id first among those that are free; a cycle is an error.
+
+    A story is a row of its distinct edges, so that small stories come to Python many at a time.
+    """
     import heapq
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = set(pdf[before]) | set(pdf[after])
-        waits, then = {n: 0 for n in nodes}, {n: [] for n in nodes}
-        for a, b in set(zip(pdf[before], pdf[after])):
+    def order(firsts: list, seconds: list) -> list:
+        nodes = {*firsts, *seconds}
+        waits, then = dict.fromkeys(nodes, 0), {n: [] for n in nodes}
+        for a, b in zip(firsts, seconds):
             waits[b] += 1
             then[a].append(b)
         free, out = [n for n in nodes if not waits[n]], []
@@ -149,10 +163,18 @@ def dependency_order(edges: DataFrame, story: str, before: str, after: str) -> D
                     heapq.heappush(free, b)
         if len(out) < len(nodes):
             raise ValueError("the steps depend on each other in a cycle")
-        return pd.DataFrame({story: pdf[story].iloc[0], "step": out, "position": range(1, len(out) + 1)})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders = [order(a, b) for a, b in zip(batch.column("a_").to_pylist(), batch.column("b_").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("story_"), pa.array(orders, batch.schema.field("a_").type)], names=["story_", "steps_"])
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    return edges.groupBy(story).applyInPandas(order, f"{story} {kinds[story]}, step {kinds[before]}, position long")
+    e = F.collect_set(F.struct(F.col(before).alias("a"), F.col(after).alias("b")))
+    rows = edges.groupBy(F.col(story).alias("story_")).agg(e.alias("e_")).select("story_", F.col("e_.a").alias("a_"), F.col("e_.b").alias("b_"))
+    orders = rows.mapInArrow(run, f"story_ {kinds[story]}, steps_ array<{kinds[before]}>")
+    return orders.select(F.col("story_").alias(story), F.posexplode("steps_").alias("position", "step")).select(story, "step", (F.col("position") + 1).cast("long").alias("position"))
 
 
 def survivors(scores: DataFrame, pair: str, candidate: str, margin: float = 0.05) -> DataFrame:
