@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quaystone.operators.components import connected_components
+from quaystone.operators.graph import overlap_grades, result_classes
 from quaystone.plans.storage import drop_table, materialise
 
 
@@ -99,6 +100,22 @@ def complete_link(edges: DataFrame, left: str, right: str, ratio: str, local: in
     return labels
 
 
+def task_groups(edges: DataFrame, depth: int = 5) -> DataFrame:
+    """G2 over tasks: (node, cluster) by :func:`complete_link` over the high and possible grades of :func:`overlap_grades`.
+
+    Tasks of a site with the same results have the same pairs, and the largest ratio between them, so greedy order always
+    puts them into one cluster. Of each class its smallest task stands for all, whose pairs come before those of the others;
+    pairs between copies are never made.
+    """
+    e = materialise(edges.where(F.col("rank") <= depth).select("task_id", "site_id", "rank", "url"), "results")
+    classes = materialise(result_classes(e, depth), "classes")
+    grades = overlap_grades(e.join(classes.where("task_id = first").select("task_id"), "task_id", "left_semi"), depth).where("grade IN ('high', 'possible')")
+    found = complete_link(grades, "left_id", "right_id", "ratio").withColumnRenamed("node", "first")
+    copied = classes.groupBy("first").count().where("count > 1").select("first", F.col("first").alias("own_"))
+    homes = found.join(copied, "first", "full").select("first", F.coalesce("cluster", "own_").alias("cluster"))
+    return classes.join(homes, "first").select(F.col("task_id").alias("node"), "cluster")
+
+
 def keyword_groups(keywords: DataFrame, clusters: DataFrame, is_modifier: str) -> DataFrame:
     """Per cluster the main keyword: the largest volume among those that are no modifiers (ties to the smaller id); a cluster of modifiers alone is unresolved. Keywords without a cluster are groups of one."""
     k = keywords.join(clusters, keywords["id"] == clusters["node"], "left").withColumn("cluster", F.coalesce("cluster", "id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaystone.operators import cluster, graph, html, matching, outline
+from quaystone.operators import cluster, html, matching, outline
 from quaystone.plans.catalog import Source, query
 from quaystone.plans.storage import new_path
 from quaystone.sources import readers, writers
@@ -18,7 +18,7 @@ def g4(s: Source):
 
 
 def _clusters(s: Source):
-    return cluster.complete_link(graph.overlap_grades(s.edges).where("grade IN ('high', 'possible')"), "left_id", "right_id", "ratio")
+    return cluster.task_groups(s.edges)
 
 
 @query("G2_complete_link")

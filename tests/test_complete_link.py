@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quaystone.operators import cluster
+from quaystone.operators import cluster, graph
 
 
 def greedy(edges):
@@ -42,3 +42,19 @@ def test_chain_and_nothing(spark):
     chain = [(i, i + 1, 0.5) for i in range(7)]
     assert clusters(spark, chain, local=0) == greedy(chain)
     assert clusters(spark, []) == {}
+
+
+def test_copies_of_tasks(spark, monkeypatch):
+    rnd, rows = random.Random(3), []
+    for t in range(60):
+        urls = [*"abcde"] if t % 3 == 0 else rnd.sample("abcdefgh", 4 if t % 11 == 0 else 5)
+        rows += [(t, None if t % 17 == 0 else t % 2, i + 1, u) for i, u in enumerate(urls)]
+    edges = spark.createDataFrame(rows, "task_id long, site_id long, rank long, url string")
+    pairs = graph.overlap_grades(edges).where("grade IN ('high', 'possible')").select("left_id", "right_id", "ratio")
+    made, link = [], cluster.complete_link
+    monkeypatch.setattr(cluster, "complete_link", lambda e, *a: link(made.append(e) or e, *a))
+    got = {r.node: r.cluster for r in cluster.task_groups(edges).collect()}
+    assert got == greedy([tuple(r) for r in pairs.collect()])
+    classes = {(s, frozenset(u for t_, _, _, u in rows if t_ == t)) for t, s, _, _ in rows}
+    ends = {n for r in made[0].collect() for n in (r.left_id, r.right_id)}
+    assert len(ends) <= len(classes) < 45
