@@ -1,16 +1,19 @@
 """Directed graphs of questions and demand: nodes on cycles, least depths, and visiting orders.
 
-Everything but the visiting orders is done in rounds of joins over the edge table; a round's result is
-a table, and the one before it is deleted. No node's neighbours are gathered in one task.
+Parts of a graph with few edges are walked through in tasks, each part read from a sorted stream. Larger ones are done in
+rounds of joins over the edge table; a round's result is a table, and the one before it is deleted. No node's neighbours are gathered in one task there.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
+from quaystone.operators.components import connected_components
 from quaystone.plans.storage import drop_table, materialise
 
 
@@ -94,6 +97,111 @@ def least_depths(edges: DataFrame, source: str, target: str) -> DataFrame:
     return found
 
 
+def _walked(sources: list, targets: list) -> dict:
+    """node: (depth, cyclic) of one part: strongly connected components by Tarjan's stack, least depths breadth first; see :func:`cycle_depths`."""
+    then: dict = {}
+    inner, looped = set(), set()
+    for a, b in zip(sources, targets):
+        then.setdefault(b, [])
+        if a == b:
+            looped.add(a)
+            then.setdefault(a, [])
+        else:
+            then.setdefault(a, []).append(b)
+            inner.add(b)
+    depth = {n: 0 for n, t in then.items() if t and n not in inner}
+    line = deque(depth)
+    while line:
+        n = line.popleft()
+        for t in then[n]:
+            if t not in depth:
+                depth[t] = depth[n] + 1
+                line.append(t)
+    place, low, stack, on = {}, {}, [], set()
+    for start in then:
+        if start in place:
+            continue
+        calls = [(start, iter(then[start]))]
+        place[start] = low[start] = len(place)
+        stack.append(start)
+        on.add(start)
+        while calls:
+            n, rest = calls[-1]
+            t = next(rest, None)
+            if t is None:
+                calls.pop()
+                if calls:
+                    low[calls[-1][0]] = min(low[calls[-1][0]], low[n])
+                if low[n] == place[n]:
+                    part = [stack.pop()]
+                    while part[-1] != n:
+                        part.append(stack.pop())
+                    on.difference_update(part)
+                    if len(part) > 1:
+                        looped.update(part)
+            elif t not in place:
+                place[t] = low[t] = len(place)
+                stack.append(t)
+                on.add(t)
+                calls.append((t, iter(then[t])))
+            elif t in on:
+                low[n] = min(low[n], place[t])
+    return {n: (depth.get(n), n in looped) for n in then}
+
+
+def cycle_depths(edges: DataFrame, source: str, target: str, within: list[str] | None = None, local: int = 20_000) -> DataFrame:
+    """(``within``, node, depth long, cycle_detected) for each node of an edge: :func:`least_depths` (null if no node without parents leads there) and :func:`cyclic_nodes`.
+
+    No edge leaves the part that the columns ``within`` name; without them, parts are the connected
+    components. Parts of at most ``local`` distinct edges are walked through in tasks, the others go in rounds.
+    """
+    at, keys = within or [], [f"w{i}_" for i in range(len(within or [0]))]
+    e = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(at, keys)), F.col(source).alias("s"), F.col(target).alias("t")).distinct()
+    if not at:
+        e = materialise(e, "edges")
+        part = connected_components(e, "s", "t").select(F.col("node").alias("s"), F.col("component").alias("of_"))
+        e = e.join(part, "s", "left").select(F.coalesce("of_", "s").alias(keys[0]), "s", "t")
+    e = materialise(e, "edges")
+    large = materialise(e.groupBy(*keys).count().where(F.col("count") > local).select(*(F.col(k).alias(f"x{k}") for k in keys)), "large")
+    out = [*keys, "node", "depth", "cycle_detected"]
+    kinds = dict(e.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ends, rows, types = None, ([], []), [], None
+
+        def full() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=out)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            types = [*(batch.schema.field(k).type for k in keys), batch.schema.field("s").type, pa.int64(), pa.bool_()]
+            for *part, s, t in zip(*(batch.column(c).to_pylist() for c in (*keys, "s", "t"))):
+                if part != now:
+                    rows += [(*now, n, *x) for n, x in _walked(*ends).items()] if now is not None else []
+                    if len(rows) >= 4096:
+                        yield full()
+                    now, ends = part, ([], [])
+                ends[0].append(s)
+                ends[1].append(t)
+        rows += [(*now, n, *x) for n, x in _walked(*ends).items()] if now is not None else []
+        if rows:
+            yield full()
+
+    any_large = large.limit(1).count() > 0
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"x{k}")) for k in keys))
+    here = e.join(large, same, "left_anti") if any_large else e
+    found = here.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", node {kinds['s']}, depth long, cycle_detected boolean")
+    if any_large:
+        # Every key is a field of the node, so that equal names in different parts are different nodes.
+        there = materialise(e.join(large, same, "left_semi").select(*(F.struct(*keys, F.col(c).alias("node")).alias(c) for c in "st")), "edges")
+        nodes = there.select(F.explode(F.array("s", "t")).alias("node")).distinct()
+        cyclic = cyclic_nodes(there, "s", "t").withColumn("cycle_detected", F.lit(True))
+        more = nodes.join(least_depths(there, "s", "t"), "node", "left").join(cyclic, "node", "left").na.fill(False, ["cycle_detected"])
+        found = found.unionByName(more.select("node.*", "depth", "cycle_detected"))
+    return materialise(found.select(*(F.col(k).alias(c) for c, k in zip(at, keys)), "node", "depth", "cycle_detected"), "depths")
+
+
 def _plain(text: Column) -> Column:
     """One spelling of a question: lower case, single spaces, an ASCII question mark; null if nothing is left."""
     c = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "？", "?"), r"\s+", " "))
@@ -115,8 +223,7 @@ def question_hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     shown = r.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("occurrences"))
     out = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"))
     into = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
-    cyclic = cyclic_nodes(edges, "parent", "child").withColumn("cycle_detected", F.lit(True))
-    nodes = shown.join(out, "node", "full").join(into, "node", "full").join(least_depths(edges, "parent", "child"), "node", "left").join(cyclic, "node", "left")
+    nodes = shown.join(out, "node", "full").join(into, "node", "full").join(cycle_depths(edges, "parent", "child"), "node", "left")
     nodes = nodes.na.fill(0, ["occurrences", "out_degree", "in_degree"]).na.fill(False, ["cycle_detected"])
     nodes = nodes.withColumn("depth", F.when((F.col("in_degree") == 0) & F.col("depth").isNull(), 0).otherwise(F.col("depth")))
     fine = (F.col("depth") > 0) & ~F.col("cycle_detected") & (F.col("in_degree") < 2)
@@ -152,8 +259,7 @@ def demand_traversal(rows: DataFrame, max_depth: int = 2) -> tuple[DataFrame, Da
     nodes = ends.groupBy(*at, "node").agg(F.min("depth").alias("depth"), F.count_distinct("occurrence_id").alias("occurrences"), F.min("first").alias("first"))
     into = r.groupBy(*at, F.col("child").alias("node")).agg(F.count_distinct("parent").alias("parents"))
     out = r.groupBy(*at, F.col("parent").alias("node")).agg(F.count_distinct("child").alias("children"))
-    whole = F.struct("site_id", "group_id", F.col("parent").alias("node")), F.struct("site_id", "group_id", F.col("child").alias("node"))
-    cyclic = cyclic_nodes(r.select(whole[0].alias("a"), whole[1].alias("b")), "a", "b").select("node.*").withColumn("cycle_detected", F.lit(True))
+    cyclic = cycle_depths(r, "parent", "child", at).where("cycle_detected").drop("depth")
     key = [*at, "node"]
     nodes = nodes.join(into, key, "left").join(out, key, "left").join(cyclic, key, "left").na.fill(0, ["parents", "children"]).na.fill(False, ["cycle_detected"])
     several = F.col("parents") > 1
@@ -166,48 +272,78 @@ def visiting_orders(nodes: DataFrame, edges: DataFrame, max_depth: int = 2) -> D
     A node is visited once, from the parent that comes to it first; of several roots or children the
     one that occurred first is taken first (depth first: the last root first, as a stack gives them).
     Nodes that no root leads to start anew, in the order of their first occurrence. An order is
-    sequential by definition, so a keyword group is one task; only its distinct edges get there.
+    sequential by definition, so a keyword group is in one task, which reads its sorted nodes and
+    distinct edges as a stream and holds one group at a time.
     """
     at = ["site_id", "group_id"]
+    names = [*at, "strategy", "visit_order", "node", "depth", "path"]
 
-    def orders(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        places = {n: i for i, n in enumerate(left.sort_values("rank_")["node"])}
-        depth = dict(zip(left["node"], left["depth"]))
-        children: dict[str, list[str]] = {}
-        for p, c in zip(*(right.sort_values("rank_")[k] for k in ("parent", "child"))):
-            children.setdefault(p, []).append(c)
-        inner = set(right["child"])
-        rows = []
+    def orders(depth: dict, children: dict, inner: set) -> Iterator[tuple]:
         for strategy in ("breadth_first", "depth_first"):
-            pending = [(n, int(depth[n]), [n]) for n in places if n not in inner]
+            pending = deque((n, d, [n]) for n, d in depth.items() if n not in inner)
             planned, seen, at_ = {n for n, _, _ in pending}, set(), 0
-            rest = iter(places)
+            rest = iter(depth)
+            take = pending.pop if strategy == "depth_first" else pending.popleft
             while True:
                 if not pending:
                     node = next((n for n in rest if n not in seen), None)
                     if node is None:
                         break
-                    pending, planned = [(node, int(depth[node]), [node])], planned | {node}
-                node, d, path = pending.pop(-1 if strategy == "depth_first" else 0)
+                    pending.append((node, depth[node], [node]))
+                    planned.add(node)
+                node, d, path = take()
                 if node in seen:
                     continue
                 seen.add(node)
                 if d > max_depth:
                     continue
-                rows.append((left["site_id"].iloc[0], left["group_id"].iloc[0], strategy, at_, node, d, path))
+                yield strategy, at_, node, d, path
                 at_ += 1
                 following = [c for c in children.get(node, ()) if c not in seen] if d < max_depth else []
                 for c in reversed(following) if strategy == "depth_first" else following:
                     if c not in planned:
                         planned.add(c)
                         pending.append((c, d + 1, [*path, c]))
-        return pd.DataFrame(rows, columns=[*at, "strategy", "visit_order", "node", "depth", "path"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, graph, rows, types = None, ({}, {}, set()), [], None
+
+        def full() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string())]
+            for site, group, kind, end, parent, d in zip(*(batch.column(c).to_pylist() for c in (*at, "kind_", "end_", "parent_", "depth_"))):
+                if (site, group) != now:
+                    if now is not None:
+                        for row in orders(*graph):
+                            rows.append((*now, *row))
+                            if len(rows) >= 4096:
+                                yield full()
+                    now, graph = (site, group), ({}, {}, set())
+                depth, children, inner = graph
+                if kind == 0:
+                    depth[end] = d
+                else:
+                    children.setdefault(parent, []).append(end)
+                    inner.add(end)
+        if now is not None:
+            for row in orders(*graph):
+                rows.append((*now, *row))
+                if len(rows) >= 4096:
+                    yield full()
+        if rows:
+            yield full()
 
     kinds = dict(nodes.dtypes)
     schema = f"site_id {kinds['site_id']}, group_id {kinds['group_id']}, strategy string, visit_order long, node string, depth long, path array<string>"
-    n = nodes.select(*at, "node", "depth", F.row_number().over(Window.partitionBy(*at).orderBy("first", "node")).alias("rank_"))
-    e = edges.select(*at, "parent", "child", F.row_number().over(Window.partitionBy(*at).orderBy("first", "child", "parent", "demand_type")).alias("rank_")).toDF("site_", "group_", "parent", "child", "rank_")
-    return n.groupBy(*at).cogroup(e.groupBy("site_", "group_")).applyInPandas(orders, schema)
+    nothing = F.lit(None).cast("string")
+    n = nodes.select(*at, F.lit(0).alias("kind_"), "first", F.col("node").alias("end_"), nothing.alias("parent_"), nothing.alias("type_"), F.col("depth").cast("long").alias("depth_"))
+    e = edges.select(*at, F.lit(1).alias("kind_"), "first", F.col("child").alias("end_"), F.col("parent").alias("parent_"), F.col("demand_type").alias("type_"), F.lit(None).cast("long").alias("depth_"))
+    lines = n.unionByName(e).repartition(*at).sortWithinPartitions(*at, "kind_", "first", "end_", "parent_", "type_")
+    return lines.select(*at, "kind_", "end_", "parent_", "depth_").mapInArrow(run, schema)
 
 
 def first_divergence(orders: DataFrame) -> DataFrame:

@@ -90,3 +90,43 @@ def test_demand(spark):
     assert [tuple(r) for r in apart] == [(1, 1, 2, "demand:b", "demand:c")]
     with pytest.raises(ValueError):
         hierarchy.demand_traversal(df, 3)
+
+
+@pytest.mark.parametrize("local", [0, 6, 20_000])
+def test_parts_in_tasks_and_in_rounds(spark, local):
+    rnd = random.Random(8)
+    edges = [(b, rnd.randrange(7), rnd.randrange(7)) for b in range(6) for _ in range(rnd.randrange(2, 12))]
+    df = spark.createDataFrame([*edges, (None, 1, 2), (None, 2, 1), (9, None, 1)], "part long, a long, b long")
+    edges += [(None, 1, 2), (None, 2, 1)]
+    want = {}
+    for part in {p for p, _, _ in edges}:
+        own = [(a, b) for p, a, b in edges if p == part]
+        plain = [(a, b) for a, b in own if a != b]
+        depth, level = {a: 0 for a, _ in plain if a not in {b for _, b in plain}}, 0
+        while new := {b for a, b in plain if depth.get(a) == level and b not in depth}:
+            level += 1
+            depth |= dict.fromkeys(new, level)
+        want |= {(part, n): (depth.get(n), n in reachable(own, n)) for e in own for n in e}
+    got = hierarchy.cycle_depths(df, "a", "b", ["part"], local).collect()
+    assert {(r.part, r.node): (r.depth, r.cycle_detected) for r in got} == want and len(got) == len(want)
+    apart = df.where("part IS NOT NULL").selectExpr("part * 10 + a AS a", "part * 10 + b AS b")
+    got = hierarchy.cycle_depths(apart, "a", "b", None, local).collect()
+    assert {r.node: (r.depth, r.cycle_detected) for r in got} == {p * 10 + n: v for (p, n), v in want.items() if p is not None}
+
+
+def test_small_groups_need_no_rounds(spark, monkeypatch):
+    for name in ("cyclic_nodes", "least_depths"):
+        monkeypatch.setattr(hierarchy, name, lambda *_: pytest.fail("rounds for a small graph"))
+    rows = [(1, "a", "b"), (1, "b", "c"), (2, "c", "b")]
+    nodes, _ = hierarchy.question_hierarchy(spark.createDataFrame(rows, "task_id long, seed_question string, question string"))
+    assert {r.node: (r.depth, r.cycle_detected) for r in nodes.collect()} == {"a": (0, False), "b": (1, True), "c": (2, True)}
+
+
+def test_an_order_of_very_many_roots(spark):
+    n = 30_000
+    nodes = spark.range(n).selectExpr("1L AS site_id", "1L AS group_id", "concat('n', id) AS node", "1L AS depth", "id AS first")
+    edges = nodes.selectExpr("site_id", "group_id", "node AS parent", "concat('n', CASE WHEN first % 2 = 0 THEN first + 1 ELSE first - 1 END) AS child", "'x' AS demand_type", "first")
+    orders = hierarchy.visiting_orders(nodes, edges, 2)
+    assert "CoGroups" not in orders._jdf.queryExecution().toString()  # a stream of sorted groups, none by itself
+    got = orders.where("strategy = 'breadth_first'").collect()
+    assert [(r.visit_order, r.node, r.depth, len(r.path)) for r in got] == [(i, f"n{i}", 1 + i % 2, 1 + i % 2) for i in range(n)]
