@@ -2,14 +2,14 @@
 
 Distinct vectors are dealt by hash to blocks of bounded size; each block grows its own forest over
 all its rows. A tree splits by the hyperplane between two rows picked at random. A query descends
-all trees of the forest at once through one shared priority queue, ordered by the smallest margin
-on the way: the most promising leaf of any tree is opened next, until enough candidates are
+all trees of the forest at once, level by level, and the leaves of all trees are ordered by the largest margin
+against the query on the way: the most promising leaf of any tree is opened next, until enough candidates are
 gathered. These are ranked again by exact cosines. The blocks' best are merged.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,7 @@ class Forest:
         self.roots = [self._grow(np.arange(len(unit))) for _ in range(trees)]
         self.normals = np.stack(self.planes) if self.planes else np.zeros((0, unit.shape[1]), np.float32)
         self.shifts = np.asarray(self.offsets, np.float32)
+        self._walk()
 
     def _grow(self, rows: np.ndarray) -> int:
         """Depth is logarithmic: a split that leaves one side under a tenth falls back to the median."""
@@ -68,55 +69,63 @@ class Forest:
         self.low[at], self.high[at] = self._grow(rows[~right]), self._grow(rows[right])
         return at
 
-    def candidates(self, query: np.ndarray, k: int, most: int, every: int = 128) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the leaves opened, most promising first, and their cosines in single precision.
-
-        It ends when ``most`` distinct rows are in, or earlier when every branch left in any tree
-        lies beyond a hyperplane that is farther away than the k-th nearest row found: then no row
-        that is left is nearer. Rows are looked at when ``every`` have been gathered from leaves.
+    def _walk(self) -> None:
+        """Levels of all trees from the roots down, for :meth:`reached`, and the leaf that each row is in, tree by tree."""
+        self.levels, level = [], np.asarray(self.roots, np.int64)
+        low, high = np.asarray(self.low, np.int64), np.asarray(self.high, np.int64)
+        inner = level[level >= 0]
+        while len(inner):
+            self.levels.append((inner, low[inner], high[inner]))
+            below = np.concatenate([low[inner], high[inner]])
+            inner = below[below >= 0]
+        self.of = np.empty((len(self.roots), len(self.unit)), np.int64)
+        tree = 0
+        filled = 0
+        for i, rows in enumerate(self.leaves):
+            self.of[tree, rows] = i
+            filled += len(rows)
+            if filled == len(self.unit):
+                tree, filled = tree + 1, 0
+
+    def reached(self, margins: np.ndarray) -> np.ndarray:
+        """For each row the smallest cost of a leaf that holds it in any tree: the largest margin by which the way to that leaf leaves the query's side."""
+        nodes, leaves = np.zeros(len(self.planes), np.float32), np.zeros(len(self.leaves), np.float32)
+        for at, low, high in self.levels:
+            m, cost = margins[at], nodes[at]
+            for child, far in ((low, m), (high, -m)):
+                c = np.maximum(cost, far)
+                inner = child >= 0
+                nodes[child[inner]] = c[inner]
+                leaves[-1 - child[~inner]] = c[~inner]
+        best = leaves[self.of[0]]
+        for of in self.of[1:]:
+            np.minimum(best, leaves[of], out=best)
+        return best
+
+    def margins(self, queries: np.ndarray, batch: int = 64) -> Iterator[np.ndarray]:
+        """For each query its distances from all planes, a batch in one product."""
+        for start in range(0, len(queries), batch):
+            yield from queries[start : start + batch].astype(np.float32) @ self.normals.T - self.shifts
+
+    def candidates(self, query: np.ndarray, k: int, most: int, margins: np.ndarray | None = None, first: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the leaves opened, most promising first over all trees, and their cosines in single precision.
+
+        Leaves are opened in the order of their costs, so a row is in by the cheapest leaf that holds it.
+        It ends with the leaf that brings ``most`` distinct rows in, or earlier when every leaf left in any
+        tree lies beyond a hyperplane that is farther away than the k-th nearest of the ``first`` rows: then no row
+        that is left is nearer. Rows that are equally promising come in together.
         """
-        query = query.astype(np.float32)
-        margins = (self.normals @ query - self.shifts).tolist()
-        low, high, leaves, push, pop = self.low, self.high, self.leaves, heapq.heappush, heapq.heappop
-        heap = [(0.0, root) for root in self.roots]
-        seen, n, reach = np.zeros(len(self.unit), bool), 0, np.inf
-        rows, cosines, best = [], [], np.empty(0, np.float32)
-        open_, waiting = [], 0
-        while heap and n < most:
-            cost, at = pop(heap)
-            done = cost > reach
-            if not done:
-                while at >= 0:
-                    margin = margins[at]
-                    if margin > 0:
-                        near, far = high[at], low[at]
-                    else:
-                        near, far, margin = low[at], high[at], -margin
-                    push(heap, (margin if margin > cost else cost, far))
-                    at = near
-                open_.append(leaves[-1 - at])
-                waiting += len(open_[-1])
-                if waiting < every and waiting < most - n and heap:
-                    continue
-            if open_:
-                fresh = np.concatenate(open_)
-                fresh = np.unique(fresh[~seen[fresh]])
-                open_, waiting = [], 0
-                if len(fresh):
-                    seen[fresh] = True
-                    n += len(fresh)
-                    near_ = self.unit[fresh] @ query
-                    rows.append(fresh)
-                    cosines.append(near_)
-                    best = np.concatenate([best, near_])
-                    if len(best) >= k:  # of unit vectors, squared distance is 2 - 2 cosine; single precision is given its room
-                        best = np.partition(best, -k)[-k:]
-                        reach = max(0.0, 2 - 2 * float(best.min()) + 1e-5) ** 0.5 + 1e-5
-            if done:
-                break
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0, np.float32)
-        return np.concatenate(rows), np.concatenate(cosines)
+        query, n = query.astype(np.float32), len(self.unit)
+        cost = self.reached(self.normals @ query - self.shifts if margins is None else margins)
+        limit = np.partition(cost, most - 1)[most - 1] if most < n else np.inf
+        few = np.flatnonzero(cost <= np.partition(cost, first - 1)[first - 1]) if first < n else np.arange(n)
+        if len(few) >= k:  # of unit vectors, squared distance is 2 - 2 cosine; single precision is given its room
+            kth = np.partition(self.unit[few] @ query, -k)[-k]
+            limit = min(limit, max(0.0, 2 - 2 * float(kth) + 1e-5) ** 0.5 + 1e-5)
+        opened = cost <= limit
+        opened[few] = True
+        rows = np.flatnonzero(opened)
+        return rows, self.unit[rows] @ query
 
 
 def nearest(
@@ -153,10 +162,10 @@ def nearest(
             norms = np.sqrt((values * values).sum(axis=1))
             ids = left["ids_"].to_numpy()
             forest = Forest(values / norms[:, None], trees, leaf, 7)
-            for qid, v in zip(right["id_"].tolist(), right["v_"]):
-                v = np.asarray(v, np.float64)
-                size = np.sqrt((v * v).sum())
-                found, near = forest.candidates(v / size, k + 1, max(int(share * len(values)), k + 1))
+            asked_ = np.stack(right["v_"].to_numpy()).astype(np.float64)
+            sizes = np.sqrt((asked_ * asked_).sum(axis=1))
+            for qid, v, size, margins in zip(right["id_"].tolist(), asked_, sizes, forest.margins(asked_ / sizes[:, None])):
+                found, near = forest.candidates(v / size, k + 1, max(int(share * len(values)), k + 1), margins)
                 # All that single precision cannot tell from the k + 1 best are ranked again.
                 best = found[near >= np.partition(near, -min(len(near), k + 1))[-min(len(near), k + 1)] - 1e-5]
                 exact = (values[best] * v).sum(axis=1) / (norms[best] * size)

@@ -122,6 +122,27 @@ def test_search_ends_where_no_nearer_row_is_left():
     assert hit == 6 * 40 and np.mean(share) < 0.25, np.mean(share)
 
 
+def test_leaf_costs_of_all_trees():
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(300, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    forest = ann.Forest(unit, 4, 8, 7)
+    queries = rng.normal(size=(5, 8))
+    for query, margins in zip(queries, forest.margins(queries, 2)):
+        want = np.full(300, np.inf)
+        todo = [(root, 0.0) for root in forest.roots]
+        while todo:
+            at, cost = todo.pop()
+            if at < 0:
+                want[forest.leaves[-1 - at]] = np.minimum(want[forest.leaves[-1 - at]], cost)
+            else:
+                m = float(query @ forest.planes[at]) - forest.offsets[at]
+                todo += [(forest.high[at], max(cost, -m)), (forest.low[at], max(cost, m))]
+        assert np.allclose(forest.reached(margins), want, atol=1e-5)
+        found, _ = forest.candidates(query, 6, 165, margins)
+        assert len(found) >= 128 and want[found].max() <= np.sort(want)[len(found) - 1] + 1e-5
+
+
 def brute_groups(rows):
     sets, up = {}, {}
     for i, t in rows:
