@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quaystone.functions.text import GENERIC, compact, tokens
+from quaystone.plans.storage import materialise
 
 
 def keyword_coverage(content: DataFrame, wanted: DataFrame, on: str, content_id: str, group_id: str, keyword: str, text_col: str) -> DataFrame:
@@ -20,15 +21,38 @@ def document_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
 
 
+def page_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """X11: (id, term, count): how often an id has each token.
+
+    The tokens of a text are sorted and counted within its row, so that no task holds the terms of many texts. Only ids with several rows are added up afterwards.
+    """
+    counted = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows_")).where("rows_ > 1").select(F.col(id_col).alias("repeated_"))
+    repeated = materialise(counted, "repeated_ids")
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+        each = F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.element_at(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t) + 1) - i).cast("bigint").alias("count"))))[0]
+        return F.when(F.size(t) > 0, each)
+
+    def rows(d: DataFrame) -> DataFrame:
+        return d.select(id_col, F.explode(F.transform(F.array(F.array_sort(tokens(F.col(text_col)))), runs)[0]).alias("x")).select(id_col, "x.term", "x.count")
+
+    if repeated.isEmpty():
+        return rows(docs)
+    same = F.col(id_col).eqNullSafe(F.col("repeated_"))
+    several = rows(docs.join(repeated, same, "left_semi")).groupBy(id_col, "term").agg(F.sum("count").alias("count"))
+    return rows(docs.join(repeated, same, "left_anti")).unionByName(several)
+
+
 def term_weights(pages: DataFrame, min_pages: int = 2) -> DataFrame:
-    """A10: terms on at least ``min_pages`` pages, from (page_id, term, count, in_title, in_heading, rank).
+    """A10: terms on at least ``min_pages`` pages, from (page_id, term, count, in_title, in_heading, rank), one row for a page and term.
 
     The score of a page is 1 + ln(1 + count) + 3 in the title + 2 in a heading + a quarter of the rank's distance below 4.
     """
     score = 1 + F.log1p("count") + 3 * F.col("in_title") + 2 * F.col("in_heading") + 0.25 * F.greatest(F.lit(0), 4 - F.col("rank"))
     return (
         pages.groupBy("term")
-        .agg(F.count_distinct("page_id").alias("page_count"), F.sum("count").alias("total_count"), F.sum("in_title").alias("title_pages"), F.sum("in_heading").alias("heading_pages"), F.round(F.sum(score), 6).alias("weight"))
+        .agg(F.count(F.lit(1)).alias("page_count"), F.sum("count").alias("total_count"), F.sum("in_title").alias("title_pages"), F.sum("in_heading").alias("heading_pages"), F.round(F.sum(score), 6).alias("weight"))
         .where(F.col("page_count") >= min_pages)
     )
 
