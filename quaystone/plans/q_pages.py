@@ -218,16 +218,21 @@ def s2(s: Source):
     return readers.quoted_csv(s.spark, path, "conv_id long, turn long, text string")
 
 
-def _event_stream(s: Source):
-    """The events as a stream of files, a file for each stretch of days."""
+def _event_stream(s: Source, rows_per_file: int = 250_000):
+    """The events as a stream of files, in batches that are a stretch of days each."""
     path = new_path(s.spark, "event-stream")
     e = s.events.withColumn("ts", F.col("ts").cast("timestamp"))
     # Files are read in the order in which they were written, so each stretch is written after the one before.
     low, high = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     stretch = F.least(F.lit(3), F.floor((F.unix_micros("ts") - low) * 4 / max(1, high - low)))
+    sizes = {r.i: r["count"] for r in e.groupBy(stretch.alias("i")).count().collect()}
+    held = [sizes[i] for i in range(4) if i in sizes]
+    # All stretches have this number of files, none of them empty: rows are dealt in turn, and the smallest stretch has rows_per_file for each. So a batch of as many files is a stretch.
+    files = max(1, min(held, default=0) // rows_per_file)
     for i in range(4):
-        e.where(stretch == i).coalesce(1).write.mode("append").parquet(path)
-    return streams.replay(s.spark, path, e.schema, 1)
+        part = e.where(stretch == i)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.option("maxRecordsPerFile", 0).mode("append").parquet(path)
+    return streams.replay(s.spark, path, e.schema, files)
 
 
 @query("T13_ingest_once", "SELECT event_id, user_id FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,14 +41,15 @@ class AppearanceTracker(StatefulProcessor):
 
     A snapshot is a stretch of ``width_ms`` of event time. It is closed by a timer at its end, when the
     watermark has got there; rows of one snapshot may come in any number of batches until then. A key
-    that has had no snapshot for ``keep`` stretches is forgotten.
+    that has had no snapshot for ``keep`` stretches is forgotten. Members are kept as the JSON text of
+    their sorted list, as arrays would go through the state's channel element by element.
     """
 
     def __init__(self, member: str, keys: list[str], width_ms: int, keep: int):
         self.member, self.keys, self.width_ms, self.keep = member, keys, width_ms, keep
 
     def init(self, handle) -> None:
-        members = T.StructField("members", T.ArrayType(T.StringType()))
+        members = T.StructField("members", T.StringType())
         snapshot = T.StructField("snapshot", T.LongType())
         self.handle = handle
         self.open = handle.getMapState("open", T.StructType([snapshot]), T.StructType([members]))
@@ -60,10 +62,10 @@ class AppearanceTracker(StatefulProcessor):
                 new.setdefault(s, set()).add(m)
         for s, members in new.items():
             if self.open.containsKey((s,)):
-                members |= set(self.open.getValue((s,))[0])
+                members |= set(json.loads(self.open.getValue((s,))[0]))
             else:
                 self.handle.registerTimer((s + 1) * self.width_ms)
-            self.open.updateValue((s,), (sorted(members),))
+            self.open.updateValue((s,), (json.dumps(sorted(members)),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -73,13 +75,15 @@ class AppearanceTracker(StatefulProcessor):
             if before is not None and before[0] + self.keep <= s:
                 self.last.clear()
             return
-        now, old = set(self.open.getValue((s,))[0]), set(before[1]) if before is not None else set()
-        rows = [(*key, m, s, "persistent" if m in old else "gained") for m in sorted(now)]
-        rows += [(*key, m, s, "lost") for m in sorted(old - now)]
+        text = self.open.getValue((s,))[0]
+        now, old = json.loads(text), set(json.loads(before[1])) if before is not None else set()
+        lost = sorted(old.difference(now))
+        states = ["persistent" if m in old else "gained" for m in now] + ["lost"] * len(lost)
         self.open.removeKey((s,))
-        self.last.update((s, sorted(now)))
+        self.last.update((s, text))
         self.handle.registerTimer((s + self.keep + 1) * self.width_ms)
-        yield pd.DataFrame(rows, columns=[*self.keys, self.member, "snapshot", "state"])
+        columns = {self.member: now + lost, "snapshot": s, "state": states}
+        yield pd.DataFrame({k: [v] * len(states) for k, v in zip(self.keys, key)} | columns)[[*self.keys, self.member, "snapshot", "state"]]
 
     def close(self) -> None:
         pass
