@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quaystone.operators.components import connected_components
-from quaystone.operators.graph import overlap_grades, result_classes
+from quaystone.operators.graph import close_tasks, result_classes
 from quaystone.plans.storage import drop_table, materialise
 
 
@@ -56,12 +58,93 @@ def _merge_locally(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"old": list(home), "keep": list(home.values())})
 
 
-def complete_link(edges: DataFrame, left: str, right: str, ratio: str, local: int = 20_000, rounds: int = 8) -> DataFrame:
+class _Links:
+    """Greedy complete linkage of one part: nodes in their order, then pairs in theirs, as they come. Which nodes are linked with all of a cluster is a row of bits."""
+
+    def __init__(self):
+        self.nodes, self.pairs, self.bits = [], [], None
+
+    def add(self, l: pa.Array, r: pa.Array) -> None:
+        if self.bits is None:
+            self.nodes = pa.concat_arrays(self.nodes)
+            self.bits = np.zeros((len(self.nodes), (len(self.nodes) + 7) // 8), np.uint8)
+        x, y = (pc.index_in(c, value_set=self.nodes).to_numpy().astype(np.int32) for c in (l, r))
+        for p, q in ((x, y), (y, x)):
+            np.bitwise_or.at(self.bits, (p, q >> 3), np.left_shift(1, q & 7).astype(np.uint8))
+        self.pairs.append((x, y))
+
+    def clusters(self) -> pa.Array:
+        n, bits = len(self.nodes), self.bits
+        home, members = np.arange(n), {}
+        left, right = (np.concatenate(c) for c in zip(*self.pairs))
+        self.pairs = []
+        linked = lambda x, q: (bits[x, q >> 3] >> (q & 7)) & 1 != 0
+        for start, end in _runs(left):
+            q = right[start:end]
+            while len(q):
+                x = int(home[left[start]])
+                at = np.flatnonzero(linked(x, q) & (home[q] != x))
+                for i in at:
+                    y = int(home[q[i]])
+                    if y not in members or linked(x, members[y]).all():
+                        break
+                else:
+                    break
+                keep, gone = min(x, y), max(x, y)
+                both = np.concatenate([members.pop(c, np.array([c])) for c in (keep, gone)])
+                members[keep], home[both] = both, keep
+                bits[keep] &= bits[gone]
+                q = q[i + 1 :]
+        return self.nodes.take(pa.array(home))
+
+
+def _runs(x: np.ndarray) -> zip:
+    """(start, end) of stretches of equal values."""
+    cuts = np.flatnonzero(np.diff(x)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)])
+
+
+def _linked(e: DataFrame) -> DataFrame:
+    """(node, cluster) of pairs (part, l, r, ratio), each part in a task: its nodes and then its pairs are read as a sorted stream."""
+    kind = e.schema["l"].dataType.simpleString()
+    nodes = e.select("part", F.explode(F.array("l", "r")).alias("l")).distinct()
+    rows = nodes.select("part", F.lit(0).alias("kind"), F.lit(0.0).alias("o"), "l", F.lit(None).cast(kind).alias("r")).unionByName(e.select("part", F.lit(1).alias("kind"), (-F.col("ratio")).alias("o"), "l", "r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part = None, None
+
+        def done() -> pa.RecordBatch:
+            c = part.clusters()
+            return pa.RecordBatch.from_arrays([part.nodes, c], names=["node", "cluster"])
+
+        for batch in batches:
+            codes = batch.column("part").dictionary_encode().indices.to_numpy()
+            for start, end in _runs(codes) if len(codes) else ():
+                b = batch.slice(start, end - start)
+                if (g := b.column("part")[0].as_py()) != now:
+                    if part is not None:
+                        yield done()
+                    now, part = g, _Links()
+                first = int(pc.sum(pc.equal(b.column("kind"), 0)).as_py())
+                if first:
+                    part.nodes.append(b.column("l").slice(0, first))
+                if first < len(b):
+                    part.add(b.column("l").slice(first), b.column("r").slice(first))
+        if part is not None:
+            yield done()
+
+    return rows.repartition("part").sortWithinPartitions("part", "kind", "o", "l", "r").mapInArrow(run, f"node {kind}, cluster {kind}")
+
+
+def complete_link(edges: DataFrame, left: str, right: str, ratio: str, part: str | None = None, local: int = 20_000, rounds: int = 8, nodes: int = 65_536, most: int = 60_000_000) -> DataFrame:
     """(node, cluster) by greedy complete linkage: edges by ratio (largest first), then ids; two clusters merge only if every cross pair is an edge.
 
     The cluster is named by its smallest node. Null ends and self loops are ignored, of repeated edges
     the largest ratio counts. Nodes without an edge are not in the result.
 
+    ``part`` names what ends of an edge have in common: no node is in two parts. Parts of at most ``nodes`` nodes and ``most`` edges are linked in
+    one task each, which holds a bit for each two nodes and eight bytes for an edge, 1 GB at most. Larger parts, those of null, and edges without parts go on as follows.
+
     Greedy order does not need one task: a pair of clusters that is the best of both is merged next for
     either of them whatever happens elsewhere, so all such pairs merge in one round. Only complete pairs
     are kept, as one that lacks a cross pair lacks it for ever: a pair of merged clusters is complete
@@ -69,8 +152,20 @@ def complete_link(edges: DataFrame, left: str, right: str, ratio: str, local: in
     them; before that, after every ``rounds`` rounds, components of at most that many pairs get a task each.
     Larger ones go on in rounds, whatever their size.
     """
+    ends = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.least(left, right).alias("l"), F.greatest(left, right).alias("r"), F.col(ratio).cast("double").alias("ratio"), *([F.col(part).alias("part")] if part else [])).where("l <> r")
+    if part is None:
+        return _in_rounds(ends, local, rounds)
+    e = materialise(ends.groupBy("part", "l", "r").agg(F.max("ratio").alias("ratio")), "edges")
+    held = e.select("part", F.explode(F.array("l", "r")).alias("n")).distinct().groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
+    small = e.groupBy("part").agg(F.count(F.lit(1)).alias("edges")).join(held, "part").where((F.col("nodes") <= nodes) & (F.col("edges") <= most)).select("part")
+    small = materialise(small, "parts")
+    here, rest = _linked(e.join(small, "part", "left_semi")), e.join(small, "part", "left_anti").drop("part")
+    return here.unionByName(_in_rounds(rest, local, rounds)) if rest.limit(1).count() else here
+
+
+def _in_rounds(e: DataFrame, local: int, rounds: int) -> DataFrame:
+    """:func:`complete_link` of (l, r, ratio) with l < r."""
     best = F.struct((-F.col("ratio")).alias("o"), "l", "r")
-    e = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.least(left, right).alias("l"), F.greatest(left, right).alias("r"), F.col(ratio).cast("double").alias("ratio")).where("l <> r")
     pairs = materialise(e.groupBy("l", "r").agg(F.max("ratio").alias("ratio")).select(F.col("l").alias("a"), F.col("r").alias("b"), best.alias("best")), "pairs")
     labels = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")), "labels")
     kind = pairs.schema["a"].dataType.simpleString()
@@ -109,8 +204,8 @@ def task_groups(edges: DataFrame, depth: int = 5) -> DataFrame:
     """
     e = materialise(edges.where(F.col("rank") <= depth).select("task_id", "site_id", "rank", "url"), "results")
     classes = materialise(result_classes(e, depth), "classes")
-    grades = overlap_grades(e.join(classes.where("task_id = first").select("task_id"), "task_id", "left_semi"), depth).where("grade IN ('high', 'possible')")
-    found = complete_link(grades, "left_id", "right_id", "ratio").withColumnRenamed("node", "first")
+    close = close_tasks(e.join(classes.where("task_id = first").select("task_id"), "task_id", "left_semi"), depth)
+    found = complete_link(close, "left_id", "right_id", "ratio", "site").withColumnRenamed("node", "first")
     copied = classes.groupBy("first").count().where("count > 1").select("first", F.col("first").alias("own_"))
     homes = found.join(copied, "first", "full").select("first", F.coalesce("cluster", "own_").alias("cluster"))
     return classes.join(homes, "first").select(F.col("task_id").alias("node"), "cluster")

@@ -58,3 +58,27 @@ def test_copies_of_tasks(spark, monkeypatch):
     classes = {(s, frozenset(u for t_, _, _, u in rows if t_ == t)) for t, s, _, _ in rows}
     ends = {n for r in made[0].collect() for n in (r.left_id, r.right_id)}
     assert len(ends) <= len(classes) < 45
+
+
+def test_parts_in_tasks(spark):
+    """Parts linked by rows of bits in a task each, beside a part that is too large and a part of null."""
+    rnd, rows = random.Random(9), []
+    for part, (n, p) in enumerate([(40, 0.5), (25, 0.8), (60, 0.3), (12, 1.0)]):
+        rows += [(None if part == 3 else part, part * 100 + i, part * 100 + j, rnd.choice((0.6, 0.8, 0.8, 1.0))) for i in range(n) for j in range(n) if i < j and rnd.random() < p]
+    edges = spark.createDataFrame(rows, "part long, l long, r long, ratio double")
+    for nodes in (30, 1000):
+        got = cluster.complete_link(edges, "l", "r", "ratio", "part", nodes=nodes).collect()
+        assert {r.node: r.cluster for r in got} == greedy([r[1:] for r in rows]) and len(got) == len({r.node for r in got})
+
+
+def test_sites_are_compared_alone(spark):
+    """Tasks of two sites make no pairs, and pairs below the grades never leave their block."""
+    rnd = random.Random(4)
+    rows = [(t, t % 3, i + 1, u) for t in range(90) for i, u in enumerate(rnd.sample("abcdefghij", 5))]
+    edges = spark.createDataFrame(rows, "task_id long, site_id long, rank long, url string")
+    close = graph.close_tasks(edges)
+    want = graph.overlap_grades(edges).where("grade IN ('high', 'possible')").select("left_id", "right_id", "ratio").collect()
+    assert sorted(map(tuple, close.drop("site").collect())) == sorted(map(tuple, want))
+    assert all(r.site == r.left_id % 3 for r in close.collect())
+    got = {r.node: r.cluster for r in cluster.task_groups(edges).collect()}
+    assert {n: c for n, c in got.items() if n in greedy([tuple(r) for r in want])} == greedy([tuple(r) for r in want])
