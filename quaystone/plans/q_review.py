@@ -227,8 +227,9 @@ def w16(s: Source):
 
 @query("W17_stratum", "WITH p AS (SELECT a.task_id AS left_id, b.task_id AS right_id, count(*) AS shared FROM {edges} a JOIN {edges} b ON a.url = b.url AND a.task_id < b.task_id GROUP BY ALL) SELECT left_id, right_id FROM p WHERE shared >= 6")
 def w17(s: Source):
-    pairs = graph.co_ranked(s.edges).select("left_id", "right_id", F.when(F.col("shared") >= 6, "merge").otherwise("other").alias("decision"))
-    return review.stratum(pairs, "merge")[0].select("left_id", "right_id")
+    # Pairs of fewer common URLs are of no other stratum here, so they never leave their block.
+    pairs = graph.co_ranked(s.edges, least=6).select("left_id", "right_id", F.lit("merge").alias("decision"))
+    return review.stratum(pairs, "merge", ordered=False)[0].select("left_id", "right_id")
 
 
 _GG = "SELECT source_keyword_id AS group_id, CASE WHEN size > 25 THEN source_keyword_id END AS article_id FROM {keywords}"
