@@ -26,3 +26,10 @@ def test_a_text_of_several_articles_is_no_winner(spark):
     rows = [("k", 1, 9, 1), ("k", 2, 3, 4), ("m", 3, 9, 2), ("m", 4, 3, 1)]
     df = spark.createDataFrame(rows, "key string, c long, score long, copies long")
     assert {tuple(r) for r in matching.unique_winners(df, "key", "c").collect()} == {("k", 1, 9, "matched"), ("m", None, 9, "ambiguous")}
+
+
+def test_rows_of_copies_are_small(spark):
+    """All pairs of two rows of copies stand in memory at once, so a row holds few ids."""
+    rows = spark.range(1000).selectExpr("id", "'large ring' AS w")
+    held = matching._held(rows, "id", "w", "k").collect()
+    assert max(len(r.k_ids) for r in held) <= 128 and sorted(i for r in held for i in r.k_ids) == [*range(1000)]
